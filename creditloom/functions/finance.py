@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BISECTIONS = 80  # halves [-0.999999, 1e6] below 1e-17, past double resolution
+_NEWTON_STEPS = 14
 
 
 def emi(principal: Column, rate_pct: Column, months: Column) -> Column:
@@ -17,32 +17,27 @@ def emi(principal: Column, rate_pct: Column, months: Column) -> Column:
     return F.when((months > 0) & (principal >= 0), value)
 
 
-def _annuity_pv(payment: Column, r: Column, n: Column) -> Column:
-    return F.when(F.abs(r) < 1e-12, payment * n).otherwise(
-        payment * (-F.expm1(-n * F.log1p(r))) / F.when(F.abs(r) < 1e-12, F.lit(1.0)).otherwise(r)
-    )
-
-
-def apr(principal: Column, fees: Column, instalment: Column, months: Column) -> Column:
-    """Nominal annualised IRR in percent, by bisection in a higher-order aggregate.
+def apr_sql(principal: str, fees: str, instalment: str, months: str) -> str:
+    """Nominal annualised IRR in percent of ``principal - fees`` repaid by level instalments.
 
-    The whole search is one expression per row: no UDF, no join, no iteration on the driver. NULL when the inputs
-    describe no loan (fees at or above principal, no instalment, no term).
+    The present value of the instalments is convex and decreasing in the monthly rate, so Newton's method started at
+    or left of the root climbs to it without overshooting. By Jensen's inequality the rate that solves
+    ``pay * n * (1 + r) ** (-(n + 1) / 2) = net`` is such a start and lies close to the root for any real loan. The
+    search is one higher-order aggregate per row: no UDF, no join, no driver loop. NULL when the inputs are no loan.
     """
-    net = (principal - fees).cast("double")
-    pay, n = instalment.cast("double"), months.cast("double")
-
-    def halve(box: Column, _: Column) -> Column:
-        mid = (box["lo"] + box["hi"]) / 2.0
-        above = _annuity_pv(pay, mid, n) > net
-        return F.struct(
-            F.when(above, mid).otherwise(box["lo"]).alias("lo"),
-            F.when(above, box["hi"]).otherwise(mid).alias("hi"),
-        )
-
-    start = F.struct(F.lit(-0.999999).alias("lo"), F.lit(1e6).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(_BISECTIONS)), start, halve, lambda b: 600.0 * (b["lo"] + b["hi"]))
-    return F.when((net > 0) & (pay > 0) & (n > 0), found)
+    net, pay, n = f"CAST({principal} - {fees} AS DOUBLE)", f"CAST({instalment} AS DOUBLE)", f"CAST({months} AS DOUBLE)"
+    # expm1/log1p keep full precision near zero; the series form covers a rate of exactly zero
+    pv = "a.pay * (-expm1(-a.n * log1p(a.r))) / a.r"
+    slope = "a.pay * (a.n * exp(-a.n * log1p(a.r)) * a.r / (1D + a.r) + expm1(-a.n * log1p(a.r))) / (a.r * a.r)"
+    step = (f"CASE WHEN abs(a.r) < 1e-9D THEN a.r + (a.pay * a.n * (1D - a.r * (a.n + 1D) / 2D) - a.net)"
+            f" / (a.pay * a.n * (a.n + 1D) / 2D) ELSE a.r - ({pv} - a.net) / ({slope}) END")
+    start = (f"named_struct('r', power({pay} * {n} / {net}, 2D / ({n} + 1D)) - 1D, 'pay', {pay}, 'n', {n}, 'net', {net})")
+    return (f"CASE WHEN {net} > 0 AND {pay} > 0 AND {n} > 0 THEN aggregate(sequence(1, {_NEWTON_STEPS}), {start},"
+            f" (a, i) -> named_struct('r', {step}, 'pay', a.pay, 'n', a.n, 'net', a.net), a -> 1200D * a.r) END")
+
+
+def apr(principal: str, fees: str, instalment: str, months: str) -> Column:
+    return F.expr(apr_sql(principal, fees, instalment, months))
 
 
 def foir(total_emi: Column, income: Column) -> Column:

@@ -10,13 +10,23 @@ from creditloom.functions import bands as B
 from creditloom.functions import finance as fin
 from creditloom.sources.tables import inline
 
+# --- fixed values: words that carry no meaning when two condition texts are compared
+STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "over", "under", "above", "before", "where", "which")
+
 GRID_COLUMNS = ("product string; grid_band string; min_amount_inr bigint; max_amount_inr bigint;"
                 " max_tenure_months bigint; max_ltv_pct double; required_conditions array<string>")
 
 
 def grid(spark: SparkSession) -> DataFrame:
     rows = [(p, b, lo, hi, t, None if v is None else float(v), list(c)) for p, b, lo, hi, t, v, c in R.GRID]
-    return inline(spark, rows, GRID_COLUMNS)
+    # the words of each required condition are split once per grid row, not once per file
+    return inline(spark, rows, GRID_COLUMNS).selectExpr("*", f"transform(required_conditions, t -> {words_sql('t')}) AS required_words")
+
+
+def words_sql(text: str) -> str:
+    """Distinct words longer than three letters that are not stop words."""
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return f"array_distinct(filter(split(lower({text}), '[^a-z0-9]+'), w -> length(w) > 3 AND w NOT IN ({stop})))"
 
 
 def join_grid_row(files: DataFrame, spark: SparkSession) -> DataFrame:
@@ -33,65 +43,57 @@ def join_grid_row(files: DataFrame, spark: SparkSession) -> DataFrame:
         & (F.col("g.max_amount_inr").isNull() | (F.col("f.loan_amount_inr") <= F.col("g.max_amount_inr")))
     )
     return f.join(g, on, "left").select(
-        "f.*", "g.grid_band", "g.max_tenure_months", "g.max_ltv_pct", "g.required_conditions"
+        "f.*", "g.grid_band", "g.max_tenure_months", "g.max_ltv_pct", "g.required_conditions", "g.required_words"
     )
 
 
 def observed_ratios(files: DataFrame) -> DataFrame:
     """FOIR, DSCR, headrooms and the GST-to-bank ratio from observed fields (files joined to their grid row)."""
-    total = F.col("existing_emi_inr") + F.col("proposed_emi_inr")
-    income = F.col("income_inr")
+    total = F.expr("existing_emi_inr + proposed_emi_inr")
     df = files.select(
         "*",
-        fin.foir(total, income).alias("foir_pct"),
-        fin.dscr(income * 12, total * 12).alias("dscr"),
-        B.lookup(R.FOIR_LIMIT_PCT, F.col("segment")).cast("bigint").alias("foir_limit_pct"),
-        F.when(F.col("bank_credits_inr") > 0,
-               F.col("gst_turnover_inr").cast("double") / F.nullif(F.col("bank_credits_inr").cast("double"), F.lit(0.0)))
-        .alias("gst_ratio"),
+        fin.foir(total, F.col("income_inr")).alias("foir_pct"),
+        fin.dscr(F.col("income_inr") * 12, total * 12).alias("dscr"),
+        F.expr(f"CAST({B.lookup_sql(R.FOIR_LIMIT_PCT, 'segment')} AS BIGINT) AS foir_limit_pct"),
+        F.expr("CASE WHEN bank_credits_inr > 0 THEN CAST(gst_turnover_inr AS DOUBLE) / bank_credits_inr END AS gst_ratio"),
     )
-    return df.select(
-        "*",
-        F.when(F.col("segment") != "msme_business", F.col("foir_limit_pct") - F.col("foir_pct")).alias("foir_headroom_pts"),
-        F.when(F.col("is_home"), F.coalesce("max_ltv_pct", F.lit(80.0)) - F.col("ltv_pct")).alias("ltv_headroom_pts"),
+    return df.selectExpr(
+        "*", "CASE WHEN segment <> 'msme_business' THEN foir_limit_pct - foir_pct END AS foir_headroom_pts",
+        "CASE WHEN is_home THEN coalesce(max_ltv_pct, 80D) - ltv_pct END AS ltv_headroom_pts",
     )
 
 
+_BUSINESS = "segment IN ('self_employed', 'msme_business')"
+# banded column -> (band table, expression, condition under which the state carries the block)
+_STATE_BANDS = {
+    "loan_amount_band": ("amount", "loan_amount_inr", None), "years_band": ("vintage_years", "years", None),
+    "declared_income_band": ("monthly", "declared_income_inr", None),
+    "age_band": ("age", f"({R.REFERENCE_YEAR} - dob_year)", None), "max_dpd_band": ("dpd", "max_dpd", None),
+    "history_band": ("history_length", "history_months", None), "verified_income_band": ("monthly", "income_inr", None),
+    "volatility": ("volatility", "volatility_cv", None), "existing_emi_band": ("monthly", "existing_emi_inr", None),
+    "proposed_emi_band": ("monthly", "proposed_emi_inr", None), "foir_band": ("foir_pct", "foir_pct", None),
+    "utilization_band": ("card_utilization", "utilization", None),
+    "foir_headroom_band": ("foir_headroom_pts", "foir_headroom_pts", None),
+    "avg_credits_band": ("monthly", "avg_credits_inr", None), "cash_share_band": ("cash_deposit_share", "cash_share", None),
+    "gst_turnover_band": ("amount", "gst_turnover_inr", "has_gst"), "bank_credits_band": ("amount", "bank_credits_inr", "has_gst"),
+    "gst_ratio_band": ("gst_to_bank_ratio", "gst_ratio", "has_gst"), "dscr_band": ("dscr", "dscr", _BUSINESS),
+    "business_vintage_band": ("vintage_years", "years", _BUSINESS), "market_value_band": ("amount", "market_value_inr", "is_home"),
+    "ltv_band": ("ltv_pct", "ltv_pct", "is_home"), "ltv_headroom_band": ("ltv_headroom_pts", "ltv_headroom_pts", "is_home"),
+    "valuation_spread_band": ("valuation_spread", B.valuation_spread_sql("market_value_inr", "valuation_2_inr"), "is_home"),
+    "phone_vintage_band": ("phone_vintage", "phone_vintage_months", None),
+    "address_shared_band": ("address_shared", "address_shared", None),
+}
+
+
 def appraisal_state(ratios: DataFrame) -> DataFrame:
     """Every banded block of the appraisal state beside the raw columns; blocks a segment lacks are NULL."""
-    c = F.col
-    business = c("segment").isin("self_employed", "msme_business")
-    return ratios.select(
-        "*",
-        B.band("amount", c("loan_amount_inr")).alias("loan_amount_band"),
-        B.band("vintage_years", c("years")).alias("years_band"),
-        B.band("monthly", c("declared_income_inr")).alias("declared_income_band"),
-        B.band("age", F.lit(R.REFERENCE_YEAR) - c("dob_year")).alias("age_band"),
-        B.bureau_band(c("score")).alias("score_band"),
-        B.band("dpd", c("max_dpd")).alias("max_dpd_band"),
-        B.band("history_length", c("history_months")).alias("history_band"),
-        B.band("monthly", c("income_inr")).alias("verified_income_band"),
-        B.band("volatility", c("volatility_cv")).alias("volatility"),
-        B.band("monthly", c("existing_emi_inr")).alias("existing_emi_band"),
-        B.band("monthly", c("proposed_emi_inr")).alias("proposed_emi_band"),
-        B.band("foir_pct", c("foir_pct")).alias("foir_band"),
-        B.band("card_utilization", c("utilization")).alias("utilization_band"),
-        B.band("foir_headroom_pts", c("foir_headroom_pts")).alias("foir_headroom_band"),
-        B.lookup(R.MONTHS_REQUIRED, c("segment")).cast("bigint").alias("months_required"),
-        B.band("monthly", c("avg_credits_inr")).alias("avg_credits_band"),
-        B.band("cash_deposit_share", c("cash_share")).alias("cash_share_band"),
-        F.when(c("has_gst"), B.band("amount", c("gst_turnover_inr"))).alias("gst_turnover_band"),
-        F.when(c("has_gst"), B.band("amount", c("bank_credits_inr"))).alias("bank_credits_band"),
-        F.when(c("has_gst"), B.band("gst_to_bank_ratio", c("gst_ratio"))).alias("gst_ratio_band"),
-        F.when(business, B.band("dscr", c("dscr"))).alias("dscr_band"),
-        F.when(business, B.band("vintage_years", c("years"))).alias("business_vintage_band"),
-        F.when(c("is_home"), B.band("amount", c("market_value_inr"))).alias("market_value_band"),
-        F.when(c("is_home"), B.band("ltv_pct", c("ltv_pct"))).alias("ltv_band"),
-        F.when(c("is_home"), B.band("ltv_headroom_pts", c("ltv_headroom_pts"))).alias("ltv_headroom_band"),
-        F.when(c("is_home"), B.band("valuation_spread", B.valuation_spread(c("market_value_inr"), c("valuation_2_inr"))))
-        .alias("valuation_spread_band"),
-        B.band("phone_vintage", c("phone_vintage_months")).alias("phone_vintage_band"),
-        B.band("address_shared", c("address_shared")).alias("address_shared_band"),
+    exprs = []
+    for name, (table, x, present) in _STATE_BANDS.items():
+        label = B.band_sql(table, x)
+        exprs.append(f"{f'CASE WHEN {present} THEN {label} END' if present else label} AS {name}")
+    return ratios.selectExpr(
+        "*", *exprs, f"{B.bureau_band_sql('score')} AS score_band",
+        f"CAST({B.lookup_sql(R.MONTHS_REQUIRED, 'segment')} AS BIGINT) AS months_required",
     )
 
 
@@ -135,76 +137,64 @@ def state_flatten(state: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------------------------ risk score
 
 
-def effective_score() -> Column:
-    """The score labels use: the real one where the reported score is hidden by the thin-file subset."""
-    hidden = (F.col("ck") % 8 == 3) & (F.col("k") % 3 == 1)
-    return F.when(hidden, F.coalesce("true_score", "score")).otherwise(F.col("score"))
+# the score labels use: the real one where the reported score is hidden by the thin-file subset
+EFFECTIVE_SCORE = "CASE WHEN ck % 8 = 3 AND k % 3 = 1 THEN coalesce(true_score, score) ELSE score END"
 
 
-def risk_inputs(*, exact: bool) -> dict[str, Column]:
+def risk_inputs(*, exact: bool) -> dict[str, str]:
     """The quantities the risk score reads: true values for labels, band midpoints for the rules-only baseline."""
-    c = F.col
     if exact:
         return {
-            "score": effective_score().cast("double"), "foir": c("foir_pct") / 100.0, "cv": c("volatility_cv"),
-            "dpd": c("max_dpd").cast("double"), "years": c("years"), "util": c("utilization"), "ltv": c("ltv_pct"),
-            "gst": c("gst_ratio"), "income_ratio": c("declared_income_inr").cast("double") / c("income_inr").cast("double"),
-            "fraud": F.when(c("fraud"), 1.0).otherwise(0.0),
+            "score": EFFECTIVE_SCORE, "foir": "foir_pct / 100D", "cv": "volatility_cv", "dpd": "CAST(max_dpd AS DOUBLE)",
+            "years": "years", "util": "utilization", "ltv": "ltv_pct", "gst": "gst_ratio",
+            "income": "CAST(declared_income_inr AS DOUBLE) / income_inr", "fraud": "CASE WHEN fraud THEN 1D ELSE 0D END",
         }
-    msme = c("segment") == "msme_business"
+    at = B.lookup_sql
     return {
-        "score": B.lookup(R.MID_SCORE, c("score_band")),
-        "foir": F.when(msme, 1.0 / B.lookup(R.MID_DSCR, c("dscr_band"))).otherwise(B.lookup(R.MID_FOIR, c("foir_band")) / 100.0),
-        "cv": B.lookup(R.MID_CV, c("volatility")), "dpd": B.lookup(R.MID_DPD, c("max_dpd_band")),
-        "years": B.lookup(R.MID_VINTAGE, c("years_band")), "util": B.lookup(R.MID_UTIL, c("utilization_band")),
-        "ltv": B.lookup(R.MID_LTV, c("ltv_band")), "gst": B.lookup(R.MID_GST, c("gst_ratio_band")),
-        "income_ratio": B.lookup(R.MID_MONTHLY, c("declared_income_band")) / B.lookup(R.MID_MONTHLY, c("verified_income_band")),
-        "fraud": F.lit(0.0),
+        "score": at(R.MID_SCORE, "score_band"),
+        "foir": f"CASE WHEN segment = 'msme_business' THEN 1D / {at(R.MID_DSCR, 'dscr_band')}"
+                f" ELSE {at(R.MID_FOIR, 'foir_band')} / 100D END",
+        "cv": at(R.MID_CV, "volatility"), "dpd": at(R.MID_DPD, "max_dpd_band"), "years": at(R.MID_VINTAGE, "years_band"),
+        "util": at(R.MID_UTIL, "utilization_band"), "ltv": at(R.MID_LTV, "ltv_band"), "gst": at(R.MID_GST, "gst_ratio_band"),
+        "income": f"{at(R.MID_MONTHLY, 'declared_income_band')} / {at(R.MID_MONTHLY, 'verified_income_band')}", "fraud": "0D",
     }
 
 
-def _clip(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+def risk_features(v: dict[str, str]) -> dict[str, str]:
+    """Standardised features, 0 being typical. A missing quantity contributes nothing."""
+    at = B.lookup_sql
 
+    def clip(x: str, lo: float, hi: float) -> str:
+        return f"greatest({lo}D, least({hi}D, {x}))"
 
-def risk_features(v: dict[str, Column]) -> dict[str, Column]:
-    """Standardised features, 0 being typical. A missing quantity contributes nothing."""
-    seg, emp = F.col("segment"), F.col("employment_type")
-    zero = F.lit(0.0)
-    scored = v["score"].isNotNull()
+    title = at({"clear": 0.0, "pending_mutation": 0.5, "disputed": 1.0}, "title_status")
     return {
-        "seg_self_employed": (seg == "self_employed").cast("double"),
-        "seg_msme_business": (seg == "msme_business").cast("double"),
-        "seg_secured_home": (seg == "secured_home").cast("double"),
-        "bureau_score": F.when(scored, (v["score"] - 725.0) / 60.0).otherwise(zero),
-        "ntc": (~scored).cast("double"),
-        "foir": (v["foir"] - B.lookup(R.FOIR_CENTRE, seg)) / 0.15,
-        "income_volatility": (v["cv"] - B.lookup(R.VOL_CENTRE, emp)) / B.lookup(R.VOL_SCALE, emp),
-        "max_dpd": F.least(v["dpd"], F.lit(120.0)) / 30.0,
-        "emi_bounces": F.least(F.col("bounces").cast("double"), F.lit(4.0)) / 2.0,
-        "writeoff": (F.col("writeoffs") > 0).cast("double"),
-        "ltv": F.when(F.col("is_home"), _clip((v["ltv"] - 65.0) / 12.0, -3.0, 4.0)).otherwise(zero),
-        "title_risk": F.when(
-            F.col("is_home"),
-            B.lookup({"clear": 0.0, "pending_mutation": 0.5, "disputed": 1.0}, F.col("title_status"))
-            + F.when(F.col("legal_opinion") == "adverse", 0.5).otherwise(zero)).otherwise(zero),
-        "business_vintage": (F.least(v["years"], F.lit(15.0)) - B.lookup(R.VINTAGE_CENTRE, seg)) / 5.0,
-        "gst_inconsistency": F.when(
-            v["gst"] > 0, _clip((F.abs(F.log(v["gst"])) - 0.12) / 0.25, 0.0, 3.0)).otherwise(zero),
-        "income_gap": _clip((v["income_ratio"] - 1.05) / 0.15, 0.0, 3.0),
-        "card_utilization": (v["util"] - 0.35) / 0.2,
+        "seg_self_employed": "CAST(segment = 'self_employed' AS DOUBLE)",
+        "seg_msme_business": "CAST(segment = 'msme_business' AS DOUBLE)",
+        "seg_secured_home": "CAST(segment = 'secured_home' AS DOUBLE)",
+        "bureau_score": f"coalesce(({v['score']} - 725D) / 60D, 0D)",
+        "ntc": f"CAST({v['score']} IS NULL AS DOUBLE)",
+        "foir": f"({v['foir']} - {at(R.FOIR_CENTRE, 'segment')}) / 0.15D",
+        "income_volatility": f"({v['cv']} - {at(R.VOL_CENTRE, 'employment_type')}) / {at(R.VOL_SCALE, 'employment_type')}",
+        "max_dpd": f"least({v['dpd']}, 120D) / 30D",
+        "emi_bounces": "least(CAST(bounces AS DOUBLE), 4D) / 2D",
+        "writeoff": "CAST(writeoffs > 0 AS DOUBLE)",
+        "ltv": f"CASE WHEN is_home THEN {clip('(' + v['ltv'] + ' - 65D) / 12D', -3.0, 4.0)} ELSE 0D END",
+        "title_risk": f"CASE WHEN is_home THEN {title} + CASE WHEN legal_opinion = 'adverse' THEN 0.5D ELSE 0D END ELSE 0D END",
+        "business_vintage": f"(least({v['years']}, 15D) - {at(R.VINTAGE_CENTRE, 'segment')}) / 5D",
+        "gst_inconsistency": f"CASE WHEN {v['gst']} > 0D THEN {clip('(abs(ln(' + v['gst'] + ')) - 0.12D) / 0.25D', 0.0, 3.0)} ELSE 0D END",
+        "income_gap": clip(f"({v['income']} - 1.05D) / 0.15D", 0.0, 3.0),
+        "card_utilization": f"({v['util']} - 0.35D) / 0.2D",
         "fraud_flag": v["fraud"],
     }
 
 
 def with_risk(state: DataFrame, prefix: str, *, exact: bool) -> DataFrame:
-    """Adds ``{prefix}{feature}`` columns and ``{prefix}pd``."""
+    """Adds ``{prefix}{feature}`` columns and ``{prefix}pd``, the clipped logistic score."""
     feats = risk_features(risk_inputs(exact=exact))
-    df = state.select("*", *[col.alias(prefix + name) for name, col in feats.items()])
-    z = F.lit(R.COEFFICIENTS["intercept"])
-    for name in R.FEATURES:
-        z = z + F.lit(R.COEFFICIENTS[name]) * F.col(prefix + name)
-    return df.withColumn(prefix + "pd", _clip(1.0 / (1.0 + F.exp(-z)), 0.002, 0.95))
+    df = state.selectExpr("*", *[f"{x} AS {prefix}{name}" for name, x in feats.items()])
+    z = " + ".join(f"({R.COEFFICIENTS[f]}D) * {prefix}{f}" for f in R.FEATURES)
+    return df.selectExpr("*", f"greatest(0.002D, least(0.95D, 1D / (1D + exp(-({R.COEFFICIENTS['intercept']}D + {z}))))) AS {prefix}pd")
 
 
 # ------------------------------------------------------------------------------------------------ other states
@@ -220,23 +210,21 @@ def sanction_docs_state(memo: DataFrame) -> DataFrame:
     ).withColumn("heading_present", F.expr("contains(lower(kfs_text), lower(heading))")).drop("kfs_text")
 
 
-def month_sums(months: Column) -> tuple[Column, Column]:
-    """(first two, last two) balances of the ordered month array; NULL under two months."""
-    n = F.size(months)
-    first = F.when(n >= 2, F.get(months, F.lit(0))["balance_inr"] + F.get(months, F.lit(1))["balance_inr"])
-    last = F.when(n >= 2, F.get(months, n - 2)["balance_inr"] + F.get(months, n - 1)["balance_inr"])
-    return first, last
+# (first two, last two) balances of the ordered month array; NULL under two months
+FIRST_TWO = "CASE WHEN size(months) >= 2 THEN get(months, 0).balance_inr + get(months, 1).balance_inr END"
+LAST_TWO = ("CASE WHEN size(months) >= 2 THEN get(months, size(months) - 2).balance_inr"
+            " + get(months, size(months) - 1).balance_inr END")
+BALANCE_CHANGE = B.balance_change_sql(f"({FIRST_TWO})", f"({LAST_TWO})")
 
 
 def monitoring_state(files_with_conduct: DataFrame) -> DataFrame:
     """One row per file and month with DPD and balance bands and the file's balance trend."""
-    first, last = month_sums(F.col("months"))
     return (
         files_with_conduct.filter("months IS NOT NULL")
         .select("file_id", "segment", "product", F.size("months").cast("bigint").alias("months_since_disbursal"),
-                B.balance_change(first, last).alias("balance_change_band"), F.inline("months"))
-        .withColumn("dpd_band", B.band("dpd", F.col("dpd")))
-        .withColumn("avg_balance_band", B.band("monthly", F.col("balance_inr")))
+                F.expr(f"{BALANCE_CHANGE} AS balance_change_band"), F.inline("months"))
+        .withColumn("dpd_band", B.band("dpd", "dpd"))
+        .withColumn("avg_balance_band", B.band("monthly", "balance_inr"))
         .drop("balance_inr")
     )
 
@@ -246,6 +234,6 @@ def covenant_state(files_with_covenants: DataFrame) -> DataFrame:
     df = files_with_covenants.filter("covs IS NOT NULL").select("file_id", F.inline("covs"))
     return df.select(
         "file_id", "covenant_id", "required",
-        F.when(F.col("covenant_id") == "dscr_min_1_25", B.band("dscr", F.col("reported")))
+        F.when(F.col("covenant_id") == "dscr_min_1_25", B.band("dscr", "reported"))
         .otherwise(F.col("reported").cast("bigint").cast("string")).alias("reported_value_band"), "evidence",
     )

@@ -1,483 +1,386 @@
 """Deterministic answers: the rules-only baseline, the credit-policy labels and per-question truth.
 
-Each rule is a Column expression; all of them are evaluated in one projection per file and unpivoted once. The
+Each rule is one SQL expression; all of them are evaluated in one projection per file and unpivoted once. The
 baseline reads bands and redacted text (what a state shows), the labels read exact values.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom import reference as R
 from creditloom.functions import bands as B
-from creditloom.operators.features import month_sums, with_risk
+from creditloom.operators.features import BALANCE_CHANGE, EFFECTIVE_SCORE, risk_inputs, with_risk, words_sql
 
-c = F.col
-
-# --- fixed values: markers, patterns and stop words the document rules look for ---------------------------------
+# --- fixed values: markers and patterns the document rules look for ---------------------------------
 WRONG_KIND_MARKERS = ("prepaid", "not a billing statement", "plain paper", "unregistered", "address page is missing",
                       "photo page only")
 AUTO_GENERATED = "Auto-generated document; no signature required."
 MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
-STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "over", "under", "above", "before", "where", "which")
-SUPERANNUATION = r"(?i)superannuation:?\s*(\d+)\s*months"
-MEMO_RATE = r"(?i)\brate\s+(\d+(?:\.\d+)?)\s*%"
-
-_MON = "(" + "|".join(MONTH_NAMES) + ")"
-_MON_YEAR = rf"\b{_MON}\s+(\d{{4}})\b"
-
-
-def _first_doc(predicate) -> Column:
-    return F.get(F.filter(c("docs"), predicate), F.lit(0))
-
-
-def _month_index(text: Column, pattern: str, group: int = 1) -> Column:
-    """year * 12 + month of the captured ``Mon YYYY``; NULL when the pattern is absent."""
-    mon, year = F.regexp_extract(text, pattern, group), F.regexp_extract(text, pattern, group + 1)
-    names = F.array(*[F.lit(m) for m in MONTH_NAMES])
-    return F.when(year != "", year.cast("bigint") * 12 + F.array_position(names, mon))
+SUPERANNUATION = r"(?i)superannuation:?\\s*(\\d+)\\s*months"
+MEMO_RATE = r"(?i)\\brate\\s+(\\d+(?:\\.\\d+)?)\\s*%"
+TOO_LONG = {">10y": ("<20", "20-24", "25-29"), "5-10y": ("<20", "20-24")}
 
+_MON_YEAR = r"\\b(" + "|".join(MONTH_NAMES) + r")\\s+(\\d{4})\\b"
 
-def _no(cond: Column) -> Column:
-    """A failing test that is unknown does not fail."""
-    return F.coalesce(cond, F.lit(False))
 
+def _list(values: Iterable[str]) -> str:
+    return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
 
-# ------------------------------------------------------------------------------------------------ module A
 
+def _doc(predicate: str) -> str:
+    return f"get(filter(docs, d -> {predicate}), 0)"
 
-def a_income_proof() -> Column:
-    needed = F.when(c("employment_type") == "salaried", "salary_slip").otherwise("itr")
-    doc = _first_doc(lambda d: d["doc_type"] == needed)
-    return _no(doc["month_age"] <= 2)
 
-
-def a_address_proof() -> Column:
-    doc = _first_doc(lambda d: d["doc_type"].startswith("address_proof"))
-    text, kind, age = doc["text"], doc["doc_type"], doc["month_age"]
-    low = F.lower(text)
-    wrong = reduce(lambda a, b: a | b, [low.contains(m) for m in WRONG_KIND_MARKERS])
-    received = _month_index(text, rf"Received:.*?{_MON_YEAR}")
-    term_end = _month_index(text, rf"term.*?{_MON_YEAR}.*?{_MON_YEAR}", 3)
-    expiry = _month_index(text, rf"expires.*?{_MON_YEAR}")
-    shown = F.regexp_extract_all(text, F.lit(r"(\[ADDR(?:_[A-Z0-9]+)?\])"), F.lit(1))
-    bad = (
-        _no(wrong)
-        | _no(kind.endswith("utility_bill") & (age >= 3))
-        | _no(kind.endswith("rent_agreement") & ((age >= 12) | _no(term_end < received)))
-        | _no(kind.endswith("passport") & (expiry < received))
-        | _no((F.size(shown) > 0) & ~F.array_contains(shown, "[ADDR_1]"))
-    )
-    return doc.isNotNull() & ~bad
+def _month_index(text: str, pattern: str, group: int = 1) -> str:
+    """year * 12 + month of the captured ``Mon YYYY``; NULL when the pattern is absent."""
+    year = f"regexp_extract({text}, '{pattern}', {group + 1})"
+    month = f"array_position(array({_list(MONTH_NAMES)}), regexp_extract({text}, '{pattern}', {group}))"
+    return f"(CASE WHEN {year} <> '' THEN CAST({year} AS BIGINT) * 12 + {month} END)"
 
 
-def a_statements() -> Column:
-    return c("months_covered") >= c("months_required")
+def _no(cond: str) -> str:
+    """A failing test that is unknown does not fail."""
+    return f"coalesce({cond}, false)"
 
 
-def a_fields_cohere() -> Column:
-    labels = F.array(*[F.lit(x) for x in R.BANDS["monthly"][1]])
-    gap = F.array_position(labels, c("declared_income_band")) - F.array_position(labels, c("verified_income_band"))
-    letter = _first_doc(lambda d: d["doc_type"] == "employer_letter")
-    left = F.regexp_extract(letter["text"], SUPERANNUATION, 1)
-    past = F.when(left != "", c("tenure_months") > left.cast("bigint"))
-    too_long = ((c("years_band") == ">10y") & c("age_band").isin("<20", "20-24", "25-29")) | (
-        (c("years_band") == "5-10y") & c("age_band").isin("<20", "20-24"))
-    return ~(_no(gap >= 2) | _no(past) | _no(too_long))
+# ------------------------------------------------------------------------------------------------ modules A and B
 
+_NEEDED = "CASE WHEN employment_type = 'salaried' THEN 'salary_slip' ELSE 'itr' END"
+INCOME_PROOF = _no(_doc(f"d.doc_type = {_NEEDED}") + ".month_age <= 2")
 
-# ------------------------------------------------------------------------------------------------ module B
 
+def _address_proof() -> str:
+    received = _month_index("a.text", f"Received:.*?{_MON_YEAR}")
+    term_end = _month_index("a.text", f"term.*?{_MON_YEAR}.*?{_MON_YEAR}", 3)
+    expiry = _month_index("a.text", f"expires.*?{_MON_YEAR}")
+    shown = r"regexp_extract_all(a.text, '(\\[ADDR(?:_[A-Z0-9]+)?\\])', 1)"
+    wrong = " OR ".join(f"contains(lower(a.text), '{m}')" for m in WRONG_KIND_MARKERS)
+    bad = [
+        wrong, "endswith(a.doc_type, 'utility_bill') AND a.month_age >= 3",
+        f"endswith(a.doc_type, 'rent_agreement') AND (a.month_age >= 12 OR {_no(term_end + ' < ' + received)})",
+        f"endswith(a.doc_type, 'passport') AND {_no(expiry + ' < ' + received)}",
+        f"size({shown}) > 0 AND NOT array_contains({shown}, '[ADDR_1]')",
+    ]
+    test = " OR ".join(f"({b})" for b in bad)
+    # the transform names the first address document once for all its tests
+    return f"coalesce(get(transform(slice(filter(docs, d -> startswith(d.doc_type, 'address_proof')), 1, 1), a -> NOT ({test})), 0), false)"
 
-def _auto_generated() -> Column:
-    return F.exists(c("docs"), lambda d: d["text"].contains(AUTO_GENERATED))
 
+def _fields_cohere() -> str:
+    labels = f"array({_list(R.BANDS['monthly'][1])})"
+    gap = f"array_position({labels}, declared_income_band) - array_position({labels}, verified_income_band) >= 2"
+    letter = _doc("d.doc_type = 'employer_letter'") + ".text"
+    left = f"regexp_extract({letter}, '{SUPERANNUATION}', 1)"
+    past = f"CASE WHEN {left} <> '' THEN tenure_months > CAST({left} AS BIGINT) END"
+    long = " OR ".join(f"(years_band = '{y}' AND age_band IN ({_list(ages)}))" for y, ages in TOO_LONG.items())
+    return f"NOT ({_no(gap)} OR {_no(past)} OR {_no(long)})"
 
-def _tokens(text: Column, kind: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(\[{kind}(?:_[A-Z0-9]+)?\])"), F.lit(1))
 
+def _tokens(text: str, kind: str) -> str:
+    return rf"regexp_extract_all({text}, '(\\[{kind}(?:_[A-Z0-9]+)?\\])', 1)"
 
-def b_identity() -> Column:
-    text = _first_doc(lambda d: d["doc_type"] == "pan_card_text")["text"]
-    name = F.regexp_extract(text, r"\bName:\s*(\[[A-Z]+(?:_[A-Z0-9]+)?\])", 1)
-    mismatch = (
-        ~F.forall(_tokens(text, "PAN"), lambda t: t == "[PAN_1]")
-        | ~F.forall(_tokens(text, "DOB"), lambda t: t == "[DOB_1]")
-        | ((name != "") & (name != "[APPLICANT]"))
-    )
-    return ~_auto_generated() & ~_no(mismatch)
 
+AUTO_FOOTER = f"exists(docs, d -> contains(d.text, '{AUTO_GENERATED}'))"
 
-def b_salary_employer() -> Column:
-    slip = _first_doc(lambda d: d["doc_type"] == "salary_slip")["text"]
-    org = F.get(_tokens(slip, "ORG"), F.lit(0))
-    seen = F.array_distinct(F.array_compact(F.array(org, c("employer_token"), c("narration_token"))))
-    return F.size(seen) <= 1
 
+def _identity() -> str:
+    text = _doc("d.doc_type = 'pan_card_text'") + ".text"
+    name = rf"regexp_extract({text}, '\\bName:\\s*(\\[[A-Z]+(?:_[A-Z0-9]+)?\\])', 1)"
+    mismatch = (f"exists({_tokens(text, 'PAN')}, t -> t <> '[PAN_1]') OR exists({_tokens(text, 'DOB')}, t -> t <> '[DOB_1]')"
+                f" OR ({name} <> '' AND {name} <> '[APPLICANT]')")
+    return f"NOT {AUTO_FOOTER} AND NOT {_no('(' + mismatch + ')')}"
 
-def b_gst_bank() -> Column:
-    return ~c("gst_ratio_band").isin("<0.5", ">2")
 
+def _salary() -> str:
+    org = f"get({_tokens(_doc(chr(100) + '.doc_type = ' + chr(39) + 'salary_slip' + chr(39)) + '.text', 'ORG')}, 0)"
+    return f"size(array_distinct(array_compact(array({org}, employer_token, narration_token)))) <= 1"
 
-def b_synthetic() -> Column:
-    signals = [c("phone_vintage_band") == "<3m", c("email_domain") == "disposable", ~c("history_consistent"),
-               c("address_shared_band") == "3+"]
-    return _auto_generated() | (sum(s.cast("int") for s in signals) >= 2)
 
+SYNTHETIC = (f"({AUTO_FOOTER} OR CAST(phone_vintage_band = '<3m' AS INT) + CAST(email_domain = 'disposable' AS INT)"
+             " + CAST(NOT history_consistent AS INT) + CAST(address_shared_band = '3+' AS INT) >= 2)")
 
 # ------------------------------------------------------------------------------------------------ module C
 
+# DPD bands end exactly on the DPD thresholds, so the banded and exact forms of this rule agree
+WILLINGNESS = ("CASE WHEN writeoffs > 0 OR max_dpd >= 90 THEN 0 WHEN max_dpd >= 60 THEN 1 WHEN max_dpd >= 30 OR bounces >= 2 THEN 2"
+               " WHEN max_dpd >= 1 OR bounces = 1 THEN 3 ELSE 4 END")
+_BURDEN = (f"CASE WHEN segment = 'msme_business' THEN 1.25D / {B.lookup_sql(R.CAPACITY_DSCR_MID, 'dscr_band')}"
+           f" ELSE (CAST(foir_limit_pct AS DOUBLE) - {B.lookup_sql(R.CAPACITY_HEADROOM_MID, 'foir_headroom_band')}) / foir_limit_pct END")
+CAPACITY_BANDED = (f"greatest(0, (CASE WHEN {_BURDEN} <= 0.6D THEN 4 WHEN {_BURDEN} <= 0.8D THEN 3 WHEN {_BURDEN} <= 1D THEN 2"
+                   f" WHEN {_BURDEN} <= 1.2D THEN 1 WHEN {_BURDEN} IS NULL THEN 2 ELSE 0 END) - CAST(volatility = 'high' AS INT))")
 
-def c_willingness() -> Column:
-    """Ordinal 0 to 4. DPD bands end exactly on the DPD thresholds, so band and exact forms agree."""
-    return (
-        F.when((c("writeoffs") > 0) | (c("max_dpd") >= 90), 0).when(c("max_dpd") >= 60, 1)
-        .when((c("max_dpd") >= 30) | (c("bounces") >= 2), 2).when((c("max_dpd") >= 1) | (c("bounces") == 1), 3).otherwise(4)
-    )
-
-
-def c_capacity_baseline() -> Column:
-    limit = c("foir_limit_pct").cast("double")
-    headroom_ratio = (limit - B.lookup(R.CAPACITY_HEADROOM_MID, c("foir_headroom_band"))) / limit
-    ratio = F.when(c("segment") == "msme_business", 1.25 / B.lookup(R.CAPACITY_DSCR_MID, c("dscr_band"))).otherwise(headroom_ratio)
-    level = F.when(ratio.isNull(), 2).when(ratio <= 0.6, 4).when(ratio <= 0.8, 3).when(ratio <= 1.0, 2).when(ratio <= 1.2, 1).otherwise(0)
-    return F.greatest(F.lit(0), level - F.when(c("volatility") == "high", 1).otherwise(0))
 
-
-def _level(edges, value: Column) -> Column:
+def level_sql(edges, x: str) -> str:
     """Index of the left-closed band of a value rounded to six places."""
-    v = F.when(value >= 1e15, value).otherwise(F.round(value, 6))
-    out = F.when(v < edges[0], 0)
-    for i, e in enumerate(edges[1:], 1):
-        out = out.when(v < e, i)
-    return out.otherwise(len(edges))
-
-
-def c_capacity_exact() -> Column:
-    level = F.when(c("segment") == "msme_business", _level(R.BANDS["dscr"][0], c("dscr"))).otherwise(
-        _level(R.BANDS["foir_headroom_pts"][0], c("foir_headroom_pts")))
-    return F.greatest(F.lit(0), level - F.when(c("volatility_cv") >= 0.35, 1).otherwise(0))
-
-
-def c_foir_within() -> Column:
-    """Headroom of zero or more; an MSME file is judged on its DSCR."""
-    return F.when(c("segment") == "msme_business", F.when(c("dscr") >= 1e15, True).otherwise(F.round(c("dscr"), 6) >= R.DSCR_MIN)
-                  ).otherwise(F.round(c("foir_headroom_pts"), 6) >= 0)
-
-
-def c_income_stable() -> Column:
-    return (c("volatility_cv") < 0.25) & (c("months_history") >= 12)
+    arms = " ".join(f"WHEN {x} < {B.shifted(e)} THEN {i}" for i, e in enumerate(edges))
+    return f"(CASE {arms} ELSE {len(edges)} END)"
 
 
-def c_delinquency() -> Column:
-    return c("max_dpd") >= 30
-
-
-def c_collateral() -> Column:
-    base = B.lookup(R.LTV_HEADROOM_LEVEL, c("ltv_headroom_band"))
-    cut = (
-        B.lookup({"clear": 0, "pending_mutation": 1, "disputed": 2}, c("title_status"))
-        + F.when(c("legal_opinion") == "adverse", 1).otherwise(0)
-        + F.when(c("valuation_spread_band") == ">20%", 1).otherwise(0)
-    )
-    return F.greatest(F.lit(0), base - cut)
-
-
-def c_title_clear() -> Column:
-    return (c("title_status") == "clear") & (c("legal_opinion") == "positive")
-
+CAPACITY_EXACT = (f"greatest(0, (CASE WHEN segment = 'msme_business' THEN {level_sql(R.BANDS['dscr'][0], 'dscr')}"
+                  f" ELSE {level_sql(R.BANDS['foir_headroom_pts'][0], 'foir_headroom_pts')} END) - CAST(volatility_cv >= 0.35D AS INT))")
+FOIR_WITHIN = (f"CASE WHEN segment = 'msme_business' THEN dscr >= {B.shifted(R.DSCR_MIN)}"
+               f" ELSE foir_headroom_pts >= {B.shifted(0)} END")
+COLLATERAL = (f"greatest(0, {B.lookup_sql(R.LTV_HEADROOM_LEVEL, 'ltv_headroom_band')}"
+              f" - {B.lookup_sql({'clear': 0, 'pending_mutation': 1, 'disputed': 2}, 'title_status')}"
+              " - CAST(legal_opinion = 'adverse' AS INT) - CAST(valuation_spread_band = '>20%' AS INT))")
 
 # ------------------------------------------------------------------------------------------------ module D
 
+_VINTAGE_APPLIES = "(segment IN ('self_employed', 'msme_business') OR (is_home AND employment_type = 'self_employed'))"
 
-def margins(prefix: str, *, exact: bool) -> dict[str, Column]:
+
+def margins(prefix: str, *, exact: bool) -> dict[str, str]:
     """Signed distance to each sanction rule, in comparable units; NULL where a rule does not apply."""
-    seg = c("segment")
-    salaried = seg == "salaried_personal"
-    cutoff = B.lookup(R.PD_CUTOFF, seg)
-    limit = c("foir_limit_pct").cast("double")
-    home_vintage = c("is_home") & (c("employment_type") == "self_employed")
-    if exact:
-        score, dscr, foir = c(prefix + "score"), c("dscr"), c("foir_pct")
-        dpd, ltv, years = c("max_dpd").cast("double"), c("ltv_pct"), c("years")
-        thin_ok = salaried & (c("income_inr") >= 50000)
-        thin = F.least(F.lit(2.0), (c("income_inr") - 50000) / 25000.0)
-    else:
-        score, dscr, foir = (B.lookup(R.MID_SCORE, c("score_band")), B.lookup(R.MID_DSCR, c("dscr_band")),
-                             B.lookup(R.MID_FOIR, c("foir_band")))
-        dpd, ltv, years = (B.lookup(R.MID_DPD, c("max_dpd_band")), B.lookup(R.MID_LTV, c("ltv_band")),
-                           B.lookup(R.MID_VINTAGE, c("years_band")))
-        low = B.lookup(R.LOW_MONTHLY, c("verified_income_band"))
-        thin_ok = salaried & (low >= 50000)
-        thin = F.least(F.lit(2.0), (low - 50000.0) / 25000.0 + 0.5)
+    v = risk_inputs(exact=exact)
+    cutoff = B.lookup_sql(R.PD_CUTOFF, "segment")
+    dscr = "dscr" if exact else B.lookup_sql(R.MID_DSCR, "dscr_band")
+    foir = "foir_pct" if exact else B.lookup_sql(R.MID_FOIR, "foir_band")
+    income = "income_inr" if exact else B.lookup_sql(R.LOW_MONTHLY, "verified_income_band")
+    bonus = "" if exact else " + 0.5D"
+    thin = (f"CASE WHEN segment = 'salaried_personal' AND {income} >= 50000"
+            f" THEN least(2D, ({income} - 50000) / 25000D{bonus}) ELSE -2D END")
     out = {
-        "capacity": F.when(seg == "msme_business", (dscr - R.DSCR_MIN) / 0.35).otherwise((limit - foir) / 10.0),
-        "bureau": F.when(score.isNull(), F.when(thin_ok, thin).otherwise(-2.0)).otherwise((score - 650.0) / 40.0),
-        "dpd": (60.0 - dpd) / 20.0,
-        "writeoff": F.when(c("writeoffs") == 0, 2.0).otherwise(-2.5),
-        "ltv": F.when(c("is_home"), (F.coalesce("max_ltv_pct", F.lit(80.0)) - ltv) / 6.0),
-        "title": F.when(c("is_home"), F.when(c("title_status") == "clear", 2.0).otherwise(-2.5)),
-        "vintage": F.when(seg.isin("self_employed", "msme_business") | home_vintage, (years - 2.0) / 1.5),
-        "pd": (cutoff - c(prefix + "pd")) / (0.5 * cutoff),
+        "capacity": f"CASE WHEN segment = 'msme_business' THEN ({dscr} - {R.DSCR_MIN}D) / 0.35D ELSE (foir_limit_pct - {foir}) / 10D END",
+        "bureau": f"coalesce(({v['score']} - 650D) / 40D, {thin})",
+        "dpd": f"(60D - {v['dpd']}) / 20D", "writeoff": "CASE WHEN writeoffs = 0 THEN 2D ELSE -2.5D END",
+        "ltv": f"CASE WHEN is_home THEN (coalesce(max_ltv_pct, 80D) - {v['ltv']}) / 6D END",
+        "title": "CASE WHEN is_home THEN CASE WHEN title_status = 'clear' THEN 2D ELSE -2.5D END END",
+        "vintage": f"CASE WHEN {_VINTAGE_APPLIES} THEN ({v['years']} - 2D) / 1.5D END",
+        "pd": f"({cutoff} - {prefix}pd) / (0.5D * {cutoff})",
     }
     if exact:
-        out["fraud"] = F.when(c("fraud"), -3.0).otherwise(3.0)
+        out["fraud"] = "CASE WHEN fraud THEN -3D ELSE 3D END"
     return out
 
 
-def smallest(ms: dict[str, Column]) -> Column:
-    return F.array_min(F.array(*ms.values()))
+def smallest(prefix: str, *, exact: bool) -> str:
+    return f"array_min(array({', '.join(margins(prefix, exact=exact).values())}))"
 
 
-def closeness_baseline(worst: Column) -> Column:
-    """Fractional level from the smallest margin, piecewise linear between the knots."""
-    knots = R.CLOSENESS_KNOTS
-    out = F.when(worst <= knots[0][0], 0.0)
-    for (x0, y0), (x1, y1) in zip(knots, knots[1:], strict=False):
-        out = out.when(worst <= x1, y0 + (y1 - y0) * (worst - x0) / (x1 - x0))
-    return out.otherwise(4.0)
+def closeness_banded(worst: str) -> str:
+    """Ordinal level: piecewise linear between the knots, then half-to-even, the rounding the answer is defined with."""
+    k = R.CLOSENESS_KNOTS
+    arms = " ".join(f"WHEN {worst} <= {x1}D THEN {y0}D + {y1 - y0}D * ({worst} - ({x0}D)) / ({x1}D - ({x0}D))"
+                    for (x0, y0), (x1, y1) in zip(k, k[1:], strict=False))
+    return f"greatest(0, least(4, CAST(rint(round(CASE WHEN {worst} <= {k[0][0]}D THEN 0D {arms} ELSE 4D END, 9)) AS INT)))"
 
 
-def closeness_exact(worst: Column) -> Column:
-    return F.when(worst >= 1.0, 4).when(worst >= 0.3, 3).when(worst >= -0.3, 2).when(worst >= -1.0, 1).otherwise(0)
+def closeness_exact(worst: str) -> str:
+    return f"CASE WHEN {worst} >= 1 THEN 4 WHEN {worst} >= 0.3D THEN 3 WHEN {worst} >= -0.3D THEN 2 WHEN {worst} >= -1 THEN 1 ELSE 0 END"
 
 
-def weakness(prefix: str, thin: Column) -> Column:
+def weakness(prefix: str, thin: str) -> str:
     """Category with the largest positive contribution; ties follow the fixed order.
 
-    The six category sums are columns of the file's own row, so the arg-max is one ``array_max`` over six structs
-    (score rounded to nine places, minus the order) and needs no explode, window or shuffle.
+    The six category sums live in the file's own row, so the arg-max is one ``array_max`` over six structs (score
+    rounded to nine places, then minus the order) and needs no explode, window or shuffle.
     """
-    contrib = {f: F.lit(R.COEFFICIENTS[f]) * c(prefix + f) for f in R.FEATURE_CATEGORY}
-    zero = F.lit(0.0)
-
-    def best(scores: dict[str, Column]) -> Column:
-        return F.array_max(F.array_compact(F.array(*[
-            F.when(s.isNotNull(), F.struct(F.round(s, 9).alias("score"), F.lit(-i).alias("ord"), F.lit(cat).alias("cat")))
-            for i, cat in enumerate(R.CATEGORY_ORDER) for s in [scores[cat]]])))
-
-    def only_home(cat: str, col: Column) -> Column:
-        return F.when(c("is_home"), col) if cat == "collateral" else col
-
-    pos, raw = {}, {}
-    for cat in R.CATEGORY_ORDER:
-        feats = [f for f, x in R.FEATURE_CATEGORY.items() if x == cat]
-        pos[cat] = only_home(cat, sum((F.greatest(contrib[f], zero) for f in feats), zero))
-        fallback = [f for f in feats if f in R.FALLBACK_FEATURES]
-        if fallback:
-            total = sum((contrib[f] for f in fallback), zero)
-            raw[cat] = only_home(cat, F.when(~thin, total) if cat == "repayment_history" else total)
-        else:
-            raw[cat] = F.lit(None).cast("double")
-    top = best(pos)
-    return F.when(top["score"] >= 0.05, top["cat"]).otherwise(best(raw)["cat"])
+    def total(cat: str, positive: bool) -> str:
+        feats = [f for f, x in R.FEATURE_CATEGORY.items() if x == cat and (positive or f in R.FALLBACK_FEATURES)]
+        if not feats:
+            return "CAST(NULL AS DOUBLE)"
+        terms = [f"({R.COEFFICIENTS[f]}D) * {prefix}{f}" for f in feats]
+        s = " + ".join(f"greatest(0D, {t})" if positive else t for t in terms)
+        if cat == "repayment_history" and not positive:
+            s = f"CASE WHEN NOT ({thin}) THEN {s} END"
+        return f"CASE WHEN is_home THEN {s} END" if cat == "collateral" else s
 
+    def best(positive: bool) -> str:
+        items = ", ".join(
+            f"CASE WHEN ({total(cat, positive)}) IS NOT NULL THEN named_struct('s', round({total(cat, positive)}, 9), 'o', {-i}, 'c', '{cat}') END"
+            for i, cat in enumerate(R.CATEGORY_ORDER))
+        return f"array_max(array_compact(array({items})))"
 
-# ------------------------------------------------------------------------------------------------ module E
+    return f"CASE WHEN {best(True)}.s >= 0.05D THEN {best(True)}.c ELSE {best(False)}.c END"
 
 
-def _words(text: Column) -> Column:
-    """Distinct words longer than three letters that are not stop words."""
-    return F.array_distinct(F.filter(
-        F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (F.length(w) > 3) & ~w.isin(*STOP_WORDS)))
+# ------------------------------------------------------------------------------------------------ module E
 
 
-def e_memo_grid() -> Column:
-    wanted = F.transform(c("required_conditions"), _words)
-    offered = F.transform(F.concat(c("memo_conditions"), F.array(c("memo_text"))), _words)
-    stated = F.forall(wanted, lambda w: F.exists(offered, lambda o: F.size(F.array_intersect(w, o)) >= 0.8 * F.size(w)))
-    return _no((c("tenure_months") <= c("max_tenure_months")) & stated)
+def _memo_grid() -> str:
+    """Tenure within the grid and each required condition stated: 80 percent of its words in one memo sentence."""
+    offered = f"transform(concat(memo_conditions, array(memo_text)), t -> {words_sql('t')})"
+    # the memo's word lists are named once: the outer transform runs over a single element
+    body = "forall(required_words, r -> exists(z, o -> size(array_intersect(r, o)) >= 0.8D * size(r)))"
+    stated = f"get(transform(array({offered}), z -> {body}), 0)"
+    return _no(f"tenure_months <= max_tenure_months AND {stated}")
 
 
-def e_rate_math() -> Column:
-    quoted = F.regexp_extract(c("memo_text"), MEMO_RATE, 1)
-    gap = F.abs(c("apr_stated_pct") - c("apr_recomputed_pct"))
-    misquoted = (quoted != "") & (F.abs(F.try_to_number(quoted, F.lit("999.99")).cast("double") - c("rate_pct")) > 0.006)
-    return F.when(gap.isNotNull(), ~((F.round(gap, 9) >= 0.3) | _no(misquoted)))
+_QUOTED = f"regexp_extract(memo_text, '{MEMO_RATE}', 1)"
+RATE_MATH = ("CASE WHEN apr_stated_pct IS NOT NULL AND apr_recomputed_pct IS NOT NULL THEN"
+             " round(abs(apr_stated_pct - apr_recomputed_pct), 9) < 0.3D AND NOT "
+             + _no(f"({_QUOTED} <> '' AND abs(try_cast({_QUOTED} AS DOUBLE) - rate_pct) > 0.006D)") + " END")
 
 
-def e_disclosure(heading: str) -> Column:
-    return F.lower("kfs_text").contains(heading.lower())
+def _heading(heading: str) -> str:
+    return f"contains(lower(kfs_text), '{heading.lower()}')"
 
 
-def e_disclosures() -> Column:
-    return reduce(lambda a, b: a & b, [e_disclosure(h) for _, h in R.DISCLOSURES])
+# ------------------------------------------------------------------------------------------------ module F
 
+_RISES = ("size(filter(sequence(1, greatest(size(months) - 1, 1)), i -> i >= size(months) - 4 AND i < size(months)"
+          " AND get(months, i).dpd > get(months, i - 1).dpd))")
+EARLY_WARNINGS = {
+    "F_ews_dpd_rising": _no(f"(exists(months, m -> m.dpd >= 30) OR {_RISES} >= 3)"),
+    "F_ews_emi_bounces": _no("size(filter(months, m -> m.bounced)) >= 2"),
+    "F_ews_partial_payments": _no("size(filter(months, m -> m.partial)) >= 2"),
+    "F_ews_balance_stress": _no(f"{BALANCE_CHANGE} = 'falling_40_plus'"),
+}
 
-# ------------------------------------------------------------------------------------------------ module F
 
+def covenant_from_text(cid: str, v: str = "v") -> str:
+    """Compliance read from the evidence sentence first, then from the reported value."""
+    low = f"lower({v}.evidence)"
 
-def f_ews() -> dict[str, Column]:
-    """Early-warning tests on the ordered month array."""
-    m = c("months")
-    n = F.size(m)
-    steps = F.sequence(F.greatest(F.lit(1), n - 4), F.greatest(n - 1, F.lit(1)))
-    rises = F.size(F.filter(steps, lambda i: (i < n) & (F.get(m, i)["dpd"] > F.get(m, i - 1)["dpd"])))
-    first, last = month_sums(m)
-    return {
-        "F_ews_dpd_rising": _no(F.exists(m, lambda x: x["dpd"] >= 30) | ((n >= 2) & (rises >= 3))),
-        "F_ews_emi_bounces": _no(F.size(F.filter(m, lambda x: x["bounced"])) >= 2),
-        "F_ews_partial_payments": _no(F.size(F.filter(m, lambda x: x["partial"])) >= 2),
-        "F_ews_balance_stress": _no(B.balance_change(first, last) == "falling_40_plus"),
-    }
+    def number(pattern: str) -> str:
+        got = f"regexp_extract({low}, '{pattern}', 1)"
+        return f"coalesce(CASE WHEN {got} <> '' THEN CAST({got} AS DOUBLE) END, {v}.reported)"
 
+    num = r"(\\d+(?:\\.\\d+)?)"
+    if cid == "dscr_min_1_25":
+        return f"{number(rf'\\bis {num}\\b')} >= {v}.required"
+    if cid == "stock_statement_monthly":
+        return f"{number(rf'\\bfor {num} of the last')} >= {v}.required"
+    if cid == "no_unapproved_borrowing":
+        return rf"CASE WHEN rlike({low}, '\\bno new borrowing\\b|\\bnothing new\\b') THEN true ELSE {number(rf'\\bfound {num} new')} = 0 END"
+    return (rf"CASE WHEN rlike({low}, '\\bexpired\\b|\\blapsed\\b|\\bnot evidenced\\b|\\bnot current\\b') THEN false"
+            rf" WHEN rlike({low}, '\\bis current\\b') THEN true ELSE {v}.reported = 1 END")
 
-def covenant_from_text(cov: Column) -> Column:
-    """Compliance read from the evidence sentence first, then from the reported value."""
-    low = F.lower(cov["evidence"])
-
-    def number(pattern: str) -> Column:
-        got = F.regexp_extract(low, pattern, 1)
-        return F.when(got != "", got.cast("double"))
-
-    return (
-        F.when(cov["covenant_id"] == "dscr_min_1_25",
-               F.coalesce(number(r"\bis (\d+(?:\.\d+)?)\b"), cov["reported"]) >= cov["required"])
-        .when(cov["covenant_id"] == "stock_statement_monthly",
-              F.coalesce(number(r"\bfor (\d+(?:\.\d+)?) of the last"), cov["reported"]) >= cov["required"])
-        .when(cov["covenant_id"] == "no_unapproved_borrowing",
-              F.when(low.rlike(r"\bno new borrowing\b|\bnothing new\b"), True)
-              .otherwise(F.coalesce(number(r"\bfound (\d+(?:\.\d+)?) new"), cov["reported"]) == 0))
-        .when(cov["covenant_id"] == "insurance_current",
-              F.when(low.rlike(r"\bexpired\b|\blapsed\b|\bnot evidenced\b|\bnot current\b"), False)
-              .when(low.rlike(r"\bis current\b"), True).otherwise(cov["reported"] == 1))
-    )
-
-
-def covenant_exact(cov: Column) -> Column:
+
+def covenant_exact(cid: str, v: str = "v") -> str:
     """The breach test on the reported value alone."""
-    return (
-        F.when(cov["covenant_id"].isin("dscr_min_1_25", "stock_statement_monthly"), cov["reported"] >= cov["required"])
-        .when(cov["covenant_id"] == "no_unapproved_borrowing", cov["reported"] == 0).otherwise(cov["reported"] == 1)
-    )
+    if cid in ("dscr_min_1_25", "stock_statement_monthly"):
+        return f"{v}.reported >= {v}.required"
+    return f"{v}.reported = {0 if cid == 'no_unapproved_borrowing' else 1}"
 
 
-def _covenant(cid: str, test) -> Column:
-    return test(F.get(F.filter(c("covs"), lambda x: x["covenant_id"] == cid), F.lit(0)))
+def _covenant(cid: str, test) -> str:
+    return f"get(transform(filter(covs, x -> x.covenant_id = '{cid}'), v -> {test(cid)}), 0)"
 
 
 # ------------------------------------------------------------------------------------------------ assembled tables
 
-
-def baseline_columns(evidence: DataFrame) -> DataFrame:
-    """One column per question (boolean or ordinal), in one projection over the evidence row."""
-    df = with_risk(evidence, "b_", exact=False)
-    worst = smallest(margins("b_", exact=False))
-    thin = c("score_band") == "NTC"
-    df = df.withColumn("b_worst", worst).withColumn("b_weakness", weakness("b_", thin))
-    rules = {
-        "A_income_proof_current": a_income_proof(), "A_address_proof_valid": a_address_proof(),
-        "A_statements_cover_months": a_statements(), "A_fields_cohere": a_fields_cohere(),
-        "B_identity_coheres": b_identity(), "B_salary_matches_employer": b_salary_employer(),
-        "B_gst_bank_consistent": b_gst_bank(), "B_synthetic_identity_signals": b_synthetic(),
-        "C_willingness": c_willingness(), "C_recent_delinquency": c_delinquency(), "C_capacity": c_capacity_baseline(),
-        "C_foir_within_limit": c_foir_within(), "C_income_stable": c_income_stable(),
-        "C_collateral_adequacy": c_collateral(), "C_collateral_title_clear": c_title_clear(),
-        # half-to-even, the rounding the ordinal answer is defined with
-        "D_closeness": F.greatest(F.lit(0), F.least(F.lit(4), F.rint(F.round(closeness_baseline(c("b_worst")), 9)).cast("int"))),
-        **{q: c("b_weakness") == cat for q, cat in R.DOUBT_CATEGORY.items()},
-        "E_memo_matches_grid": e_memo_grid(), "E_rate_math_correct": e_rate_math(),
-        "E_disclosures_complete": e_disclosures(),
-        **{f"E_disclosure_{d}": e_disclosure(h) for d, h in R.DISCLOSURES},
-        **f_ews(),
-        **{f"F_covenant_{x}": _covenant(x, covenant_from_text) for x in R.COVENANTS},
-    }
-    return df.select("*", *[rules[q].alias(f"r_{q}") for q in R.QIDS])
+BASELINE_RULES: dict[str, str] = {
+    "A_income_proof_current": INCOME_PROOF, "A_address_proof_valid": _address_proof(),
+    "A_statements_cover_months": "months_covered >= months_required", "A_fields_cohere": _fields_cohere(),
+    "B_identity_coheres": _identity(), "B_salary_matches_employer": _salary(),
+    "B_gst_bank_consistent": "gst_ratio_band NOT IN ('<0.5', '>2')", "B_synthetic_identity_signals": SYNTHETIC,
+    "C_willingness": WILLINGNESS, "C_recent_delinquency": "max_dpd >= 30", "C_capacity": CAPACITY_BANDED,
+    "C_foir_within_limit": FOIR_WITHIN, "C_income_stable": "volatility_cv < 0.25D AND months_history >= 12",
+    "C_collateral_adequacy": COLLATERAL, "C_collateral_title_clear": "title_status = 'clear' AND legal_opinion = 'positive'",
+    "D_closeness": closeness_banded("b_worst"),
+    **{q: f"b_weakness = '{cat}'" for q, cat in R.DOUBT_CATEGORY.items()},
+    "E_memo_matches_grid": _memo_grid(), "E_rate_math_correct": RATE_MATH,
+    "E_disclosures_complete": " AND ".join(_heading(h) for _, h in R.DISCLOSURES),
+    **{f"E_disclosure_{d}": _heading(h) for d, h in R.DISCLOSURES},
+    **EARLY_WARNINGS,
+    **{f"F_covenant_{x}": _covenant(x, covenant_from_text) for x in R.COVENANTS},
+}
+
+
+def baseline_columns(evidence: DataFrame, only: Iterable[str] = R.QIDS) -> DataFrame:
+    """One ``r_{qid}`` column per question (boolean or ordinal), in one projection over the evidence row."""
+    only = list(only)
+    df = evidence
+    if any(q.startswith("D_") for q in only):
+        df = with_risk(df, "b_", exact=False).selectExpr(
+            "*", f"{smallest('b_', exact=False)} AS b_worst", f"{weakness('b_', 'score_band = ' + chr(39) + 'NTC' + chr(39))} AS b_weakness")
+    return df.selectExpr("*", *[f"{BASELINE_RULES[q]} AS r_{q}" for q in only])
+
+
+_FAILING = {
+    "fraud": "fraud", "dscr_below_1_25": f"segment = 'msme_business' AND dscr < {R.DSCR_MIN}D",
+    "foir_above_limit": "segment <> 'msme_business' AND foir_pct > foir_limit_pct",
+    "ntc_not_eligible": "x_score IS NULL AND NOT (segment = 'salaried_personal' AND income_inr >= 50000)",
+    "bureau_below_650": "x_score < 650", "max_dpd_60_plus": "max_dpd >= 60", "writeoff_or_settlement": "writeoffs > 0",
+    "ltv_above_limit": "is_home AND ltv_pct > max_ltv_pct", "title_not_clear": "is_home AND title_status <> 'clear'",
+    "business_vintage_below_2y": f"{_VINTAGE_APPLIES} AND years < 2D",
+    "pd_above_cutoff": f"x_pd >= {B.lookup_sql(R.PD_CUTOFF, 'segment')}",
+}
+
+
+def _names(conditions: dict[str, str]) -> str:
+    return f"array_compact(array({', '.join(f'CASE WHEN {x} THEN {chr(39)}{n}{chr(39)} END' for n, x in conditions.items())}))"
 
 
 def labels(evidence: DataFrame) -> DataFrame:
     """Credit-policy labels from exact values: failed rules, sanctionable, closeness, weakness, outcome."""
-    from creditloom.operators.features import effective_score
-
-    df = with_risk(evidence, "x_", exact=True).withColumn("x_score", effective_score())
-    seg, score = c("segment"), c("x_score")
-    vintage = seg.isin("self_employed", "msme_business") | (c("is_home") & (c("employment_type") == "self_employed"))
-    failing = {
-        "fraud": c("fraud"),
-        "dscr_below_1_25": (seg == "msme_business") & (c("dscr") < R.DSCR_MIN),
-        "foir_above_limit": (seg != "msme_business") & (c("foir_pct") > c("foir_limit_pct")),
-        "ntc_not_eligible": score.isNull() & ~((seg == "salaried_personal") & (c("income_inr") >= 50000)),
-        "bureau_below_650": score < 650,
-        "max_dpd_60_plus": c("max_dpd") >= 60,
-        "writeoff_or_settlement": c("writeoffs") > 0,
-        "ltv_above_limit": c("is_home") & (c("ltv_pct") > c("max_ltv_pct")),
-        "title_not_clear": c("is_home") & (c("title_status") != "clear"),
-        "business_vintage_below_2y": vintage & (c("years") < 2.0),
-        "pd_above_cutoff": c("x_pd") >= B.lookup(R.PD_CUTOFF, seg),
-    }
-    failed = F.array_compact(F.array(*[F.when(_no(cond), F.lit(name)) for name, cond in failing.items()]))
-    missing = F.array_compact(F.array(
-        F.when(c("miss_income"), "income_proof"), F.when(c("miss_address"), "address_proof"),
-        F.when(c("months_covered") < c("months_required"), "statements"), F.when(c("miss_fields"), "fields_coherence")))
-    ids = F.array(*[F.lit(d) for d, _ in R.DISCLOSURES])
-    defects = F.array_compact(F.array(
-        F.when(c("defect_conditions"), "memo_condition_mismatch"), F.when(c("defect_apr"), "apr_math_wrong"),
-        F.when(c("defect_disclosure").isNotNull(), F.concat(F.lit("disclosure_missing:"), F.get(ids, c("defect_disclosure"))))))
-    draw = (c("k") * 97 % 1000).cast("double") / 1000.0
-    df = df.select(
-        "*", failed.alias("failed_rules"), missing.alias("missing_items"), defects.alias("memo_defects"),
-        smallest(margins("x_", exact=True)).alias("x_worst"), weakness("x_", score.isNull()).alias("primary_weakness"),
-        F.when(draw < c("x_pd"), "defaults").when(draw < c("x_pd") + F.least(F.lit(0.3), 1.5 * c("x_pd")), "slips")
-        .otherwise("repays").alias("outcome_12m"),
-    )
-    return df.withColumn("sanctionable", F.size("failed_rules") == 0).withColumn("closeness_level", closeness_exact(c("x_worst")))
+    df = with_risk(evidence, "x_", exact=True).selectExpr("*", f"{EFFECTIVE_SCORE} AS x_score")
+    missing = {"income_proof": "miss_income", "address_proof": "miss_address",
+               "statements": "months_covered < months_required", "fields_coherence": "miss_fields"}
+    ids = _list(d for d, _ in R.DISCLOSURES)
+    draw = "CAST(k * 97 % 1000 AS DOUBLE) / 1000D"
+    df = df.selectExpr(
+        "*", f"{_names(_FAILING)} AS failed_rules", f"{_names(missing)} AS missing_items",
+        "array_compact(array(CASE WHEN defect_conditions THEN 'memo_condition_mismatch' END,"
+        " CASE WHEN defect_apr THEN 'apr_math_wrong' END,"
+        f" concat('disclosure_missing:', get(array({ids}), defect_disclosure)))) AS memo_defects",
+        f"{smallest('x_', exact=True)} AS x_worst", f"{weakness('x_', 'x_score IS NULL')} AS primary_weakness",
+        f"CASE WHEN {draw} < x_pd THEN 'defaults' WHEN {draw} < x_pd + least(0.3D, 1.5D * x_pd) THEN 'slips' ELSE 'repays' END"
+        " AS outcome_12m")
+    return df.selectExpr("*", "size(failed_rules) = 0 AS sanctionable", f"{closeness_exact('x_worst')} AS closeness_level")
+
+
+def _lacks(items: str, value: str) -> str:
+    return f"NOT array_contains({items}, '{value}')"
+
+
+_FRAUD = "coalesce(fraud_type, '')"
+TRUTH_RULES: dict[str, str] = {
+    **{q: BASELINE_RULES[q] for q in ("C_willingness", "C_recent_delinquency", "C_foir_within_limit", "C_income_stable",
+                                      "C_collateral_adequacy", "C_collateral_title_clear")},
+    "A_income_proof_current": _lacks("missing_items", "income_proof"),
+    "A_address_proof_valid": _lacks("missing_items", "address_proof"),
+    "A_statements_cover_months": _lacks("missing_items", "statements"),
+    "A_fields_cohere": _lacks("missing_items", "fields_coherence"),
+    "B_identity_coheres": f"{_FRAUD} NOT IN ('identity_mismatch', 'synthetic_identity')",
+    "B_salary_matches_employer": f"{_FRAUD} <> 'salary_pattern_mismatch'",
+    "B_gst_bank_consistent": f"{_FRAUD} <> 'gst_bank_mismatch'",
+    "B_synthetic_identity_signals": f"{_FRAUD} = 'synthetic_identity'",
+    "C_capacity": CAPACITY_EXACT, "D_closeness": "closeness_level",
+    **{q: f"primary_weakness = '{cat}'" for q, cat in R.DOUBT_CATEGORY.items()},
+    "E_memo_matches_grid": _lacks("memo_defects", "memo_condition_mismatch"),
+    "E_rate_math_correct": _lacks("memo_defects", "apr_math_wrong"),
+    "E_disclosures_complete": "NOT exists(memo_defects, d -> startswith(d, 'disclosure_missing:'))",
+    **{f"E_disclosure_{d}": _lacks("memo_defects", f"disclosure_missing:{d}") for d, _ in R.DISCLOSURES},
+    **EARLY_WARNINGS,
+    **{f"F_covenant_{x}": _covenant(x, covenant_exact) for x in R.COVENANTS},
+}
 
 
 def truth_columns(labelled: DataFrame) -> DataFrame:
     """Truth of every question as ``t_{qid}`` columns (0/1 for yes-no questions, the level for ordinals)."""
-    def lacks(items: str, value: str) -> Column:
-        return ~F.array_contains(c(items), value)
-
-    fraud = F.coalesce(c("fraud_type"), F.lit(""))
-    truth = {
-        "A_income_proof_current": lacks("missing_items", "income_proof"),
-        "A_address_proof_valid": lacks("missing_items", "address_proof"),
-        "A_statements_cover_months": lacks("missing_items", "statements"),
-        "A_fields_cohere": lacks("missing_items", "fields_coherence"),
-        "B_identity_coheres": ~fraud.isin("identity_mismatch", "synthetic_identity"),
-        "B_salary_matches_employer": fraud != "salary_pattern_mismatch",
-        "B_gst_bank_consistent": fraud != "gst_bank_mismatch",
-        "B_synthetic_identity_signals": fraud == "synthetic_identity",
-        "C_willingness": c_willingness(), "C_recent_delinquency": c_delinquency(), "C_capacity": c_capacity_exact(),
-        "C_foir_within_limit": c_foir_within(), "C_income_stable": c_income_stable(),
-        "C_collateral_adequacy": c_collateral(), "C_collateral_title_clear": c_title_clear(),
-        "D_closeness": c("closeness_level"),
-        **{q: c("primary_weakness") == cat for q, cat in R.DOUBT_CATEGORY.items()},
-        "E_memo_matches_grid": lacks("memo_defects", "memo_condition_mismatch"),
-        "E_rate_math_correct": lacks("memo_defects", "apr_math_wrong"),
-        "E_disclosures_complete": ~F.exists(c("memo_defects"), lambda d: d.startswith("disclosure_missing:")),
-        **{f"E_disclosure_{d}": lacks("memo_defects", f"disclosure_missing:{d}") for d, _ in R.DISCLOSURES},
-        **f_ews(),
-        **{f"F_covenant_{x}": _covenant(x, covenant_exact) for x in R.COVENANTS},
-    }
-    return labelled.select("*", *[truth[q].cast("double").alias(f"t_{q}") for q in R.QIDS])
+    return labelled.selectExpr("*", *[f"CAST({TRUTH_RULES[q]} AS DOUBLE) AS t_{q}" for q in R.QIDS])
 
 
-def applicable(qid: str) -> Column:
+def applicable_sql(qid: str) -> str:
     """Whether a question applies to the file (segment, salaried applicant, GST registration)."""
     segments = next(q[6] for q in R.QUESTIONS if q[0] == qid)
-    cond = F.lit(True) if segments is None else c("segment").isin(*segments)
+    cond = "true" if segments is None else f"segment IN ({_list(segments)})"
     if qid == "B_salary_matches_employer":
-        cond = cond & (c("employment_type") == "salaried")
+        cond += " AND employment_type = 'salaried'"
     if qid == "B_gst_bank_consistent":
-        cond = cond & c("has_gst")
+        cond += " AND has_gst"
     return cond
 
 
-def unpivot_questions(wide: DataFrame, keep: list[str], **values: str) -> DataFrame:
+def unpivot_questions(wide: DataFrame, keep: list[str], only: Iterable[str] = R.QIDS, **values: str) -> DataFrame:
     """Wide question columns to one row per applicable question.
 
     ``values`` maps an output column to the prefix of its wide columns. One generator over the file's own row: no
     join with the catalogue and no shuffle.
     """
+    only = set(only)
     structs = []
     for i, (qid, module, stage, qtype, polarity, routing, _) in enumerate(R.QUESTIONS, 1):
-        structs.append(F.when(applicable(qid), F.struct(
-            F.lit(i).cast("bigint").alias("q"), F.lit(qid).alias("qid"), F.lit(module).alias("module"),
-            F.lit(stage).alias("stage"), F.lit(qtype).alias("qtype"), F.lit(polarity).alias("polarity"),
-            F.lit(routing).alias("routing"),
-            *[c(prefix + qid).cast("double").alias(name) for name, prefix in values.items()])))
-    return wide.select(*keep, F.inline(F.array_compact(F.array(*structs))))
+        if qid not in only:
+            continue
+        extra = "".join(f", '{name}', CAST({prefix}{qid} AS DOUBLE)" for name, prefix in values.items())
+        structs.append(
+            f"CASE WHEN {applicable_sql(qid)} THEN named_struct('q', CAST({i} AS BIGINT), 'qid', '{qid}', 'module', '{module}',"
+            f" 'stage', '{stage}', 'qtype', '{qtype}', 'polarity', '{polarity}', 'routing', {str(routing).lower()}{extra}) END")
+    return wide.select(*keep, F.expr(f"inline(array_compact(array({', '.join(structs)})))"))

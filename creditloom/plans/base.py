@@ -14,29 +14,55 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return B.book(spark, folder)
 
 
-def ratios(spark: SparkSession, folder: str) -> DataFrame:
-    return features.observed_ratios(features.join_grid_row(B.book(spark, folder), spark))
+def ratios(spark: SparkSession, folder: str, *, by_file: bool = False) -> DataFrame:
+    return features.observed_ratios(features.join_grid_row(B.book(spark, folder, by_file=by_file), spark))
 
 
-def state(spark: SparkSession, folder: str) -> DataFrame:
-    return features.appraisal_state(ratios(spark, folder))
+def state(spark: SparkSession, folder: str, *, by_file: bool = False) -> DataFrame:
+    return features.appraisal_state(ratios(spark, folder, by_file=by_file))
 
 
-def evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Everything the rules read, one row per file: state bands, documents, memo, covenants, repayment months.
+def evidence(spark: SparkSession, folder: str, parts: str = "docs memo covs months") -> DataFrame:
+    """What the rules read, one row per file: state bands, documents, memo, covenants, repayment months.
 
-    The only wide exchange besides the customer join is the repayment aggregation, already keyed by file.
+    ``parts`` names the blocks a caller needs, so a rule on bands alone never scans repayments. The book is hash
+    partitioned on the file key while narrow; the repayment aggregation shares that key, so the join adds no exchange.
     """
-    df = B.with_covenants(B.with_memo(B.with_documents(state(spark, folder))))
-    return df.join(B.monthly_conduct(spark, folder), "k", "left")
-
-
-def baseline(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.baseline_columns(evidence(spark, folder))
+    wanted = parts.split()
+    df = state(spark, folder, by_file=True)
+    if "docs" in wanted:
+        df = B.with_documents(df)
+    if "memo" in wanted:
+        df = B.with_memo(df)
+    if "covs" in wanted:
+        df = B.with_covenants(df)
+    if "months" in wanted:
+        df = df.join(B.monthly_conduct(spark, folder), "k", "left")
+    return df
+
+
+def parts_for(qids) -> str:
+    """The evidence blocks a set of questions reads."""
+    need = set()
+    for q in qids:
+        if q[0] in "AB":
+            need.add("docs")
+        if q[0] == "E":
+            need.add("memo")
+        if q.startswith("F_ews"):
+            need.add("months")
+        if q.startswith("F_cov"):
+            need.add("covs")
+    return " ".join(sorted(need))
+
+
+def baseline(spark: SparkSession, folder: str, only=R.QIDS) -> DataFrame:
+    return rules.baseline_columns(evidence(spark, folder, parts_for(only)), only)
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.labels(evidence(spark, folder))
+    """Labels read bands, exact values and flags only: no documents, memo or repayments."""
+    return rules.labels(evidence(spark, folder, ""))
 
 
 def _answer_columns(sheet: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -76,10 +102,14 @@ def _answer_columns(sheet: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def answer_sheet(spark: SparkSession, folder: str) -> DataFrame:
+def answer_sheet(spark: SparkSession, folder: str, only=R.QIDS) -> DataFrame:
     """Every asked question of every file with its answer where one came back (NULL where none did)."""
-    sheet = rules.unpivot_questions(baseline(spark, folder), ["file_id", "k", "segment"], rule_value="r_")
-    return _answer_columns(sheet)
+    wide = baseline(spark, folder, only)
+    keep = ("apr_gap",) if any(q.startswith("E_") for q in only) else ()
+    if keep:
+        wide = wide.withColumn("apr_gap", F.round(F.abs(F.col("apr_stated_pct") - F.col("apr_recomputed_pct")), 9))
+    sheet = rules.unpivot_questions(wide, ["file_id", "k", "segment", *keep], only, rule_value="r_")
+    return _answer_columns(sheet, keep)
 
 
 def truth_and_answers(spark: SparkSession, folder: str, keep: tuple[str, ...] = (), source: DataFrame | None = None) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.oracle import judging  # noqa: F401  (registers the views)
-from creditloom.plans import features_plans  # noqa: F401
+from creditloom.plans import features_plans, policy_plans  # noqa: F401
 from creditloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["rule_c_willingness"](spark, folder)
+    """How does this book route?"""
+    return QUERIES["route_book"](spark, folder)

@@ -131,7 +131,7 @@ _FEES = "CAST(floor(loan_amount_inr * 15 / 1000) AS BIGINT)"
 true AS reprices FROM book""", "book")
 def fin_apr(spark, folder):
     df = base.files(spark, folder).withColumn("fees", F.expr(_FEES))
-    df = df.withColumn("apr", fin.apr(c("loan_amount_inr"), c("fees"), c("proposed_emi_inr"), c("tenure_months")))
+    df = df.withColumn("apr", fin.apr("loan_amount_inr", "fees", "proposed_emi_inr", "tenure_months"))
     r = c("apr") / 1200.0
     pv = c("proposed_emi_inr") * (1 - F.exp(-c("tenure_months") * F.log1p(r))) / r
     return df.select("file_id", F.round("apr", 5).alias("apr"),
@@ -168,7 +168,7 @@ def feat_observed_ratios(spark, folder):
 @query("band_label", f"""SELECT foir_band, count(*) AS n FROM (SELECT {band('foir_pct', 'foir_pct')} AS foir_band FROM ratios) GROUP BY ALL""",
        "ratios")
 def band_label(spark, folder):
-    return base.ratios(spark, folder).groupBy(B.band("foir_pct", c("foir_pct")).alias("foir_band")).agg(
+    return base.ratios(spark, folder).groupBy(B.band("foir_pct", "foir_pct").alias("foir_band")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -185,30 +185,29 @@ def band_all(spark, folder):
 
 @query("band_bureau_ntc", f"SELECT file_id, coalesce({band('bureau_score', 'score')}, 'NTC') AS score_band FROM book", "book")
 def band_bureau_ntc(spark, folder):
-    return base.files(spark, folder).select("file_id", B.bureau_band(c("score")).alias("score_band"))
+    return base.files(spark, folder).select("file_id", B.bureau_band("score").alias("score_band"))
 
 
 @query("band_valuation_spread", "SELECT file_id, valuation_spread_band FROM state WHERE is_home", "state")
 def band_valuation_spread(spark, folder):
     return base.files(spark, folder).filter("is_home").select("file_id", B.band(
-        "valuation_spread", B.valuation_spread(c("market_value_inr"), c("valuation_2_inr"))).alias("valuation_spread_band"))
+        "valuation_spread", B.valuation_spread_sql("market_value_inr", "valuation_2_inr")).alias("valuation_spread_band"))
 
 
 @query("band_balance_change", "SELECT k, balance_change_band FROM conduct", "conduct")
 def band_balance_change(spark, folder):
-    first, last = features.month_sums(c("months"))
-    return book_source.monthly_conduct(spark, folder).select("k", B.balance_change(first, last).alias("balance_change_band"))
+    return book_source.monthly_conduct(spark, folder).selectExpr("k", f"{features.BALANCE_CHANGE} AS balance_change_band")
 
 
-@query("band_redaction_amount", f"""SELECT l_orderkey, l_linenumber, l_extendedprice, {band('redaction_amount', 'l_extendedprice * 100')} AS amount_band
+@query("band_redaction_amount", f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_extendedprice, {band('redaction_amount', '(l_extendedprice * 100)')} AS amount_band
 FROM lineitem""")
 def band_redaction_amount(spark, folder):
     return table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_extendedprice",
-        B.band("redaction_amount", c("l_extendedprice") * 100).alias("amount_band"))
+        B.band("redaction_amount", "(l_extendedprice * 100)").alias("amount_band"))
 
 
-_STATE = ", ".join(features.STATE_COLUMNS)
+_STATE = ", ".join(f"CAST({n} AS BIGINT) AS {n}" if n in features.STATE_NUMERIC else n for n in features.STATE_COLUMNS)
 
 
 @query("state_appraisal", f"SELECT file_id, {_STATE} FROM state", "state")
@@ -269,18 +268,18 @@ def score_risk_pd(spark, folder):
 
 @query("feat_effective_score", "SELECT file_id, score, x_score AS effective_score FROM risk_x", "risk_x")
 def feat_effective_score(spark, folder):
-    return base.files(spark, folder).select("file_id", "score", features.effective_score().alias("effective_score"))
+    return base.files(spark, folder).select("file_id", "score", F.expr(f"{features.EFFECTIVE_SCORE} AS effective_score"))
 
 
 # ------------------------------------------------------------------------------------------------ rules
 
 
 def _rule(name: str, qids: list[str], where: str = "") -> None:
-    cols = ", ".join(f"r_{x} AS {x.lower()}" for x in qids)
+    cols = ", ".join((f"CAST(r_{x} AS BIGINT)" if x in R.SCORE_QIDS else f"r_{x}") + f" AS {x.lower()}" for x in qids)
 
     @query(name, f"SELECT file_id, {cols} FROM baseline {where and 'WHERE ' + where}", "baseline")
     def run(spark, folder, _q=tuple(qids), _w=where):
-        df = base.baseline(spark, folder)
+        df = base.baseline(spark, folder, _q)
         if _w:
             df = df.filter(_w)
         return df.select("file_id", *[c(f"r_{x}").alias(x.lower()) for x in _q])
@@ -306,33 +305,32 @@ _rule("rule_f_ews", ["F_ews_dpd_rising", "F_ews_emi_bounces", "F_ews_partial_pay
 _rule("rule_f_covenant", [f"F_covenant_{x}" for x in R.COVENANTS], "segment = 'msme_business'")
 
 
-@query("rule_c_capacity", """SELECT file_id, b."r_C_capacity" AS banded_level, t."t_C_capacity" AS exact_level
+@query("rule_c_capacity", """SELECT file_id, CAST(b."r_C_capacity" AS BIGINT) AS banded_level, CAST(t."t_C_capacity" AS BIGINT) AS exact_level
 FROM baseline b JOIN truths t USING (file_id)""", "baseline truths")
 def rule_c_capacity(spark, folder):
-    return base.state(spark, folder).select(
-        "file_id", rules.c_capacity_baseline().alias("banded_level"), rules.c_capacity_exact().alias("exact_level"))
+    return base.state(spark, folder).selectExpr(
+        "file_id", f"{rules.CAPACITY_BANDED} AS banded_level", f"{rules.CAPACITY_EXACT} AS exact_level")
 
 
 @query("rule_d_margins", """SELECT file_id, round(b_worst, 6) AS banded_margin, round(x_worst, 6) AS exact_margin
 FROM baseline JOIN labelled USING (file_id)""", "baseline labelled")
 def rule_d_margins(spark, folder):
     df = features.with_risk(features.with_risk(base.state(spark, folder), "b_", exact=False), "x_", exact=True)
-    df = df.withColumn("x_score", features.effective_score())
-    return df.select("file_id", F.round(rules.smallest(rules.margins("b_", exact=False)), 6).alias("banded_margin"),
-                     F.round(rules.smallest(rules.margins("x_", exact=True)), 6).alias("exact_margin"))
+    return df.selectExpr("file_id", f"round({rules.smallest('b_', exact=False)}, 6) AS banded_margin",
+                         f"round({rules.smallest('x_', exact=True)}, 6) AS exact_margin")
 
 
-@query("rule_d_closeness", """SELECT file_id, b."r_D_closeness" AS banded_level, CAST(closeness_level AS BIGINT) AS exact_level
+@query("rule_d_closeness", """SELECT file_id, CAST(b."r_D_closeness" AS BIGINT) AS banded_level, CAST(closeness_level AS BIGINT) AS exact_level
 FROM baseline b JOIN labelled USING (file_id)""", "baseline labelled")
 def rule_d_closeness(spark, folder):
-    return base.judged(spark, folder).select("file_id", c("r_D_closeness").alias("banded_level"),
-                                             c("closeness_level").alias("exact_level"))
+    return rules.labels(base.baseline(spark, folder, ["D_closeness"])).select(
+        "file_id", c("r_D_closeness").alias("banded_level"), c("closeness_level").alias("exact_level"))
 
 
 @query("rule_d_weakness", """SELECT file_id, b_weakness AS banded_weakness, primary_weakness FROM baseline JOIN labelled USING (file_id)""",
        "baseline labelled")
 def rule_d_weakness(spark, folder):
-    return base.judged(spark, folder).select("file_id", c("b_weakness").alias("banded_weakness"), "primary_weakness")
+    return rules.labels(base.baseline(spark, folder, ["D_closeness"])).select("file_id", c("b_weakness").alias("banded_weakness"), "primary_weakness")
 
 
 @query("q_applicability", "SELECT file_id, qid, q FROM asked", "asked")
@@ -360,7 +358,7 @@ def label_sanctionable(spark, folder):
 
 @query("label_question_truth", "SELECT file_id, qid, truth FROM truth_long", "truth_long")
 def label_question_truth(spark, folder):
-    wide = rules.truth_columns(base.labelled(spark, folder))
+    wide = rules.truth_columns(rules.labels(base.evidence(spark, folder, "covs months")))
     return rules.unpivot_questions(wide, ["file_id"], truth="t_").select("file_id", "qid", "truth")
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.oracle import judging  # noqa: F401  (registers the views)
+from creditloom.oracle import decisions, judging  # noqa: F401  (registers the views)
 from creditloom.oracle.views import compose
+from creditloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,7 +38,7 @@ def query(name: str, sql: str | None = None, needs: str = ""):
 
         @functools.wraps(fn)
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return stable_types(fn(spark, folder))
+            return stable_types(fn(tune(spark), folder))
 
         QUERIES[name] = run
         if sql is not None:
