@@ -38,11 +38,14 @@ def cumulative(hist: DataFrame, group: list[str], order: list[Column], count: st
 
 def exact_percentiles(df: DataFrame, group: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Linear-interpolation percentiles per group, equal to sorting each group but with bounded tasks."""
+    if not group:
+        out = exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, quantiles)
+        return out.drop("_all")
     v = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("v"))
     hist = v.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("cnt")).withColumn("coarse", magnitude_bucket(F.col("v")))
     ranked = cumulative(hist, group, [F.col("v")], "cnt")
     totals = v.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    withn = ranked.join(totals, group) if group else ranked.join(F.broadcast(totals))
+    withn = ranked.join(totals, group)
     aggs = []
     for name, q in quantiles.items():
         pos = F.lit(q) * (F.col("n") - 1)

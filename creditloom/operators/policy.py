@@ -67,6 +67,10 @@ _DOUBT_ORDER = sorted(R.DOUBT_CATEGORY)
 _DOUBT_NO = lookup_sql({q: len(_DOUBT_ORDER) - i for i, q in enumerate(_DOUBT_ORDER)}, "qid")
 
 
+_C_ORDER = sorted(q[0] for q in R.QUESTIONS if q[1] == "C")
+_C_NO = lookup_sql({q: len(_C_ORDER) - i for i, q in enumerate(_C_ORDER)}, "qid")
+
+
 def _bits(cond: str) -> str:
     return f"bit_or(CASE WHEN {cond} THEN shiftleft(1L, CAST(q AS INT)) ELSE 0L END)"
 
@@ -83,6 +87,8 @@ MODULE_AGGREGATES: dict[str, dict[str, str]] = {
     "B": {"b_n": "count_if(module = 'B')", "b_signal": f"bool_or({_B_SIGNAL})", "b_uncertain": "bool_or(module = 'B' AND low AND routing)",
           "b_flags": _bits(_B_SIGNAL), "b_lowest": "min(CASE WHEN module = 'B' THEN goodness END)"},
     "C": {"c_weighted": "sum(CASE WHEN usable THEN weight * goodness END)", "c_total": "sum(CASE WHEN usable THEN weight END)",
+          # the weighted drag order inside a file does not need the file's total weight
+          "c_top": f"max(CASE WHEN usable AND round(weight * (1 - goodness), 9) > 0 THEN CAST(round(weight * (1 - goodness) * 1e9) AS BIGINT) * 10 + {_C_NO} END)",
           "c_uncertain": "bool_or(module = 'C' AND low AND (routing OR weight IS NOT NULL))"},
     "D": {"d_closeness": "max(CASE WHEN qid = 'D_closeness' AND usable THEN round(goodness, 9) END)",
           # highest probability (nine places), then the earlier question id
@@ -95,10 +101,15 @@ MODULE_AGGREGATES: dict[str, dict[str, str]] = {
 }
 
 
+_APR_MISMATCH = f"apr_gap > {R.APR_TOLERANCE_PP}D"
+
+
 def module_results(reads: DataFrame, modules: str = "ABCDEF") -> DataFrame:
     """One row per file with every module's aggregates and its verdict."""
     exprs = {n: x for m in modules for n, x in MODULE_AGGREGATES[m].items()}
-    extra = {"apr_gap": "max(apr_gap)"} if "apr_gap" in reads.columns and "E" in modules else {}
+    extra = {}
+    if "E" in modules:
+        extra["apr_gap"] = "max(apr_gap)" if "apr_gap" in reads.columns else "max(CAST(NULL AS DOUBLE))"
     for stage in R.STAGES:
         extra[f"{stage}_failure"] = f"max(CASE WHEN stage = '{stage}' THEN {_KIND_NO} END)"
     df = reads.withColumn("weight", F.expr(weight_sql())).groupBy("k", "file_id", "segment").agg(
@@ -109,6 +120,9 @@ def module_results(reads: DataFrame, modules: str = "ABCDEF") -> DataFrame:
     if "D" in modules:
         doubts = ", ".join(f"'{q}'" for q in _DOUBT_ORDER)
         decoded["d_top"] = f"get(array({doubts}), CAST({len(_DOUBT_ORDER)} - d_top % 10 AS INT))"
+    if "C" in modules:
+        weighed = ", ".join(f"'{q}'" for q in _C_ORDER)
+        decoded["c_top"] = f"get(array({weighed}), CAST({len(_C_ORDER)} - c_top % 10 AS INT))"
     df = df.selectExpr(*[f"{decoded.get(n, n)} AS {n}" for n in df.columns])
     out = ["*"]
     if "A" in modules:
@@ -118,6 +132,7 @@ def module_results(reads: DataFrame, modules: str = "ABCDEF") -> DataFrame:
     if "C" in modules:
         out.append("round(c_weighted / c_total, 9) AS composite")
     if "E" in modules:
+        out.append(f"(apr_gap IS NULL OR {_APR_MISMATCH} OR e_fail OR e_uncertain) AS blocked")
         out.append("CASE WHEN e_fail THEN 'fail' WHEN e_uncertain THEN 'uncertain' ELSE 'pass' END AS e_outcome")
     if "F" in modules:
         out.append("CASE WHEN f_warnings >= 3 THEN 'T3' WHEN f_warnings >= 2 THEN 'T2' WHEN f_warnings >= 1 THEN 'T1' ELSE 'T0' END AS f_tier")
@@ -153,7 +168,6 @@ def _failure_code(stage: str) -> str:
     return f"coalesce({lookup_sql(R.FAILURE_CODE, f'{stage}_failure')}, 'MODEL_ERROR')"
 
 
-_APR_MISMATCH = f"apr_gap > {R.APR_TOLERANCE_PP}D"
 APPRAISAL = {  # first match wins
     "appraisal_failure IS NOT NULL": ("HUMAN_REVIEW", _failure_code("appraisal"), "credit_review"),
     "b_outcome = 'signal'": ("FRAUD_INVESTIGATION", "'FRAUD_SIGNAL'", "fraud_investigation"),

@@ -25,9 +25,10 @@ def flags(cond: str) -> str:
     return f"coalesce(string_agg(DISTINCT qid, ',' ORDER BY qid) FILTER (WHERE {cond}), '')"
 
 
-view("modules0", "weighed memo", f"""
+def _module_view(name: str, source: str) -> None:
+    view(name, f"{source} memo", f"""
 SELECT w.k, any_value(w.file_id) AS file_id, any_value(w.segment) AS segment, bool_or({_A}) AS a_fail, bool_or(module = 'A' AND low) AS a_uncertain,
- {flags(_A)} AS a_items, min(goodness) FILTER (WHERE module = 'A') AS a_lowest, bool_or({_B}) AS b_signal,
+ {flags(_A)} AS a_items, (min({{'d': -round(weight * (1 - goodness), 9), 'qid': qid}}) FILTER (WHERE usable AND round(weight * (1 - goodness), 9) > 0)).qid AS c_top, min(goodness) FILTER (WHERE module = 'A') AS a_lowest, bool_or({_B}) AS b_signal,
  bool_or(module = 'B' AND low) AS b_uncertain, {flags(_B)} AS b_flags, min(goodness) FILTER (WHERE module = 'B') AS b_lowest,
  round(sum(weight * goodness) FILTER (WHERE usable) / sum(weight) FILTER (WHERE usable), 9) AS composite, bool_or(module = 'C' AND low) AS c_uncertain,
  max(round(goodness, 9)) FILTER (WHERE qid = 'D_closeness' AND usable) AS d_closeness,
@@ -36,15 +37,28 @@ SELECT w.k, any_value(w.file_id) AS file_id, any_value(w.segment) AS segment, bo
  count(*) FILTER (WHERE {_EWS}) + 2 * count(*) FILTER (WHERE {_BR}) AS f_warnings, {flags(f'({_EWS}) OR ({_BR})')} AS f_flags,
  max(failure_kind) FILTER (WHERE stage = 'appraisal') AS fail_1, max(failure_kind) FILTER (WHERE stage = 'sanction_docs') AS fail_2,
  max(failure_kind) FILTER (WHERE stage = 'monitoring') AS fail_3, any_value(round(abs(apr_stated_pct - apr_recomputed_pct), 9)) AS apr_gap
-FROM weighed w JOIN memo m ON w.k = m.k GROUP BY w.k""")
-view("modules", "modules0", """
+FROM {source} w JOIN memo m ON w.k = m.k GROUP BY w.k""")
+
+
+_module_view("modules0", "weighed")
+view("weighed_b", "asked", f"""SELECT *, {_W} AS weight FROM (SELECT *, rule_value IS NOT NULL AS usable, rule_value AS value,
+ CASE WHEN qtype = 'score' THEN rule_value / 4 WHEN polarity = 'yes_is_good' THEN rule_value ELSE 1 - rule_value END AS goodness,
+ false AS low, CAST(NULL AS VARCHAR) AS failure_kind FROM asked)""")
+_module_view("modules0_b", "weighed_b")
+def _verdict_view(name: str, source: str) -> None:
+    view(name, source, f"""
 SELECT *, CASE WHEN a_fail THEN 'fail' WHEN a_uncertain THEN 'uncertain' ELSE 'pass' END AS a_outcome,
  CASE WHEN b_signal THEN 'signal' WHEN b_uncertain THEN 'uncertain' ELSE 'clear' END AS b_outcome,
  CASE WHEN composite >= 0.7 THEN 'pass' WHEN composite >= 0.5 THEN 'borderline' WHEN composite IS NOT NULL THEN 'fail' END AS band,
  CASE WHEN c_uncertain THEN 'uncertain' WHEN composite IS NULL THEN 'not_run' WHEN composite >= 0.7 THEN 'pass'
   WHEN composite >= 0.5 THEN 'borderline' ELSE 'fail' END AS c_outcome,
  CASE WHEN e_fail THEN 'fail' WHEN e_uncertain THEN 'uncertain' ELSE 'pass' END AS e_outcome,
- 'T' || CAST(least(3, f_warnings) AS VARCHAR) AS f_tier FROM modules0""")
+ 'T' || CAST(least(3, f_warnings) AS VARCHAR) AS f_tier,
+ apr_gap IS NULL OR apr_gap > 0.1 OR e_fail OR e_uncertain AS blocked FROM {source}""")
+
+
+_verdict_view("modules", "modules0")
+_verdict_view("modules_b", "modules0_b")
 _CODE = {f: f"CASE {f} WHEN 'timeout' THEN 'MODEL_TIMEOUT' WHEN 'pii_blocked' THEN 'PII_BLOCKED' ELSE 'MODEL_ERROR' END" for f in ("fail_1", "fail_2", "fail_3")}
 view("appraisals", "modules", f"""
 SELECT *, CASE WHEN fail_1 IS NOT NULL THEN {_CODE['fail_1']} WHEN b_signal THEN 'FRAUD_SIGNAL' WHEN a_fail THEN 'READINESS_FAIL'

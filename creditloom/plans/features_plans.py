@@ -54,14 +54,17 @@ def book_write(spark, folder):
 
 _CONFIG = [("grid", R.GRID_VERSION, repr(R.GRID)), ("policy", R.POLICY_VERSION, repr(R.WEIGHTS)),
            ("pricing", R.PRICING_VERSION, repr(R.PREMIUM_TIERS))]
+_GOVERNED = {"home_loan": "grid", "msme_term_loan": "policy"}  # which configuration a product's files are checked against
 
 
-@query("config_tables", "SELECT name, version, sha256(content) AS sha256, (SELECT count(*) FROM book) AS governed_files FROM (VALUES "
-       + ", ".join(f"({q(n)}, {q(v)}, {q(t)})" for n, v, t in _CONFIG) + ") t(name, version, content)", "book")
+@query("config_tables", "SELECT name, version, sha256(content) AS sha256, count(*) AS governed_files FROM book JOIN (VALUES "
+       + ", ".join(f"({q(n)}, {q(v)}, {q(t)})" for n, v, t in _CONFIG) + ") t(name, version, content) ON name = CASE product WHEN 'home_loan'"
+       " THEN 'grid' WHEN 'msme_term_loan' THEN 'policy' ELSE 'pricing' END GROUP BY ALL", "book")
 def config_tables(spark, folder):
     configs = inline(spark, _CONFIG, "name string; version string; content string")
-    n = base.files(spark, folder).agg(F.count(F.lit(1)).alias("governed_files"))
-    return configs.select("name", "version", F.sha2("content", 256).alias("sha256")).join(F.broadcast(n))
+    n = base.files(spark, folder).groupBy(F.coalesce(B.lookup(_GOVERNED, "product"), F.lit("pricing")).alias("name")).agg(
+        F.count(F.lit(1)).alias("governed_files"))
+    return configs.select("name", "version", F.sha2("content", 256).alias("sha256")).join(n, "name")
 
 
 @query("contract_duplicates", """SELECT printf('F%06d', l_orderkey + 1) AS file_id, printf('L%d', l_linenumber) AS stage, count(*) AS n

@@ -10,6 +10,7 @@ from creditloom.operators import policy, pricing, queue
 from creditloom.plans import base
 from creditloom.plans.features_plans import scratch
 from creditloom.plans.registry import query
+from creditloom.plans.run import run_table
 from creditloom.sources import io
 from creditloom.sources.tables import inline
 
@@ -26,8 +27,13 @@ def modules(spark, folder, which: str = "ABCDEF"):
     return policy.module_results(reads(spark, folder, which), which)
 
 
+def run_modules(spark, folder):
+    """Module results of the whole book as the replay run recorded them."""
+    return run_table(spark, folder, "modules", lambda: modules(spark, folder))
+
+
 def all_decisions(spark, folder):
-    return policy.decisions(modules(spark, folder))
+    return policy.decisions(run_modules(spark, folder))
 
 
 def appraisal_decisions(spark, folder):
@@ -36,7 +42,7 @@ def appraisal_decisions(spark, folder):
 
 @query("route_book", """SELECT segment, outcome, count(*) AS files FROM decisions WHERE stage = 'appraisal' GROUP BY ALL""", "decisions")
 def route_book(spark, folder):
-    return appraisal_decisions(spark, folder).groupBy("segment", "outcome").agg(F.count(F.lit(1)).alias("files"))
+    return policy.decisions(modules(spark, folder)).filter("stage = 'appraisal'").groupBy("segment", "outcome").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("decisions_scan", """SELECT stage, outcome, count(*) AS rows, count(failure_kind) AS failed FROM decisions GROUP BY ALL""", "decisions")
