@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.plans import audit_plans, evaluate_plans, features_plans, policy_plans  # noqa: F401
+from creditloom.plans import audit_plans, evaluate_plans, features_plans, monitor_plans, pii_plans, policy_plans  # noqa: F401
 from creditloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
