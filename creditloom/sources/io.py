@@ -62,9 +62,11 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_decisions_quarantine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, malformed lines with the raw text and its file) for runs that must not stop."""
-    raw = spark.read.schema(DECISION_SCHEMA + ", _corrupt_record STRING").json(path, mode="PERMISSIVE").withColumn("source_file", F.input_file_name())
-    bad = raw.filter(F.col("_corrupt_record").isNotNull()).select("source_file", "_corrupt_record")
-    return raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "source_file"), bad
+    # lines are read as text, so the raw form of a malformed one is kept whatever columns a query prunes to
+    lines = spark.read.text(path).filter("trim(value) <> ''").withColumn("source_file", F.input_file_name())
+    parsed = lines.withColumn("row", F.from_json("value", DECISION_SCHEMA + ", _corrupt_record STRING", {"mode": "PERMISSIVE"}))
+    bad = parsed.filter("row._corrupt_record IS NOT NULL").select("source_file", F.col("value").alias("_corrupt_record"))
+    return parsed.filter("row._corrupt_record IS NULL").select("row.*").drop("_corrupt_record"), bad
 
 
 def write_decisions(decisions: DataFrame, path: str) -> None:

@@ -23,11 +23,14 @@ LATENESS = "1 hour"
 
 
 def calls(events: DataFrame) -> DataFrame:
-    """Events as timed model calls. Zone-less timestamps are read as UTC, as watermarks need real instants."""
+    """Events as timed model calls with their watermark, set once here (a table ignores it).
+
+    Zone-less timestamps are read as UTC, as watermarks need real instants.
+    """
     return events.select(
         "event_id", c("ts").cast("timestamp").alias("ts"), "user_id", "event_type", (c("event_type") == "error").alias("failed"),
         (c("value") * 200).alias("latency_ms"), ((c("event_id") * 37 % 101).cast("double") / 100.0).alias("p"),
-        (c("event_type") != "error").cast("double").alias("y"), F.concat(F.lit("G"), (c("user_id") % 3).cast("string")).alias("grp"))
+        (c("event_type") != "error").cast("double").alias("y"), F.concat(F.lit("G"), (c("user_id") % 3).cast("string")).alias("grp")).withWatermark("ts", LATENESS)
 
 
 def day(column: Column) -> Column:
@@ -36,7 +39,7 @@ def day(column: Column) -> Column:
 
 def calibration_bins(timed: DataFrame, window: str = "1 day") -> DataFrame:
     """Per window and probability bin: counts and sums (the only stateful step of the calibration monitor)."""
-    return timed.withWatermark("ts", LATENESS).groupBy(F.window("ts", window).alias("w"), F.expr(bin_sql()).alias("bin")).agg(
+    return timed.groupBy(F.window("ts", window).alias("w"), F.expr(bin_sql()).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("p").alias("sum_p"), F.sum("y").alias("sum_y"))
 
 
@@ -52,7 +55,7 @@ def alerts(windows: DataFrame, limit: float = R.ECE_MAX) -> DataFrame:
 
 
 def parity_counts(timed: DataFrame, size: str = "7 days", slide: str = "1 day") -> DataFrame:
-    return timed.withWatermark("ts", LATENESS).groupBy(F.window("ts", size, slide).alias("w"), "grp").agg(
+    return timed.groupBy(F.window("ts", size, slide).alias("w"), "grp").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(c("event_type") == "click").alias("passed"))
 
 
@@ -65,12 +68,12 @@ def parity_windows(counts: DataFrame, reference: str = "G0") -> DataFrame:
 
 def call_rate(timed: DataFrame, limit: int) -> DataFrame:
     """Minutes with more calls than the limit."""
-    g = timed.withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("calls"))
+    g = timed.groupBy(F.window("ts", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("calls"))
     return g.filter(c("calls") > limit).select(day(c("w.start")).alias("minute"), "calls")
 
 
 def timeout_share(timed: DataFrame, budget_ms: float = R.TIMEOUT_BUDGET_MS) -> DataFrame:
-    g = timed.withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 day").alias("w")).agg(
+    g = timed.groupBy(F.window("ts", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("calls"), F.count_if(c("latency_ms") > budget_ms).alias("slow"))
     return g.select(day(c("w.start")).alias("window_start"), "calls", "slow", F.round(ratio(c("slow"), c("calls")), 6).alias("slow_share"))
 
@@ -78,12 +81,12 @@ def timeout_share(timed: DataFrame, budget_ms: float = R.TIMEOUT_BUDGET_MS) -> D
 def deduplicated(timed: DataFrame) -> DataFrame:
     """Each call once. On a stream the key is forgotten once the watermark passes it."""
     if timed.isStreaming:
-        return timed.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["event_id"])
+        return timed.dropDuplicatesWithinWatermark(["event_id"])
     return timed.dropDuplicates(["event_id"])
 
 
 def daily_counts(timed: DataFrame) -> DataFrame:
-    return timed.withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("calls")).select(
+    return timed.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("calls")).select(
         day(c("w.start")).alias("window_start"), "calls")
 
 
