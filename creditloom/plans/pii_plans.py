@@ -182,12 +182,13 @@ def pii_leak_scan(spark, folder):
     return pii.leak_scan(table(spark, folder, "documents").select("doc_id", "text"), inventory(spark, folder), "doc_id")
 
 
-@query("pii_outbound_inventory", "SELECT doc_id, item_id FROM leaks WHERE doc_id NOT IN (SELECT d.doc_id FROM documents d JOIN benchmark b ON sha256(trim(d.text)) = sha256(trim(b.text))) AND doc_id % 5 <> 0", "leaks")
+@query("pii_outbound_inventory", """SELECT l.doc_id, l.item_id FROM leaks l JOIN documents d ON d.doc_id = l.doc_id WHERE sha256(trim(d.text)) NOT IN (SELECT sha256(trim(text)) FROM benchmark)
+AND sha256(trim(d.text)) NOT IN (SELECT sha256(trim(text)) FROM documents GROUP BY 1 HAVING count(*) > 1)""", "leaks")
 def pii_outbound_inventory(spark, folder):
-    """Texts byte-identical to a catalogue text carry no applicant data; every other text is searched."""
+    """Static texts (catalogue entries and boilerplate sent more than once) carry no applicant data; the rest is searched."""
     docs = table(spark, folder, "documents").select("doc_id", "text", F.sha2(F.trim("text"), 256).alias("h"))
-    static = table(spark, folder, "benchmark").select(F.sha2(F.trim("text"), 256).alias("h")).unionByName(
-        docs.filter("doc_id % 5 = 0").select("h"))
+    boilerplate = docs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    static = table(spark, folder, "benchmark").select(F.sha2(F.trim("text"), 256).alias("h")).unionByName(boilerplate)
     outbound = docs.join(static, "h", "left_anti").select("doc_id", "text")
     return pii.leak_scan(outbound, inventory(spark, folder), "doc_id").select("doc_id", "item_id")
 
