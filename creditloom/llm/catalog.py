@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.llm import decontaminate, exact_dedup, packing, url_filter
+from creditloom.llm import decontaminate, exact_dedup, near_dedup, packing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_minhash_near_dedup": near_dedup.query,
     "op7_decontamination": decontaminate.query,
     "op8_url_filter": url_filter.query,
 }
 SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.SQL,
+    "op6_minhash_near_dedup": near_dedup.SQL,
     "op7_decontamination": decontaminate.SQL,
 }
