@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.llm import decontaminate, exact_dedup, near_dedup, packing, url_filter
+from creditloom.llm import decontaminate, exact_dedup, near_dedup, packing, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash_near_dedup": near_dedup.query,
     "op7_decontamination": decontaminate.query,
     "op8_url_filter": url_filter.query,
+    "op10_suffix_array_dedup": suffix_dedup.query,
 }
 SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.SQL,
