@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.llm import decontaminate, exact_dedup, near_dedup, packing, suffix_dedup, url_filter
+from creditloom.llm import decontaminate, exact_dedup, language_id, near_dedup, packing, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
+    "op2_language_id": language_id.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_minhash_near_dedup": near_dedup.query,
     "op7_decontamination": decontaminate.query,
