@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.llm import decontaminate, exact_dedup, language_id, near_dedup, packing, suffix_dedup, url_filter
+from creditloom.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, sentence_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op2_language_id": language_id.query,
+    "op4_substring_dedup": sentence_dedup.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_minhash_near_dedup": near_dedup.query,
     "op7_decontamination": decontaminate.query,
     "op8_url_filter": url_filter.query,
+    "op9_line_dedup": line_dedup.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
 SQL: dict[str, str] = {
+    "op4_substring_dedup": sentence_dedup.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op6_minhash_near_dedup": near_dedup.SQL,
     "op7_decontamination": decontaminate.SQL,
+    "op9_line_dedup": line_dedup.SQL,
 }
