@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, sentence_dedup, suffix_dedup, url_filter
+from creditloom.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, sentence_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op2_language_id": language_id.query,
+    "op3_toxicity": toxicity.query,
     "op4_substring_dedup": sentence_dedup.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_minhash_near_dedup": near_dedup.query,
