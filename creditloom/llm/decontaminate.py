@@ -215,14 +215,13 @@ def _cutter(shard, window: int, max_coverage: float):
         auto = _automaton(shard.value, window)
         get = auto.vocab.get
         for batch in batches:
-            texts = []
+            texts, keep = [], []
             for text in batch.column("text"):
                 text = text.as_py()
                 words = alnum_words(text)
                 hit, _ = auto.scan(np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words)))
-                if hit and sum(b - a + 1 for a, b in hit) > max_coverage * len(words):
-                    text = ""
-                elif hit:
+                keep.append(sum(b - a + 1 for a, b in hit) <= max_coverage * len(words))
+                if hit:
                     raw, at = alnum_offsets(text)
                     kept, end = [], 0
                     for first, last in hit:
@@ -230,14 +229,14 @@ def _cutter(shard, window: int, max_coverage: float):
                         end = at[last][1]
                     text = b"".join([*kept, raw[end:]]).decode("utf-8", "surrogatepass")
                 texts.append(text)
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).filter(pa.array(keep, pa.bool_()))
 
     return cut
 
 
 def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
-    """The documents with every hit span cut out of ``text``; where more than ``max_coverage`` of the words are hit the text
-    becomes empty. All columns and rows stay; texts without a hit stay as they are, null included."""
+    """The documents with every hit span cut out of ``text``; a document goes where more than ``max_coverage`` of its words are
+    hit. All columns stay; texts without a hit stay as they are, null included."""
     small_batches(docs.sparkSession)
     for shard in _shards(items, "item_id", "text"):
         docs = docs.mapInArrow(_cutter(docs.sparkSession.sparkContext.broadcast(shard), window, max_coverage), docs.schema)

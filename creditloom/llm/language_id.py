@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditloom.llm.common import held, read, sized, small_batches
 
@@ -179,8 +180,8 @@ def predict(texts: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame
     a column ``text``."""
     small_batches(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(samples)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
-    return texts.mapInArrow(_predict(shared), f"{schema}, lang_pred string, score double, bits double")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]
+    return texts.mapInArrow(_predict(shared), T.StructType([*texts.schema.fields, *added]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
