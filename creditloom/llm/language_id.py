@@ -105,7 +105,7 @@ class Parser:
                 to = flat[state[:n] * width + c]
                 stuck = to == 0
                 if j:
-                    count[:n] += stuck
+                    count[:n] += stuck | (state[:n] == 0)  # a letter that the language lacks is a phrase by itself
                 to[stuck] = table[0][c[stuck]]
                 state[:n] = to
             out[order, lang] = count
