@@ -1,7 +1,9 @@
 """Tamper-evident audit log: sealing, verification, trail completeness and as-of lookups.
 
-A single global chain cannot be built in parallel, so entries are chained inside blocks of a file's log and the block
-heads roll up to one head per file and one root. Verification is row-local plus an equality join on the previous entry.
+A single global chain cannot be built in parallel, so entries are chained inside blocks of a file's log. The last hash of
+each block is its head; heads are stored apart from the log and roll up to one root per file. Verification recomputes both
+levels: row by row with an equality join on the previous entry, and block by block against the stored heads, so that a
+block that was rewritten from its first entry to its last is found as well.
 """
 
 from __future__ import annotations
@@ -37,20 +39,37 @@ def seal(events: DataFrame, body: list[str]) -> DataFrame:
     return rows.join(chained.drop("block"), ["file_id", "seq"])
 
 
-def file_heads(sealed: DataFrame) -> DataFrame:
-    """Order-free digest per file over its block heads: XOR lanes combine map-side, so a long log needs no fold."""
-    last = sealed.groupBy("file_id", "block").agg(F.max("seq").alias("seq"))
-    heads = sealed.join(last, ["file_id", "block", "seq"]).select("file_id", "block", F.sha2(F.concat_ws("|", c("block").cast("string"), "entry_hash"), 256).alias("h"))
-    lanes = [F.bit_xor(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("bigint")).alias(f"lane_{i}") for i in range(4)]
-    return heads.groupBy("file_id").agg(F.count(F.lit(1)).alias("blocks"), *lanes)
+def block_heads(sealed: DataFrame) -> DataFrame:
+    """(file_id, block, seq, head): the last entry of each block and its hash, to be stored apart from the log."""
+    last = F.max(F.struct("seq", "entry_hash")).alias("last")
+    return sealed.groupBy("file_id", "block").agg(last).select("file_id", "block", "last.seq", c("last.entry_hash").alias("head"))
 
 
-def verify(log: DataFrame, high_water: DataFrame) -> DataFrame:
+def file_roots(heads: DataFrame, fan_in: int = BLOCK) -> DataFrame:
+    """(file_id, root): block heads hashed in order, ``fan_in`` at a time, until one hash a file is left.
+
+    No task ever folds more than ``fan_in`` hashes; the number of rounds is the logarithm of the longest log.
+    """
+    level, longest = heads.select("file_id", c("block").alias("i"), c("head").alias("h")), heads.agg(F.max("block")).first()[0] or 0
+    while True:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"])
+        level = level.withColumn("up", F.floor(c("i") / fan_in).cast("bigint")).groupBy("file_id", "up").agg(F.sha2(F.array_join(ordered, "|"), 256).alias("h")).withColumnRenamed("up", "i")
+        longest //= fan_in
+        if not longest:
+            return level.select("file_id", c("h").alias("root"))
+
+
+_REASONS = ("missing_entry", "broken_link", "modified_entry", "truncated", "rewritten_block")
+
+
+def verify(log: DataFrame, high_water: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """First bad sequence number and reason of each file with a problem.
 
     Each row re-hashes itself; its link is checked against the row one sequence earlier by an equality join (no window
-    over a file); a tail shorter than the recorded high-water mark is a truncation.
+    over a file); a tail shorter than the recorded high-water mark is a truncation; with stored ``heads``, a block whose last
+    entry differs from its head was rewritten.
     """
+    kinds = len(_REASONS)
     first = (c("seq") - 1) % BLOCK == 0
     prev = log.select("file_id", (c("seq") + 1).alias("seq"), c("entry_hash").alias("before"))
     j = log.join(prev, ["file_id", "seq"], "left")
@@ -58,14 +77,18 @@ def verify(log: DataFrame, high_water: DataFrame) -> DataFrame:
     own = F.sha2(F.concat("prev_hash", "body_hash"), 256) == c("entry_hash")
     gap = (c("seq") > 1) & c("before").isNull()
     # reasons ranked as a sequential walk would meet them: a gap is noticed at the missing entry
-    code = F.when(gap, (c("seq") - 1) * 4).when(~linked, c("seq") * 4 + 1).when(~own, c("seq") * 4 + 2)
+    code = F.when(gap, (c("seq") - 1) * kinds).when(~linked, c("seq") * kinds + 1).when(~own, c("seq") * kinds + 2)
     bad = j.select("file_id", code.alias("code")).filter("code IS NOT NULL")
     tail = log.groupBy("file_id").agg(F.max("seq").alias("last"))
     cut = high_water.join(tail, "file_id", "left").filter(F.coalesce("last", F.lit(0)) < c("high")).select(
-        "file_id", ((F.coalesce("last", F.lit(0)) + 1) * 4 + 3).alias("code"))
-    worst = bad.unionByName(cut).groupBy("file_id").agg(F.min("code").alias("code"))
-    return worst.select("file_id", F.floor(c("code") / 4).cast("bigint").alias("first_bad_seq"), F.get(
-        F.array(*[F.lit(x) for x in ("missing_entry", "broken_link", "modified_entry", "truncated")]), (c("code") % 4).cast("int")).alias("reason"))
+        "file_id", ((F.coalesce("last", F.lit(0)) + 1) * kinds + 3).alias("code"))
+    bad = bad.unionByName(cut)
+    if heads is not None:
+        ends = log.select("file_id", "seq", "entry_hash").join(heads.select("file_id", "seq", "head"), ["file_id", "seq"])
+        bad = bad.unionByName(ends.filter("entry_hash <> head").select("file_id", (c("seq") * kinds + 4).alias("code")))
+    worst = bad.groupBy("file_id").agg(F.min("code").alias("code"))
+    return worst.select("file_id", F.floor(c("code") / kinds).cast("bigint").alias("first_bad_seq"),
+                        F.get(F.array(*[F.lit(x) for x in _REASONS]), (c("code") % kinds).cast("int")).alias("reason"))
 
 
 def trail(events: DataFrame, file_ids: DataFrame) -> DataFrame:

@@ -78,6 +78,46 @@ def audit_verify(spark, folder):
     return audit.verify(tampered(spark, folder), high)
 
 
+def long_events(spark, folder):
+    """A thousand events a file, so that a file's log has several blocks."""
+    return table(spark, folder, "events").select(F.expr("CAST(event_id DIV 1000 AS STRING)").alias("file_id"), (c("event_id") % 1000 + 1).cast("bigint").alias("seq"),
+                                                 "event_type", c("props").alias("text"))
+
+
+view("long_log", "", "SELECT CAST(event_id // 1000 AS VARCHAR) AS file_id, CAST(event_id % 1000 + 1 AS BIGINT) AS seq, event_type, props AS text FROM events")
+view("long_hashed", "long_log", """SELECT file_id, seq, (seq - 1) // 256 AS block, sha256(concat_ws('|', coalesce(event_type, '~'), coalesce(text, '~'))) AS body_hash FROM long_log""")
+view("long_sealed", "long_hashed", f"""SELECT *, sha256(prev_hash || body_hash) AS entry_hash FROM (WITH RECURSIVE chain AS (
+ SELECT file_id, seq, block, body_hash, CASE WHEN block = 0 THEN '{'0' * 64}' ELSE sha256('block:' || block) END AS prev_hash FROM long_hashed WHERE (seq - 1) % 256 = 0
+ UNION ALL SELECT h.file_id, h.seq, h.block, h.body_hash, sha256(c.prev_hash || c.body_hash) FROM chain c
+  JOIN long_hashed h ON h.file_id = c.file_id AND h.seq = c.seq + 1 AND (h.seq - 1) % 256 <> 0) SELECT * FROM chain)""")
+
+
+@query("audit_seal_long", "SELECT file_id, seq, prev_hash, entry_hash FROM long_sealed", "long_sealed")
+def audit_seal_long(spark, folder):
+    return audit.seal(long_events(spark, folder), BODY).select("file_id", "seq", "prev_hash", "entry_hash")
+
+
+@query("audit_block_heads", """SELECT file_id, CAST(block AS BIGINT) AS block, max(seq) AS seq, max_by(entry_hash, seq) AS head FROM long_sealed GROUP BY file_id, block""", "long_sealed")
+def audit_block_heads(spark, folder):
+    return audit.block_heads(audit.seal(long_events(spark, folder), BODY))
+
+
+@query("audit_file_roots", """SELECT file_id, sha256(string_agg(head, '|' ORDER BY block)) AS root FROM (
+ SELECT file_id, block, max_by(entry_hash, seq) AS head FROM long_sealed GROUP BY file_id, block) GROUP BY file_id""", "long_sealed")
+def audit_file_roots(spark, folder):
+    return audit.file_roots(audit_block_heads(spark, folder))
+
+
+@query("audit_verify_long", """SELECT file_id, least(512, max(seq)) AS first_bad_seq, 'rewritten_block' AS reason FROM long_log WHERE CAST(file_id AS BIGINT) % 3 = 1 GROUP BY file_id HAVING max(seq) >= 300""", "long_log")
+def audit_verify_long(spark, folder):
+    """A block that was rewritten consistently, from an entry in its middle to its end, differs from its stored head."""
+    events = long_events(spark, folder)
+    sealed = audit.seal(events, BODY)
+    forged = events.withColumn("text", F.when((c("file_id").cast("bigint") % 3 == 1) & (c("seq") == 300), F.lit("forged")).otherwise(c("text")))
+    high = sealed.groupBy("file_id").agg(F.max("seq").alias("high"))
+    return audit.verify(audit.seal(forged, BODY), high, audit.block_heads(sealed))
+
+
 def trail_events(spark, folder):
     """The audit events a replay writes for each decision, with some lost, doubled or out of order."""
     d = all_decisions(spark, folder).selectExpr(

@@ -29,7 +29,24 @@ def test_chain_links_and_tampering(spark):
     assert [tuple(r) for r in audit.verify(gap, high).collect()] == [("A", 257, "missing_entry")]
     cut = sealed.filter("NOT (file_id = 'B' AND seq = 2)")
     assert [tuple(r) for r in audit.verify(cut, high).collect()] == [("B", 2, "truncated")]
-    assert audit.file_heads(sealed).filter("file_id = 'A'").first().blocks == 3
+    heads = audit.block_heads(sealed)
+    assert sorted((r.block, r.seq) for r in heads.filter("file_id = 'A'").collect()) == [(0, 256), (1, 512), (2, 600)]
+    assert audit.verify(sealed, high, heads).count() == 0
+    forged = audit.seal(events.withColumn("text", F.when((F.col("file_id") == "A") & F.col("seq").between(257, 512), F.lit("forged")).otherwise(F.col("text"))), ["text"])
+    assert audit.verify(forged, high).count() == 0  # one level alone does not see it
+    assert [tuple(r) for r in audit.verify(forged, high, heads).collect()] == [("A", 512, "rewritten_block")]
+
+
+def test_roots_roll_up_over_several_levels(spark):
+    heads = spark.createDataFrame([("A", i, f"h{i}") for i in range(11)] + [("B", 0, "x")], "file_id string, block bigint, head string")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    level = [f"h{i}" for i in range(11)]
+    while True:
+        level = [sha("|".join(level[i:i + 3])) for i in range(0, len(level), 3)]
+        if len(level) == 1:
+            break
+    got = {r.file_id: r.root for r in audit.file_roots(heads, fan_in=3).collect()}
+    assert got["A"] == level[0] and got["B"] == sha(sha(sha("x")))
 
 
 def test_asof_over_many_blocks(spark):
