@@ -104,9 +104,22 @@ for _q, _n in {"pii_detect_pan": ("pan",), "pii_detect_aadhaar": ("aadhaar",), "
     _detect(_q, _n)
 
 
-@query("pii_normalize")
+# disguised forms of a value and what it reads as, by document number
+_DISGUISES = [("Aadhaar \uff12\uff13\uff14\uff15 \uff16\uff17\uff18\uff19 0123.", "Aadhaar 2345 6789 0123."), ("Phone \u096f\u096e\u096d\u096c\u096b \u096a\u0969\u0968\u0967\u0966.", "Phone 98765 43210."),
+              ("call nine eight seven six five four three two one zero.", "call 9876543210."), ("PAN \u0410\u0412\u0421\u0420\u0415 1234F.", "PAN ABCPE 1234F."),
+              ("Mail a&#64;b.com.", "Mail a@b.com."), ("Account 98765\u200b43210.", "Account 9876543210.")]
+
+
+def disguised(spark, folder):
+    at = lambda i: "CASE CAST(doc_id % 6 AS INT) " + " ".join(f"WHEN {n} THEN {q(x[i])}" for n, x in enumerate(_DISGUISES)) + " END"
+    return table(spark, folder, "documents").select("doc_id", F.expr(f"concat(text, '\n', {at(0)})").alias("text"), F.expr(at(1)).alias("plain"))
+
+
+@query("pii_normalize", f"""SELECT doc_id, {q([x[1] for x in _DISGUISES])}[1 + doc_id % 6] AS plain, true AS reads_plain FROM documents""")
 def pii_normalize(spark, folder):
-    return pii.normalize(corpus(spark, folder)).select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
+    """A disguised value at the end of each text reads as its plain form after normalising the whole text."""
+    done = pii.normalize(disguised(spark, folder))
+    return done.select("doc_id", "plain", F.endswith("text", F.concat(F.lit("\n"), "plain")).alias("reads_plain"))
 
 
 @query("pii_compact_digits", f"SELECT doc_id, sha256({_join_twice('text')}) AS text_hash FROM corpus", "corpus")
@@ -138,7 +151,7 @@ def pii_allowlist(spark, folder):
     return left.filter(~((F.length("s") <= 12) & c("s").rlike(pii.BAND_TEXT)) & ~c("s").rlike(f"^(?:{pii.TOKEN})$"))
 
 
-@query("pii_decoded_layers")
+@query("pii_decoded_layers", f"SELECT doc_id, 'email' AS detector, {_MASK} AS masked FROM (SELECT doc_id, 'box' || doc_id || '@example.com' AS raw FROM documents)")
 def pii_decoded_layers(spark, folder):
     docs = corpus(spark, folder).select("doc_id", F.concat("text", F.lit(" "), F.base64(F.expr("CAST(concat('mail me: box', CAST(doc_id AS STRING), '@example.com') AS BINARY)"))).alias("text"))
     return pii.findings(pii.decoded_layers(docs, ["doc_id"]), ["doc_id"]).distinct()
@@ -152,12 +165,13 @@ def pii_key_context(spark, folder):
     return entries.withColumn("context", F.expr(pii.key_context_sql("key"))).filter("context IS NOT NULL").select("c_custkey", "key", "context")
 
 
-@query("pii_json_walk")
+@query("pii_json_walk", f"""SELECT event_id, path, detector, {_MASK} AS masked FROM (
+ SELECT event_id, '$.who.mail' AS path, 'email' AS detector, 'u' || user_id || '@example.com' AS raw FROM events
+ UNION ALL SELECT event_id, '$.who.ids[1]', unnest(['phone_in', 'account_number']), CAST(event_id + 9876543210 AS VARCHAR) FROM events)""")
 def pii_json_walk(spark, folder):
     e = table(spark, folder, "events").select("event_id", F.expr(
         "concat('{\"meta\":', props, ',\"who\":{\"mail\":\"u', CAST(user_id AS STRING), '@example.com\",\"ids\":[\"', event_type, '\",', CAST(event_id + 9876543210 AS STRING), ']}}')").alias("payload"))
-    leaves = pii.json_leaves(e, ["event_id"], "payload", 6)
-    return pii.findings(leaves, ["event_id", "path"], text="value")
+    return pii.json_findings(e, ["event_id"], "payload")
 
 
 @query("pii_gate_block", "SELECT DISTINCT doc_id FROM found", "found")
@@ -166,7 +180,7 @@ def pii_gate_block(spark, folder):
 
 
 def inventory(spark, folder):
-    return table(spark, folder, "benchmark").select("item_id", F.substring("text", 1, 40).alias("value"))
+    return table(spark, folder, "benchmark").select("item_id", c("text").alias("value"))
 
 
 def _fold(x: str) -> str:
@@ -174,7 +188,7 @@ def _fold(x: str) -> str:
 
 
 view("leaks", "", f"""SELECT d.doc_id, b.item_id, left(needle, 1) || '***' AS masked FROM (SELECT doc_id, ' ' || {_fold('text')} || ' ' AS folded FROM documents) d
-JOIN (SELECT item_id, {_fold('substr(text, 1, 40)')} AS needle FROM benchmark) b ON contains(folded, ' ' || needle) WHERE len(string_split(needle, ' ')) >= 3""")
+JOIN (SELECT item_id, {_fold('text')} AS needle FROM benchmark) b ON contains(folded, ' ' || needle || ' ') WHERE needle <> ''""")
 
 
 @query("pii_leak_scan", "SELECT doc_id, item_id, masked FROM leaks", "leaks")
@@ -227,7 +241,15 @@ def review_notes_pii(spark, folder):
 _LEX = ["anita", "arjun", "deepa", "harish", "kavita", "lakshmi", "meena", "mohan", "priya", "rahul", "ramesh", "sanjay", "sharma", "sunita", "suresh", "vijay", "verma", "gupta"]
 
 
-@query("pii_detect_name")
+view("signed", "", f"SELECT doc_id, text || ' Signed Mr ' || upper(left(first, 1)) || substr(first, 2) || ' Sharma today.' AS text FROM (SELECT *, {q(_LEX)}[1 + doc_id % {len(_LEX)}] AS first FROM documents)")
+view("capitals", "signed", """SELECT doc_id, pos, regexp_replace(word, '[.,]$', '') AS core FROM (
+ SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM signed)) WHERE regexp_full_match(word, '[A-Z][A-Za-z]+[.,]?')""")
+
+
+@query("pii_detect_name", f"""SELECT DISTINCT doc_id, left(name, 1) || '***' AS masked FROM (
+ SELECT doc_id, first(core ORDER BY pos) AS name FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM capitals)
+  GROUP BY doc_id, island HAVING bool_or(lower(core) IN ({', '.join(q(x) for x in _LEX)}))
+ UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '(?:\\b(?i:{'|'.join(pii.HONORIFICS)})\\.? |\\b(?i:(?:applicant|borrower|holder|customer) )?(?i:name) ?[:=] ?)([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)*)', 1)) FROM signed)""", "signed capitals")
 def pii_detect_name(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.expr(
         f"concat(text, ' Signed Mr ', initcap(get(array({', '.join(q(x) for x in _LEX)}), CAST(doc_id % {len(_LEX)} AS INT))), ' Sharma today.')").alias("text"))
@@ -237,19 +259,29 @@ def pii_detect_name(spark, folder):
 # ------------------------------------------------------------------------------------------------ redaction
 
 
-@query("redact_tokens", """SELECT doc_id, kind, n, token FROM (SELECT doc_id, 'UID' AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY pos, raw) AS n, '[UID_' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, raw) AS VARCHAR) || ']' AS token
-FROM (SELECT doc_id, raw, min(strpos(text, raw)) AS pos FROM (""" + DETECT_SQL["aadhaar_vid"] + """) JOIN corpus USING (doc_id) WHERE strpos(text, raw) > 0 GROUP BY doc_id, raw))""", "nohex_v corpus")
+_PLANTED_KIND = ["PAN", "UID", "IFSC", "ID", "ID", "ID", "PIN", "EMAIL", "PHONE", "ACCT", "EMAIL"]
+
+
+@query("redact_tokens", f"""SELECT doc_id, {q(_PLANTED_KIND)}[1 + doc_id % 12] AS kind, true AS found FROM corpus WHERE doc_id % 12 < 11""", "corpus")
 def redact_tokens(spark, folder):
+    """Whether the planted value of each document has a token of its kind, whatever separators it is written with."""
     docs = corpus(spark, folder)
-    return pii.tokens(pii.raw_findings(docs, ["doc_id"], ("aadhaar_vid",)), docs, "doc_id").select("doc_id", "kind", "n", "token")
+    plain = F.expr("CASE CAST(doc_id % 12 AS INT) " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_PLANTS)) + " END")
+    squashed = lambda x: F.regexp_replace(x, r"[ \t\n\-./_]", "")
+    kind = F.get(F.array(*[F.lit(x) for x in _PLANTED_KIND]), (c("doc_id") % 12).cast("int"))
+    found = F.max((c("kind") == kind) & F.contains(squashed(plain), c("raw")))
+    return pii.tokens(docs, "doc_id").filter("doc_id % 12 < 11").groupBy("doc_id").agg(F.max(kind).alias("kind"), found.alias("found"))
 
 
-@query("redact_apply")
+@query("redact_apply", "SELECT doc_id, CAST(0 AS BIGINT) AS n_left, false AS leaks FROM corpus", "corpus")
 def redact_apply(spark, folder):
-    docs = corpus(spark, folder)
-    done = pii.apply_tokens(docs, pii.tokens(pii.raw_findings(docs, ["doc_id"]), docs, "doc_id"), "doc_id")
-    left = F.expr(f"size({pii.detector_sql(pii.ALL_DETECTORS)})")
-    return pii.views(done).select("doc_id", F.length("text").alias("n_chars"), F.regexp_count("text", F.lit(r"\[[A-Z]+(?:_[0-9]+)?\]")).alias("n_tokens"), left.alias("n_left"))
+    """After redaction nothing is found, and the planted value is not in the text in any separation."""
+    done = pii.redact(corpus(spark, folder))
+    plain = F.expr("CASE CAST(doc_id % 12 AS INT) " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_PLANTS)) + " END")
+    digits = F.regexp_replace(plain, "[^0-9]", "")
+    leaks = (F.length(digits) >= 6) & F.regexp_replace("text", "[^0-9]", "").contains(digits)
+    left = F.expr(f"coalesce(size({pii.detector_sql(pii.ALL_DETECTORS)}), 0)")
+    return pii.views(done).select("doc_id", left.cast("bigint").alias("n_left"), leaks.alias("leaks"))
 
 
 _WHEN = ["date_format(o_orderdate, 'yyyy-MM-dd')", "date_format(o_orderdate, 'd MMM yyyy')", "date_format(o_orderdate, 'MMMM d, yyyy')", "date_format(o_orderdate, 'dd/MM/yyyy')"]
