@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from creditloom.operators import features, rules
 from creditloom.oracle.views import apr, band, emi, q
 from creditloom.plans import base
 from creditloom.plans.registry import query
+from creditloom.session import ensure_checkpoint_dir
 from creditloom.sources import book as book_source
 from creditloom.sources import io
 from creditloom.sources.tables import inline, table
@@ -22,13 +22,8 @@ c = F.col
 
 
 def scratch(spark) -> str:
-    """A fresh folder for round-trip queries, inside the shared checkpoint folder where the cluster names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        import uuid
-
-        return f"{root.rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "data")
+    """A fresh folder for round-trip queries inside the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
 
 
 # ------------------------------------------------------------------------------------------------ sources
@@ -315,12 +310,12 @@ def rule_c_capacity(spark, folder):
         "file_id", f"{rules.CAPACITY_BANDED} AS banded_level", f"{rules.CAPACITY_EXACT} AS exact_level")
 
 
-@query("rule_d_margins", """SELECT file_id, round(b_worst, 6) AS banded_margin, round(x_worst, 6) AS exact_margin
+@query("rule_d_margins", """SELECT file_id, round(b_worst, 9) AS banded_margin, round(x_worst, 9) AS exact_margin
 FROM baseline JOIN labelled USING (file_id)""", "baseline labelled")
 def rule_d_margins(spark, folder):
     df = features.with_risk(features.with_risk(base.state(spark, folder), "b_", exact=False), "x_", exact=True)
-    return df.selectExpr("file_id", f"round({rules.smallest('b_', exact=False)}, 6) AS banded_margin",
-                         f"round({rules.smallest('x_', exact=True)}, 6) AS exact_margin")
+    return df.selectExpr("file_id", f"round({rules.smallest('b_', exact=False)}, 9) AS banded_margin",
+                         f"round({rules.smallest('x_', exact=True)}, 9) AS exact_margin")
 
 
 @query("rule_d_closeness", """SELECT file_id, CAST(b."r_D_closeness" AS BIGINT) AS banded_level, CAST(closeness_level AS BIGINT) AS exact_level

@@ -11,15 +11,29 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from creditloom.session import ensure_checkpoint_dir
+from creditloom.sources.tables import table
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+#: Input tables that the loan book and its runs are made of.
+SOURCES = ("customer", "nation", "region", "orders", "lineitem", "events", "conversations")
+
+_WRITTEN: dict[tuple, str] = {}
+
+
+def fingerprint(spark: SparkSession, folder: str) -> int:
+    """A checksum of the input files' names, sizes and times: a changed input is another run."""
+    total = 0
+    for name in SOURCES:
+        meta = table(spark, folder, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        total ^= meta.agg(F.coalesce(F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time")), F.lit(0))).first()[0]
+    return total
 
 
 def run_table(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read the named table of this session's run over ``folder``, writing it first if no query has yet."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    key = (spark.sparkContext.applicationId, folder, fingerprint(spark, folder), name)
     if key not in _WRITTEN:
         root = ensure_checkpoint_dir(spark).rstrip("/")
         path = f"{root}/run-{uuid.uuid4().hex}/{name}"
