@@ -30,7 +30,7 @@ def state_vectors(state: DataFrame, keep: list[str]) -> DataFrame:
     return Pipeline(stages=stages).fit(df).transform(df).select(*keep, "features")
 
 
-def proxy_probe(state: DataFrame, attribute: str, folds: int = 5, iterations: int = 15) -> DataFrame:
+def proxy_probe(state: DataFrame, attribute: str, folds: int = 5, tolerance: float = 1e-4) -> DataFrame:
     """Macro one-vs-rest AUC of an attribute over held-out folds."""
     vectors = state_vectors(state, ["k", attribute]).withColumn("fold", F.pmod(F.xxhash64("k", F.lit(71)), F.lit(folds)))
     spark = state.sparkSession
@@ -46,7 +46,7 @@ def proxy_probe(state: DataFrame, attribute: str, folds: int = 5, iterations: in
         scored = None
         for fold in range(folds):
             # one multinomial fit per fold scores every class at once; each class is then judged one against the rest
-            fit = LogisticRegression(regParam=0.01, maxIter=iterations, family="multinomial", standardization=False).fit(data.filter(F.col("fold") != fold))
+            fit = LogisticRegression(regParam=0.01, maxIter=1000, tol=tolerance, family="multinomial", standardization=False).fit(data.filter(F.col("fold") != fold))
             part = fit.transform(data.filter(F.col("fold") == fold)).select(
                 F.lit(fold).alias("fold"), "label", F.posexplode(vector_to_array("probability")).alias("cls", "p"))
             scored = part if scored is None else scored.unionByName(part)

@@ -185,11 +185,11 @@ SELECT o_orderkey AS k, r_name AS region, CASE WHEN o_custkey % 8 = 3 AND o_orde
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 
 view("months_long", "", """
-SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS m,
+SELECT * FROM (SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS m,
  max(CASE WHEN l_returnflag = 'R' THEN CAST(floor(l_quantity) AS BIGINT) ELSE 0 END) AS dpd,
  bool_or(l_returnflag = 'R' AND l_linestatus = 'O') AS bounced, bool_or(l_discount >= 0.09) AS "partial",
  CAST(floor(max(l_extendedprice)) AS BIGINT) AS balance_inr
-FROM lineitem WHERE l_linenumber <= 6 GROUP BY ALL""")
+FROM lineitem GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY k ORDER BY m DESC) <= 6""")
 
 _CHANGE = ("CASE WHEN n < 2 THEN NULL WHEN first2 <= 0 THEN 'flat' WHEN last2 * 10 <= first2 * 6 THEN 'falling_40_plus'"
            " WHEN last2 * 10 <= first2 * 9 THEN 'falling_10_40' WHEN last2 * 10 >= first2 * 11 THEN 'rising' ELSE 'flat' END")

@@ -258,10 +258,10 @@ def ev_parity(spark, folder):
     return parity_rows(spark, folder).select("attribute", "grp", "scope", "n", "reference_n", *[F.round(x, 6).alias(x) for x in _PR], "breaches", "status")
 
 
-@query("ev_group_ece", "SELECT attribute, grp, scope, qid, n, round(ece, 6) AS ece, round(ece_gap, 6) AS ece_gap FROM gece", "gece")
+@query("ev_group_ece", "SELECT attribute, grp, scope, qid, n, round(ece, 9) AS ece, round(ece_gap, 9) AS ece_gap FROM gece", "gece")
 def ev_group_ece(spark, folder):
     s = scored(spark, folder)
-    return E.group_ece(s).select("attribute", "grp", "scope", "qid", "n", F.round("ece", 6).alias("ece"), F.round("ece_gap", 6).alias("ece_gap"))
+    return E.group_ece(s).select("attribute", "grp", "scope", "qid", "n", F.round("ece", 9).alias("ece"), F.round("ece_gap", 9).alias("ece_gap"))
 
 
 @query("ev_calibration_in_large", "SELECT attribute, grp, scope, nc AS n_predicted, round(predicted, 6) AS predicted, round(el * 1.0 / n, 6) AS observed, round(abs(predicted - el * 1.0 / n), 6) AS gap FROM gcounts", "gcounts")
@@ -296,10 +296,13 @@ def ev_auc(spark, folder):
     return ranks.auc(f, ["segment"], "composite", c("sanctionable")).select("segment", "positives", "negatives", F.round("auc", 6).alias("auc"))
 
 
-@query("ev_proxy_probe")
+@query("ev_proxy_probe", """SELECT 'copied' AS attribute, count(DISTINCT employment_type) AS classes, 'FAIL' AS status FROM state
+UNION ALL SELECT 'noise', count(DISTINCT k % 3), 'PASS' FROM state""", "state")
 def ev_proxy_probe(spark, folder):
-    state = base.state(spark, folder).select("k", "file_id", "priority", *features.STATE_COLUMNS)
-    return probe.proxy_probe(state, "priority").select("attribute", F.round("auc_macro_ovr", 6).alias("auc_macro_ovr"), "status")
+    """An attribute that the state repeats is found; one that has nothing to do with it is not."""
+    state = base.state(spark, folder).select("k", "file_id", c("employment_type").alias("copied"), (F.pmod(F.xxhash64("k"), F.lit(3))).cast("string").alias("noise"), *features.STATE_COLUMNS)
+    found = [probe.proxy_probe(state, x).join(state.agg(F.count_distinct(x).alias("classes"))) for x in ("copied", "noise")]
+    return found[0].unionByName(found[1]).select("attribute", "classes", "status")
 
 
 # ------------------------------------------------------------------------------------------------ operations

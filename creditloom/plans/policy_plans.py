@@ -88,27 +88,27 @@ def _module_query(name, module, cols, sql):
 
 _module_query("pol_module_a", "A", ["a_outcome", "a_items"], "a_outcome, a_items")
 _module_query("pol_module_b", "B", ["b_outcome", "b_flags"], "b_outcome, b_flags")
-_module_query("pol_composite", "C", ["segment", "round(composite, 6) AS composite", "band", "c_outcome"],
-              "segment, round(composite, 6) AS composite, band, c_outcome")
+_module_query("pol_composite", "C", ["segment", "composite", "band", "c_outcome"],
+              "segment, composite, band, c_outcome")
 _module_query("pol_module_d", "D", ["d_closeness", "d_top"], "d_closeness, d_top")
 _module_query("pol_watchlist", "F", ["f_warnings", "f_tier", "f_flags"], "CAST(f_warnings AS BIGINT) AS f_warnings, f_tier, f_flags")
 
 
-@query("pol_drivers", """SELECT file_id, qid, round(drag, 6) AS drag, row_number() OVER (PARTITION BY file_id ORDER BY round(drag, 9) DESC, qid) AS rank
+@query("pol_drivers", """SELECT file_id, qid, round(drag, 9) AS drag, row_number() OVER (PARTITION BY file_id ORDER BY round(drag, 9) DESC, qid) AS rank
 FROM (SELECT file_id, qid, weight / sum(weight) OVER (PARTITION BY file_id) * (1 - goodness) AS drag FROM weighed WHERE usable AND weight IS NOT NULL)
 WHERE drag > 0""", "weighed")
 def pol_drivers(spark, folder):
-    return policy.drivers(reads(spark, folder, "C")).select("file_id", "qid", F.round("drag", 6).alias("drag"), "rank")
+    return policy.drivers(reads(spark, folder, "C")).select("file_id", "qid", F.round("drag", 9).alias("drag"), "rank")
 
 
 _DCOLS = "file_id, stage, outcome, queue, reason_codes"
 
 
-@query("pol_appraisal_outcome", f"""SELECT {_DCOLS}, round(composite, 6) AS composite, band, closeness, top_doubt, items FROM decisions
+@query("pol_appraisal_outcome", f"""SELECT {_DCOLS}, composite, band, closeness, top_doubt, items FROM decisions
 WHERE stage = 'appraisal'""", "decisions")
 def pol_appraisal_outcome(spark, folder):
     return appraisal_decisions(spark, folder).select(
-        "file_id", "stage", "outcome", "queue", "reason_codes", F.round("composite", 6).alias("composite"), "band", "closeness", "top_doubt", "items")
+        "file_id", "stage", "outcome", "queue", "reason_codes", "composite", "band", "closeness", "top_doubt", "items")
 
 
 @query("pol_failure_route", f"SELECT {_DCOLS}, failure_kind FROM decisions WHERE failure_kind IS NOT NULL", "decisions")
@@ -215,10 +215,10 @@ def price_line_items(spark, folder):
                                         (F.sum("value_pct") == F.first("priced_rate")).alias("adds_up"))
 
 
-@query("join_premium_tier", """SELECT file_id, price_band, round(composite, 6) AS composite, CAST(premium AS DOUBLE) AS premium_pct FROM priced""", "priced")
+@query("join_premium_tier", """SELECT file_id, price_band, composite, CAST(premium AS DOUBLE) AS premium_pct FROM priced""", "priced")
 def join_premium_tier(spark, folder):
     return pricing.join_premium_tier(price_requests(spark, folder), spark).select(
-        "file_id", "price_band", F.round("composite", 6).alias("composite"), "premium_pct")
+        "file_id", "price_band", "composite", "premium_pct")
 
 
 # ------------------------------------------------------------------------------------------------ queues

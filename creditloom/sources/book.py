@@ -192,20 +192,24 @@ def with_memo(files_with_grid: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------------ repayment
 
+#: An order has at most seven lines, which stand for months; conduct looks at the latest six.
+MONTHS, LATEST = 7, 6
+
+
 def monthly_conduct(spark: SparkSession, folder: str) -> DataFrame:
-    """Six repayment months per file as one array, from a single aggregation on the file key.
+    """The latest six repayment months of each file as one array, from a single aggregation on the file key.
 
     An order line number can repeat, so each month is a maximum. Conditional maxima combine map-side and shuffle one
     row per file and input partition; every buffer is fixed-width, so the hash aggregate never falls back to sorting.
     """
-    lines = table(spark, folder, "lineitem").filter("l_linenumber <= 6").select(
+    lines = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("m"),
         F.when(F.col("l_returnflag") == "R", F.floor("l_quantity")).otherwise(0).cast("bigint").alias("dpd"),
         ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")).alias("bounced"),
         (F.col("l_discount") >= 0.09).alias("partial"), "l_extendedprice",
     )
     aggs = []
-    for m in range(1, 7):
+    for m in range(1, MONTHS + 1):
         here = F.col("m") == m
         aggs.append((F.count_if(here) > 0).alias(f"has_{m}"))
         for c in ("dpd", "bounced", "partial"):
@@ -214,8 +218,9 @@ def monthly_conduct(spark: SparkSession, folder: str) -> DataFrame:
     wide = lines.groupBy("k").agg(*aggs)
     months = ", ".join(
         f"CASE WHEN has_{m} THEN named_struct('m', CAST({m} AS BIGINT), 'dpd', dpd_{m}, 'bounced', bounced_{m},"
-        f" 'partial', partial_{m}, 'balance_inr', balance_{m}) END" for m in range(1, 7))
-    return wide.select("k", F.expr(f"array_compact(array({months}))").alias("months"))
+        f" 'partial', partial_{m}, 'balance_inr', balance_{m}) END" for m in range(1, MONTHS + 1))
+    return wide.select("k", F.expr(f"array_compact(array({months}))").alias("months")).withColumn(
+        "months", F.expr(f"slice(months, greatest(size(months) - {LATEST - 1}, 1), {LATEST})"))
 
 
 def repayment(spark: SparkSession, folder: str) -> DataFrame:
