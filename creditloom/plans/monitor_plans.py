@@ -28,19 +28,19 @@ view("mcal", "timed", f"SELECT d AS window_start, CAST(sum(n) AS BIGINT) AS n, s
 
 @query("mon_calibration_window", "SELECT window_start, n, round(ece, 6) AS ece FROM mcal", "mcal")
 def mon_calibration_window(spark, folder):
-    return M.calibration_windows(M.calibration_bins(timed(spark, folder))).select("window_start", "n", F.round("ece", 6).alias("ece"))
+    return M.calibration_windows(timed(spark, folder)).select("window_start", "n", F.round("ece", 6).alias("ece"))
 
 
 @query("mon_alert", "SELECT 'MONITOR_ALERT' AS event_type, window_start, round(ece, 6) AS ece, 'REVERT_TO_HUMAN_REVIEW' AS action FROM mcal WHERE round(ece, 9) > 0.08", "mcal")
 def mon_alert(spark, folder):
-    return M.alerts(M.calibration_windows(M.calibration_bins(timed(spark, folder))))
+    return M.alerts(M.calibration_windows(timed(spark, folder)))
 
 
 @query("mon_parity_window", """SELECT w AS window_start, g.grp, g.n, round(g.rate, 6) AS rate, round(g.rate / nullif(r.rate, 0), 6) AS rate_ratio FROM
 (SELECT strftime(date_trunc('day', ts) - i * INTERVAL 1 DAY, '%Y-%m-%d %H:%M') AS w, grp, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') * 1.0 / count(*) AS rate FROM timed, range(7) t(i) GROUP BY ALL) g
 LEFT JOIN (SELECT strftime(date_trunc('day', ts) - i * INTERVAL 1 DAY, '%Y-%m-%d %H:%M') AS w, count(*) FILTER (WHERE event_type = 'click') * 1.0 / count(*) AS rate FROM timed, range(7) t(i) WHERE grp = 'G0' GROUP BY ALL) r USING (w)""", "timed")
 def mon_parity_window(spark, folder):
-    return M.parity_windows(M.parity_counts(timed(spark, folder))).select("window_start", "grp", "n", F.round("rate", 6).alias("rate"), F.round("rate_ratio", 6).alias("rate_ratio"))
+    return M.parity_windows(timed(spark, folder)).select("window_start", "grp", "n", F.round("rate", 6).alias("rate"), F.round("rate_ratio", 6).alias("rate_ratio"))
 
 
 @query("mon_call_rate", f"SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS calls FROM timed GROUP BY ALL HAVING count(*) > {RATE_LIMIT}", "timed")

@@ -43,9 +43,13 @@ def calibration_bins(timed: DataFrame, window: str = "1 day") -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("p").alias("sum_p"), F.sum("y").alias("sum_y"))
 
 
-def calibration_windows(bins: DataFrame) -> DataFrame:
-    return bins.groupBy(day(c("w.start")).alias("window_start")).agg(
-        F.sum("n").alias("n"), ratio(F.sum(F.abs(c("sum_p") - c("sum_y"))), F.sum("n")).alias("ece"))
+def calibration_windows(timed: DataFrame, window: str = "1 day", bins: int = 10) -> DataFrame:
+    """Calibration error per window from one stateful aggregate: the bins are conditional sums, so a stream can run it."""
+    tagged = timed.withColumn("bin", F.expr(bin_sql()))
+    gaps = [F.sum(F.when(c("bin") == i, c("p") - c("y"))).alias(f"gap_{i}") for i in range(bins)]
+    g = tagged.groupBy(F.window("ts", window).alias("w")).agg(F.count(F.lit(1)).alias("n"), *gaps)
+    total = F.aggregate(F.array(*[F.abs(F.coalesce(f"gap_{i}", F.lit(0.0))) for i in range(bins)]), F.lit(0.0), lambda a, x: a + x)
+    return g.select(day(c("w.start")).alias("window_start"), "n", ratio(total, c("n")).alias("ece"))
 
 
 def alerts(windows: DataFrame, limit: float = R.ECE_MAX) -> DataFrame:
@@ -59,11 +63,21 @@ def parity_counts(timed: DataFrame, size: str = "7 days", slide: str = "1 day")
         F.count(F.lit(1)).alias("n"), F.count_if(c("event_type") == "click").alias("passed"))
 
 
-def parity_windows(counts: DataFrame, reference: str = "G0") -> DataFrame:
-    """Pass rate per group and window and its ratio to the reference group's, by one conditional aggregate join."""
-    g = counts.select(day(c("w.start")).alias("window_start"), "grp", "n", ratio(c("passed"), c("n")).alias("rate"))
-    ref = g.filter(c("grp") == reference).select("window_start", c("rate").alias("ref_rate"))
-    return g.join(ref, "window_start", "left").withColumn("rate_ratio", ratio(c("rate"), c("ref_rate"))).drop("ref_rate")
+GROUPS = ("G0", "G1", "G2")
+
+
+def parity_windows(timed: DataFrame, groups: tuple[str, ...] = GROUPS, reference: str = "G0", size: str = "7 days", slide: str = "1 day") -> DataFrame:
+    """Pass rate per group and window and its ratio to the reference group's.
+
+    The groups are conditional counts of one aggregate, a row per window, so no join is needed and a stream can run it.
+    """
+    aggs = [x for i, g in enumerate(groups) for x in (F.count_if(c("grp") == g).alias(f"n_{i}"), F.count_if((c("grp") == g) & (c("event_type") == "click")).alias(f"passed_{i}"))]
+    wide = timed.groupBy(F.window("ts", size, slide).alias("w")).agg(*aggs)
+    i = groups.index(reference)
+    ref = ratio(c(f"passed_{i}"), c(f"n_{i}"))
+    rows = F.array(*[F.when(c(f"n_{j}") > 0, F.struct(F.lit(g).alias("grp"), c(f"n_{j}").alias("n"), ratio(c(f"passed_{j}"), c(f"n_{j}")).alias("rate"))) for j, g in enumerate(groups)])
+    long = wide.select(day(c("w.start")).alias("window_start"), ref.alias("ref_rate"), F.inline(F.array_compact(rows)))
+    return long.select("window_start", "grp", "n", "rate", ratio(c("rate"), c("ref_rate")).alias("rate_ratio"))
 
 
 def call_rate(timed: DataFrame, limit: int) -> DataFrame:
@@ -156,7 +170,10 @@ class WatchlistTier(StatefulProcessor):
         for batch in rows:
             for r in batch.itertuples(index=False):
                 self.months.updateValue((int(r.m),), (int(r.dpd), bool(r.bounced), bool(r.partial), int(r.balance_inr)))
-        known = sorted((k[0], *v) for k, v in self.months.iterator())[-6:]
+        known = sorted((k[0], *v) for k, v in self.months.iterator())
+        for old in known[:-6]:
+            self.months.removeKey((old[0],))
+        known = known[-6:]
         dpd = [m[1] for m in known]
         rises = sum(b > a for a, b in list(zip(dpd, dpd[1:], strict=False))[-4:])
         bal = [m[4] for m in known]

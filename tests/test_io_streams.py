@@ -70,6 +70,16 @@ def test_closed_windows_equal_batch(spark, small, event_folder):
     assert len({k[0] for k in want}) - len({k[0] for k in got}) == 1  # only the window still open is missing
 
 
+def test_monitors_run_as_streams_and_equal_the_table(spark, small, event_folder):
+    timed = M.calls(table(spark, small, "events"))
+    key = lambda rows, digits: {tuple(round(v, digits) if isinstance(v, float) else v for v in r) for r in rows}
+    for name, monitor in (("cal", M.calibration_windows), ("alert", lambda t: M.alerts(M.calibration_windows(t), 0.0)), ("parity", M.parity_windows)):
+        got, want = run(spark, monitor(stream(spark, small, event_folder)), name).collect(), monitor(timed).collect()
+        still_open = max(r.window_start for r in got)
+        assert key(got, 6) == key((r for r in want if r.window_start <= still_open), 6)
+        assert len({r.window_start for r in want}) - len({r.window_start for r in got}) in range(1, 9)
+
+
 def test_duplicates_count_once(spark, small, event_folder):
     s = stream(spark, small, event_folder)
     out = run(spark, M.daily_counts(M.deduplicated(s.unionByName(stream(spark, small, event_folder)))), "dedupe")
