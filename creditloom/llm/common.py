@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: input tables, tables staged in the shared folder, salted joins."""
+"""Helpers shared by the operators: input tables, tables staged in the shared folder, joins of checked size."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 #: A side with at most so many rows of a few numbers (about 50 bytes each, 25 MB) may be broadcast; above it joins shuffle.
 BROADCAST_ROWS = 500_000
-#: A hot key of a shuffled join is dealt to so many tasks.
-SALTS = 16
 #: Bounds of one Arrow batch, so that very long texts do not pile up in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
@@ -49,16 +47,12 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 
 
 def lookup(left: DataFrame, right: DataFrame, rows: int, on: str, how: str = "left") -> DataFrame:
-    """Join ``left`` to ``right``, which has ``rows`` rows and each key once.
+    """Join ``left`` to ``right``, which has at most ``rows`` rows and each key once.
 
-    A small right side is broadcast. Otherwise the left side, where one key may hold a third of all rows, is salted
-    and the right side, one row a key, is repeated once per salt.
+    A small right side is broadcast. Otherwise the sides are shuffled, and adaptive execution splits the partition of a
+    key that holds many rows of the left side, so that no task reads them all.
     """
-    if rows <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), on, how)
-    salted = left.withColumn("__salt", (F.rand(7) * SALTS).cast("int"))
-    spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, [on, "__salt"], how).drop("__salt")
+    return left.join(sized(right, rows), on, how)
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -13,17 +13,18 @@ def _nearest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Join each node's larger partners to its smallest one. ``n`` edges have at most 2n nodes."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = staged(_nearest(both), "near")
-    return (lookup(both.filter("v > u"), near, near.count(), "u", "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return (lookup(both.filter("v > u"), _nearest(both), 2 * n, "u", "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v").distinct())
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Join each node and its smaller partners to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = staged(_nearest(down), "near")
-    joined = lookup(down, near, near.count(), "u", "inner")
+    near = _nearest(down)
+    joined = lookup(down, near, n, "u", "inner")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -42,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = staged(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     seen = _print(now)
     while seen[0]:
-        now = staged(_small_star(_large_star(now)), "edges")
+        larger = staged(_large_star(now, seen[0]), "larger")
+        now = staged(_small_star(larger, seen[0]), "edges")
         after = _print(now)
         if after == seen:
             break

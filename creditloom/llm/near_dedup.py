@@ -8,7 +8,8 @@ of about 5e-8. Candidate edges are stars:
 1. equal sets fold into the smallest id;
 2. each bucket's members are joined to the smallest one; links are confirmed on whole sets and closed to components;
 3. in buckets that still hold several components, each member outside the largest one is the centre of a star over
-   the bucket's members of other components. Pairs inside a component are never made.
+   the bucket's members of other components. Pairs inside a component are never compared, and of the others only those
+   leave the task whose signatures agree in nearly as many bins as the similarity asked for.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Defined results: a text with fewer words than a shingle is one
 shingle; without words or text the set is empty and linked with nothing; rows that share an id are one document in links; a
@@ -30,7 +31,9 @@ from creditloom.llm.components import components
 from creditloom.llm.words import blank_words
 
 BINS, ROWS = 128, 4
-#: A bucket's members are joined to a centre in blocks of about so many.
+#: Signatures of step 3 may agree in this much less than the similarity asked for, five standard deviations of the estimate.
+SLACK = 0.18
+#: Members, and centres, of a bucket that are compared in one cell.
 BLOCK = 1000
 #: A document that is the centre of more links than this is repeated, so that no task confirms them all.
 CENTRE_LINKS = 500
@@ -45,24 +48,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _WordHashes(dict):
+    """Hash of each word, computed when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
 class Shingler:
     """Sets of 64-bit shingle hashes; word hashes are cached up to a bound."""
 
     def __init__(self, words: int) -> None:
-        self.k, self.cache = words, {}
+        self.k, self.cache = words, _WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         found = blank_words(text)
         if not found:
             return np.empty(0, dtype=np.uint64)
         cache = self.cache
-        new = set(found) - cache.keys()
-        if new:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-                new = set(found)
-            for w in new:
-                cache[w] = xxhash.xxh64_intdigest(w)
         h = np.array([cache[w] for w in found], dtype=np.uint64)
         k = min(self.k, len(h))
         out = np.full(len(h) - k + 1, k, dtype=np.uint64)
@@ -74,7 +80,7 @@ class Shingler:
 def _donors(attempt: int) -> np.ndarray:
     """For each bin, the bin that it tries to borrow from at this attempt."""
     bins = np.arange(BINS, dtype=np.uint64)
-    return (mix(mix(bins + np.uint64(1)) + np.uint64(attempt) * _STEP) % np.uint64(BINS)).astype(np.int64)
+    return (mix(mix(bins + np.uint64(1)) + np.uint64(attempt * int(_STEP) & 2**64 - 1)) % np.uint64(BINS)).astype(np.int64)
 
 
 _TRIES: list[np.ndarray] = []
@@ -110,14 +116,16 @@ def _sketch(words: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, sigs = [], [], [], []
             for text in batch.column(1):
                 s = shingler(text.as_py())
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(bands(signature(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                                             names=["doc_id", "n_shingles", "digest", "bands"])
+                sig = signature(s) if len(s) else None
+                keys.append(bands(sig) if len(s) else None)
+                sigs.append(mix(sig).astype(np.uint8).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                                             names=["doc_id", "n_shingles", "digest", "bands", "sig"])
 
     return sketch
 
@@ -153,18 +161,62 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v", "set_u", "set_v").mapInArrow(_confirm(percent), "u long, v long")
 
 
-def _mixed_stars(members: DataFrame, comps: DataFrame, n_comps: int) -> DataFrame:
-    """Candidate edges of step 3 from the members (key, id) of buckets."""
+def _agreeing(percent: int):
+    """Rows of one cell after another: pairs of a centre and a member of other components whose signatures agree enough."""
+    least = BINS * (percent / 100 - SLACK)
+
+    def pairs(group: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
+        sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(-1, BINS)
+        ids, comps, sizes = (np.array(group[c], dtype=np.int64) for c in ("id", "component", "n_shingles"))
+        centre = np.array(group["centre"], dtype=bool)
+        members = np.flatnonzero(~centre)
+        us, vs = [], []
+        for i in np.flatnonzero(centre):
+            fits = (comps[members] != comps[i]) & (100 * np.minimum(sizes[members], sizes[i]) >= percent * np.maximum(sizes[members], sizes[i]))
+            found = members[fits]
+            found = found[(sig[found] == sig[i]).sum(axis=1) >= least]
+            us.append(np.maximum(ids[found], ids[i]))
+            vs.append(np.minimum(ids[found], ids[i]))
+        return (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, dtype=np.int64),) * 2
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, {c: [] for c in ("id", "component", "n_shingles", "sig", "centre")}
+        for batch in batches:
+            cells = list(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "part"))))
+            columns = {c: batch.column(c).to_pylist() for c in group}
+            edges = [i for i in range(len(cells)) if i == 0 or cells[i] != cells[i - 1]]
+            for lo, hi in zip(edges, [*edges[1:], len(cells)]):
+                if cells[lo] != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(group)], names=["u", "v"])
+                    now, group = cells[lo], {c: [] for c in group}
+                for c in group:
+                    group[c].extend(columns[c][lo:hi])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(group)], names=["u", "v"])
+
+    return compare
+
+
+def _mixed_stars(members: DataFrame, sigs: DataFrame, comps: DataFrame, n_comps: int, percent: int) -> DataFrame:
+    """Candidate edges (u, v) of step 3 from the members (key, id, n_shingles) of buckets and the signatures (id, sig).
+
+    A bucket is dealt to cells of at most about ``BLOCK`` members and ``BLOCK`` centres; only pairs whose signatures agree leave
+    a cell.
+    """
     labelled = lookup(members, comps.withColumnRenamed("u", "id"), n_comps, "id").withColumn("component", F.coalesce("component", "id"))
     by_comp = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = staged(by_comp.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("comps"))
-                   .filter("comps > 1").select("key", "main", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks")), "mixed")
-    inside = lookup(labelled, mixed, mixed.count(), "key", "inner")
-    spread = inside.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    centres = (inside.filter("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .select("key", "block", F.col("id").alias("c"), F.col("component").alias("c_component"), F.col("n_shingles").alias("c_size")))
-    pairs = spread.join(centres, ["key", "block"]).filter("component <> c_component")
-    return pairs.select("id", "c", "n_shingles", "c_size")
+    biggest = F.max_by("component", F.struct("n", "component")).alias("main")
+    mixed = staged(by_comp.groupBy("key").agg(biggest, F.max("n").alias("most"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+                   .select("key", "main", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("parts")), "mixed")
+    inside = lookup(labelled, mixed, mixed.count(), "key", "inner").join(sigs, "id")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "block", "part", "id", "component", "n_shingles", "sig", "centre"]
+    rows = inside.withColumn("block", deal("blocks")).withColumn("part", every("parts")).withColumn("centre", F.lit(False)).select(columns)
+    centres = inside.filter("component <> main").withColumn("part", deal("parts")).withColumn("block", every("blocks")).withColumn("centre", F.lit(True)).select(columns)
+    cells = rows.union(centres).repartition("key", "block", "part").sortWithinPartitions("key", "block", "part")
+    return cells.mapInArrow(_agreeing(percent), "u long, v long")
 
 
 def _edge(a: str, b: str, size_a: str, size_b: str, percent: int) -> list:
@@ -180,13 +232,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sketches = staged(base.mapInArrow(_sketch(words), "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketches")
+    sketches = staged(base.mapInArrow(_sketch(words), "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"), "sketches")
     folded = staged(sketches.filter("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
         .filter("id is not null"), "folded")
     dealt = folded.select("id", "n_shingles", F.explode("bands").alias("key"))
     buckets = staged(dealt.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "centre"), "buckets")
-    members = staged(lookup(dealt, buckets, buckets.count(), "key", "inner"), "members")
+    # buckets grow with the corpus: never broadcast; adaptive execution splits the partition of a hot bucket
+    members = staged(dealt.join(buckets, "key"), "members")
     size_of = folded.select(F.col("id").alias("centre"), F.col("n_shingles").alias("c_size"))
     fits, u, v = _edge("id", "centre", "n_shingles", "c_size", percent)
     stars = members.filter("id <> centre").select("id", "centre", "n_shingles").distinct().join(size_of, "centre").filter(fits).select(u, v)
@@ -196,8 +249,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = staged(base.join(sized(ids, ids.count()), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, set binary"), "sets")
     links = staged(_confirmed(stars, sets, percent), "links")
     comps = components(links)
-    fits, u, v = _edge("id", "c", "n_shingles", "c_size", percent)
-    rest = _mixed_stars(members.drop("centre"), comps, comps.count()).filter(fits).select(u, v).distinct().join(stars, ["u", "v"], "left_anti")
+    rest = _mixed_stars(members.select("key", "id", "n_shingles"), folded.select("id", "sig"), comps, comps.count(), percent).distinct().join(stars, ["u", "v"], "left_anti")
     rest = staged(rest, "rest")
     more = staged(_confirmed(rest, sets, percent), "more")
     if more.count():
