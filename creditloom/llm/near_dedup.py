@@ -168,19 +168,22 @@ def _agreeing(percent: int):
     def pairs(group: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
         sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(-1, BINS)
         ids, comps, sizes = (np.array(group[c], dtype=np.int64) for c in ("id", "component", "n_shingles"))
-        centre = np.array(group["centre"], dtype=bool)
+        centre, band = np.array(group["centre"], dtype=bool), group["band"][0]
         members = np.flatnonzero(~centre)
         us, vs = [], []
         for i in np.flatnonzero(centre):
             fits = (comps[members] != comps[i]) & (100 * np.minimum(sizes[members], sizes[i]) >= percent * np.maximum(sizes[members], sizes[i]))
             found = members[fits]
-            found = found[(sig[found] == sig[i]).sum(axis=1) >= least]
+            agree = sig[found] == sig[i]
+            whole = agree.reshape(len(found), -1, ROWS).all(axis=2)
+            # a pair leaves only the bucket of the first band in which it agrees
+            found = found[(agree.sum(axis=1) >= least) & (whole.argmax(axis=1) == band)]
             us.append(np.maximum(ids[found], ids[i]))
             vs.append(np.minimum(ids[found], ids[i]))
         return (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, dtype=np.int64),) * 2
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, {c: [] for c in ("id", "component", "n_shingles", "sig", "centre")}
+        now, group = None, {c: [] for c in ("band", "id", "component", "n_shingles", "sig", "centre")}
         for batch in batches:
             cells = list(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "part"))))
             columns = {c: batch.column(c).to_pylist() for c in group}
@@ -199,7 +202,7 @@ def _agreeing(percent: int):
 
 
 def _mixed_stars(members: DataFrame, sigs: DataFrame, comps: DataFrame, n_comps: int, percent: int) -> DataFrame:
-    """Candidate edges (u, v) of step 3 from the members (key, id, n_shingles) of buckets and the signatures (id, sig).
+    """Candidate edges (u, v) of step 3 from the members (key, band, id, n_shingles) of buckets and the signatures (id, sig).
 
     A bucket is dealt to cells of at most about ``BLOCK`` members and ``BLOCK`` centres; only pairs whose signatures agree leave
     a cell.
@@ -212,7 +215,7 @@ def _mixed_stars(members: DataFrame, sigs: DataFrame, comps: DataFrame, n_comps:
     inside = lookup(labelled, mixed, mixed.count(), "key", "inner").join(sigs, "id")
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["key", "block", "part", "id", "component", "n_shingles", "sig", "centre"]
+    columns = ["key", "band", "block", "part", "id", "component", "n_shingles", "sig", "centre"]
     rows = inside.withColumn("block", deal("blocks")).withColumn("part", every("parts")).withColumn("centre", F.lit(False)).select(columns)
     centres = inside.filter("component <> main").withColumn("part", deal("parts")).withColumn("block", every("blocks")).withColumn("centre", F.lit(True)).select(columns)
     cells = rows.union(centres).repartition("key", "block", "part").sortWithinPartitions("key", "block", "part")
@@ -236,7 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     folded = staged(sketches.filter("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
         .filter("id is not null"), "folded")
-    dealt = folded.select("id", "n_shingles", F.explode("bands").alias("key"))
+    dealt = folded.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = staged(dealt.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "centre"), "buckets")
     # buckets grow with the corpus: never broadcast; adaptive execution splits the partition of a hot bucket
     members = staged(dealt.join(buckets, "key"), "members")
@@ -249,7 +252,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = staged(base.join(sized(ids, ids.count()), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, set binary"), "sets")
     links = staged(_confirmed(stars, sets, percent), "links")
     comps = components(links)
-    rest = _mixed_stars(members.select("key", "id", "n_shingles"), folded.select("id", "sig"), comps, comps.count(), percent).distinct().join(stars, ["u", "v"], "left_anti")
+    rest = _mixed_stars(members.select("key", "band", "id", "n_shingles"), folded.select("id", "sig"), comps, comps.count(), percent).distinct().join(stars, ["u", "v"], "left_anti")
     rest = staged(rest, "rest")
     more = staged(_confirmed(rest, sets, percent), "more")
     if more.count():
