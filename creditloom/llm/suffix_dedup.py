@@ -8,8 +8,10 @@ and neighbouring windows share one, so that one row, an anchor, stands for about
 1. digit one, the gram: anchors whose gram occurs once leave;
 2. digit two, everything that any window over the gram can reach to its left and right: where it is equal for all
    anchors of a gram, all their windows are repeated;
-3. the rest: up to ``SMALL`` anchors of a gram are compared byte by byte to the left and right. For more anchors the
-   windows themselves are the last digit and are counted by two 64-bit hashes.
+3. the rest: up to ``SMALL`` anchors of a gram are compared byte by byte to the left and right, but for those that sorting
+   shows to agree with none far enough. The windows of more
+   frequent anchors fall into cells of windows that start at most ``GRAM`` bytes apart: digit three is what all windows of a
+   cell share, digit four all that they reach; what is left are single windows, counted by two 64-bit hashes.
 
 Digits of stages 1 and 2 are 64-bit hashes of different bases. Nothing is grouped in one task but the at most ``SMALL``
 anchors of a rare gram and the ranges of one document; counts are partly summed before they are shuffled.
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import lookup, read, sized, small_batches, staged, text_or_empty
+from creditloom.llm.common import read, sized, small_batches, staged, text_or_empty
 from creditloom.llm.near_dedup import mix
 
-LENGTH, GRAM, SMALL = 200, 40, 64
+LENGTH, GRAM, SMALL, FEW = 200, 40, 1000, 16
+#: Rows of windows that leave a Python worker at once.
+ROWS_OUT = 100_000
 REACH = LENGTH - GRAM
 #: Windows of a document are handled in segments of so many, so that memory does not grow with its length.
 SEGMENT = 1 << 20
@@ -121,40 +125,91 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["g", "c", "row", "a", "lo", "hi"])
 
 
-def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around each unsettled anchor of a document."""
+STAGE3 = "kind int, key long, f long, row long, a int, lo int, hi int, left int, around binary"
+_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+
+def _cells(data: np.ndarray, a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, f, anchor, first window, last window) for the windows of each anchor that start ``GRAM`` bytes apart at most.
+
+    All windows of a cell cover the bytes that ``key`` stands for, and lie in those that ``f`` stands for.
+    """
+    n, one, two = len(data), ONE.sums(data), TWO.sums(data)
+    for k in range(REACH // GRAM):
+        near, far = GRAM * k + (k > 0), GRAM * (k + 1)
+        first, last = np.maximum(lo, a - far), np.minimum(hi, a - near)
+        some = np.flatnonzero(first <= last)
+        at = a[some]
+        key = mix(ONE.hash(one, at - near, at + LENGTH - far) + np.uint64(k))
+        start, stop = np.maximum(at - far, 0), np.minimum(at + LENGTH - near, n)
+        f = mix(TWO.hash(two, start, stop) + mix((at - start).astype(np.uint64) * np.uint64(4096) + (stop - at).astype(np.uint64)))
+        yield key.view(np.int64), f.view(np.int64), at, first[some], last[some]
+
+
+def _third_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the unsettled anchors of a document: the bytes around those of rare grams, the cells of the others."""
     for batch in batches:
         out: list[tuple] = []
         for row, text, marks in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("marks").to_pylist()):
             raw = text.as_buffer().to_pybytes()
+            marks = [m for m in marks if m["hi"] + LENGTH <= len(raw)]  # others are of another text with this id
             for m in marks:
-                if m["hi"] + LENGTH > len(raw):
-                    continue  # of another text with this id
-                start = max(0, m["a"] - REACH)
-                out.append((m["g"], row, m["a"], m["lo"], m["hi"], m["a"] - start, raw[start:m["a"] + LENGTH]))
-        cols = list(zip(*out)) if out else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
-                                         names=["g", "row", "a", "lo", "hi", "left", "around"])
+                if m["kind"] == 1:
+                    start = max(0, m["a"] - REACH)
+                    out.append((1, m["g"], 0, row, m["a"], m["lo"], m["hi"], m["a"] - start, raw[start:m["a"] + LENGTH]))
+            often = np.array([(m["a"], m["lo"], m["hi"]) for m in marks if m["kind"] == 2], dtype=np.int64).reshape(-1, 3)
+            data = np.frombuffer(raw, dtype=np.uint8)
+            for i in range(0, len(data), SEGMENT) if len(often) else ():
+                own = often[(often[:, 0] >= i) & (often[:, 0] < i + SEGMENT)]
+                base = max(0, i - REACH)
+                for cell in _cells(data[base:i + SEGMENT + LENGTH], own[:, 0] - base, own[:, 1] - base, own[:, 2] - base) if len(own) else ():
+                    key, f, a, lo, hi = (x.tolist() for x in cell)
+                    out.extend((2, key[j], f[j], row, a[j] + base, lo[j] + base, hi[j] + base, 0, None) for j in range(len(key)))
+        cols = list(zip(*out)) if out else [[]] * len(_TYPES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=["kind", "key", "f", "row", "a", "lo", "hi", "left", "around"])
+
+
+def _longest(rows: np.ndarray) -> np.ndarray:
+    """How far each row agrees with the row that agrees with it furthest: a neighbour in sorted order."""
+    order = np.array(sorted(range(len(rows)), key=[r.tobytes() for r in rows].__getitem__), dtype=np.int64)
+    differ = rows[order[1:]] != rows[order[:-1]]
+    differ[:, REACH] = True
+    shared = differ.argmax(axis=1)
+    out = np.empty(len(rows), dtype=np.int64)
+    out[order] = np.maximum(np.concatenate(([0], shared)), np.concatenate((shared, [0])))
+    return out
 
 
 def _equal_runs(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
     """(row, first window, last window) of the repeated windows among the anchors of one gram."""
-    m = len(group)
-    before, after = np.full((m, REACH + 1), 256, dtype=np.int16), np.full((m, REACH + 1), 256, dtype=np.int16)
+    alike: dict[tuple, list[int]] = {}
     for i, (_, _, _, _, left, around) in enumerate(group):
-        b = np.frombuffer(around, dtype=np.uint8)
+        alike.setdefault((left, around), []).append(i)
+    kept = []
+    for same in alike.values():
+        if len(same) > 1:  # equal as far as any window reaches
+            yield from ((group[i][0], group[i][2], group[i][3]) for i in same)
+        kept.append(same[0])
+    before, after = np.full((len(kept), REACH + 1), 256, dtype=np.int16), np.full((len(kept), REACH + 1), 256, dtype=np.int16)
+    for i, k in enumerate(kept):
+        left, b = group[k][4], np.frombuffer(group[k][5], dtype=np.uint8)
         before[i, :left] = b[:left][::-1]
-        right = b[left + GRAM:]
-        after[i, :len(right)] = right
-    for i, (row, a, lo, hi, _, _) in enumerate(group):
+        after[i, :len(b) - left - GRAM] = b[left + GRAM:]
+    if len(kept) > FEW:  # only anchors whose longest matches to both sides add up to a window can have one
+        able = np.flatnonzero(_longest(before) + _longest(after) >= REACH)
+        kept, before, after = [kept[i] for i in able], before[able], after[able]
+    for i, k in enumerate(kept):
+        row, a, lo, hi, left, around = group[k]
+        if len(alike[(left, around)]) > 1:
+            continue
         # the last column is never equal, so argmax finds the first difference
         differ = before != before[i]
         differ[:, REACH] = True
-        left = differ.argmax(axis=1)
+        reach_left = differ.argmax(axis=1)
         differ = after != after[i]
         differ[:, REACH] = True
-        right = differ.argmax(axis=1)
-        first, last = np.maximum(lo, a - left), np.minimum(hi, a + right - REACH)
+        reach_right = differ.argmax(axis=1)
+        first, last = np.maximum(lo, a - reach_left), np.minimum(hi, a + reach_right - REACH)
         first[i], last[i] = 1, 0
         good = np.flatnonzero(first <= last)
         for lo_, hi_ in sorted({(int(first[j]), int(last[j])) for j in good}):
@@ -166,7 +221,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, group = None, []
     for batch in batches:
         found: list[tuple[int, int, int]] = []
-        for g, *rest in zip(*(batch.column(c).to_pylist() for c in ("g", "row", "a", "lo", "hi", "left", "around"))):
+        for g, *rest in zip(*(batch.column(c).to_pylist() for c in ("key", "row", "a", "lo", "hi", "left", "around"))):
             if g != now:
                 found.extend(_equal_runs(group))
                 now, group = g, []
@@ -181,9 +236,17 @@ def _ranges(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashes of all windows of each unsettled anchor of a document."""
+    """The hashes of all windows of each unsettled cell of a document."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(4)]
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).astype(np.int64) if p else np.empty(0, dtype=np.int64)) for p in parts], names=["h1", "h2", "row", "p"])
+        for p in parts:
+            p.clear()
+        return out
+
+    size = 0
     for batch in batches:
-        parts: list[list[np.ndarray]] = [[] for _ in range(4)]
         for row, text, marks in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("marks").to_pylist()):
             data = _bytes(text)
             for m in marks:
@@ -193,8 +256,11 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.arange(m["hi"] - m["lo"] + 1)
                 for part, x in zip(parts, (*(b.hash(b.sums(piece), at, at + LENGTH).view(np.int64) for b in (ONE, TWO)), np.full(len(at), row), at + m["lo"])):
                     part.append(x)
-        if parts[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).astype(np.int64)) for p in parts], names=["h1", "h2", "row", "p"])
+                size += len(at)
+                if size >= ROWS_OUT:
+                    yield flush()
+                    size = 0
+    yield flush()
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +284,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def _marked(texts: DataFrame, marks: DataFrame) -> DataFrame:
+def _marked(texts: DataFrame, marks: DataFrame, columns: list[str]) -> DataFrame:
     """Texts of the rows that have marks, with the marks; only those texts are shuffled where their ids may be broadcast."""
-    by_row = marks.groupBy("row").agg(F.collect_list(F.struct("g", "a", "lo", "hi")).alias("marks"))
+    by_row = marks.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("marks"))
     rows = marks.select("row").distinct()
     return texts.join(sized(rows, rows.count()), "row", "left_semi").join(by_row, "row")
 
@@ -231,14 +297,19 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     digits = (found.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1")
               .select("g", F.when(F.col("low") == F.col("high"), 0).when(F.col("n") <= SMALL, 1).otherwise(2).alias("kind")))
     digits = staged(digits, "digits")
-    held = staged(lookup(found.select("g", "row", "a", "lo", "hi"), digits, digits.count(), "g", "inner"), "anchors")
-    around = _marked(texts, held.filter("kind = 1")).mapInArrow(_reaches, "g long, row long, a int, lo int, hi int, left int, around binary")
-    near = around.repartition("g").sortWithinPartitions("g").mapInArrow(_compare, "row long, lo int, hi int")
-    windows = staged(_marked(texts, held.filter("kind = 2")).mapInArrow(_window_rows, "h1 long, h2 long, row long, p long"), "windows")
+    # tables of grams grow with the corpus: never broadcast; adaptive execution splits the partition of a hot gram
+    held = staged(found.select("g", "row", "a", "lo", "hi").join(digits, "g"), "anchors")
+    third = staged(_marked(texts, held.filter("kind > 0"), ["kind", "g", "a", "lo", "hi"]).mapInArrow(_third_digits, STAGE3), "third")
+    near = third.filter("kind = 1").drop("kind", "f").repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "row long, lo int, hi int")
+    cells = third.filter("kind = 2").select("key", "f", "row", "a", "lo", "hi")
+    shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("low"), F.max("f").alias("high")).filter("n > 1")
+    shared = staged(shared.select("key", (F.col("low") == F.col("high")).alias("whole")), "shared")
+    cells = staged(cells.join(shared, "key").select("whole", "row", "a", "lo", "hi"), "cells")
+    windows = staged(_marked(texts, cells.filter("not whole"), ["a", "lo", "hi"]).mapInArrow(_window_rows, "h1 long, h2 long, row long, p long"), "windows")
     often = staged(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.struct("h1", "h2").alias("h")), "often")
-    wide = lookup(windows.select(F.struct("h1", "h2").alias("h"), "row", "p"), often, often.count(), "h", "inner")
+    wide = windows.select(F.struct("h1", "h2").alias("h"), "row", "p").join(often, "h")
     wide = wide.select("row", F.col("p").cast("int").alias("lo"), F.col("p").cast("int").alias("hi"))
-    return held.filter("kind = 0").select("row", "lo", "hi").union(near).union(wide)
+    return held.filter("kind = 0").select("row", "lo", "hi").union(near).union(cells.filter("whole").select("row", "lo", "hi")).union(wide)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ def test_windows_on_awkward_rows(spark):
     assert got_windows(frame(spark)) == brute_windows([r[:2] for r in awkward()], 200)
 
 
-@pytest.mark.parametrize("segment,small", [(1 << 20, 64), (300, 1)])
+@pytest.mark.parametrize("segment,small", [(1 << 20, 1000), (300, 1)])
 def test_windows_in_segments_and_hot_groups(spark, monkeypatch, segment, small):
     monkeypatch.setattr(suffix_dedup, "SMALL", small)
     monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
