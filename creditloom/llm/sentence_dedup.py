@@ -7,7 +7,7 @@ that starts first. Runs of three sentences find most passages; runs of two or on
 made of long sentences are found and short phrases that many texts share by chance are not.
 
 Hashes are counted per document before the shuffle and partly summed in it, so that a span that is in a third of all
-documents meets no single task; the join back is salted.
+documents meets no single task; adaptive execution splits the join back.
 
 Defined results: a null or empty text has no sentences and stays as it is; rows that share an id are one document, whose first
 runs stay in each; a null id counts as larger than all others; an empty table gives an empty result; other columns are ignored.
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import lookup, read, sized, small_batches, staged
+from creditloom.llm.common import read, sized, small_batches, staged
 
 #: Sentences in a run and the words that it needs.
 SPANS = ((3, 8), (2, 30), (1, 50))
@@ -93,7 +93,8 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = base.select("id", "text").mapInArrow(_hashes, "h1 long, h2 long, id long")
     often = staged(found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
                    .select(F.struct("h1", "h2").alias("h"), "first"), "often")
-    later = lookup(found.select(F.struct("h1", "h2").alias("h"), "id"), often, often.count(), "h", "inner").filter("id <> first")
+    # as many rows as the corpus has repeated spans: never broadcast; adaptive execution splits the partition of a hot span
+    later = found.select(F.struct("h1", "h2").alias("h"), "id").join(often, "h").filter("id <> first")
     by_doc = staged(later.groupBy("id").agg(F.collect_list("h").alias("later")), "later")
     n = by_doc.count()
     ids = by_doc.select("id")
