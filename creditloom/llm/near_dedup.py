@@ -175,7 +175,7 @@ def _agreeing(percent: int):
             fits = (comps[members] != comps[i]) & (100 * np.minimum(sizes[members], sizes[i]) >= percent * np.maximum(sizes[members], sizes[i]))
             found = members[fits]
             agree = sig[found] == sig[i]
-            whole = agree.reshape(len(found), -1, ROWS).all(axis=2)
+            whole = agree.reshape(len(found), BINS // ROWS, ROWS).all(axis=2)
             # a pair leaves only the bucket of the first band in which it agrees
             found = found[(agree.sum(axis=1) >= least) & (whole.argmax(axis=1) == band)]
             us.append(np.maximum(ids[found], ids[i]))

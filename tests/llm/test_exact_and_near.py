@@ -99,6 +99,17 @@ def test_near_duplicates_follow_chains_and_stars(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows, 2)
 
 
+def test_cells_without_fitting_members():
+    import pyarrow as pa
+    sig = bytes(range(near_dedup.BINS))
+    rows = {"key": [1, 1, 1, 2, 2], "band": [0] * 5, "block": [0] * 5, "part": [0] * 5, "id": [5, 6, 5, 7, 8], "component": [5, 6, 5, 7, 7], "n_shingles": [10, 90, 10, 5, 5],
+            "sig": [sig] * 5, "centre": [False, False, True, False, True]}
+    got = [b.to_pydict() for b in near_dedup._agreeing(80)(iter([pa.RecordBatch.from_pydict(rows)]))]
+    assert [b["u"] for b in got] == [[], []]
+    rows["n_shingles"][1] = 9
+    assert [b.to_pydict() for b in near_dedup._agreeing(80)(iter([pa.RecordBatch.from_pydict(rows)]))][0] == {"u": [6], "v": [5]}
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
