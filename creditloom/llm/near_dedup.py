@@ -162,22 +162,25 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _agreeing(percent: int):
-    """Rows of one cell after another: pairs of a centre and a member of other components whose signatures agree enough."""
+    """Rows of one cell after another: pairs of a centre and a member of other components whose signatures agree enough.
+
+    A row's ``sig`` is its signature of a byte per bin, then the whole keys of the bands before the cell's.
+    """
     least = BINS * (percent / 100 - SLACK)
 
     def pairs(group: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(-1, BINS)
+        raw = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(-1, BINS + 8 * group["band"][0])
+        sig, earlier = raw[:, :BINS], np.ascontiguousarray(raw[:, BINS:]).view(np.uint64)
         ids, comps, sizes = (np.array(group[c], dtype=np.int64) for c in ("id", "component", "n_shingles"))
-        centre, band = np.array(group["centre"], dtype=bool), group["band"][0]
+        centre = np.array(group["centre"], dtype=bool)
         members = np.flatnonzero(~centre)
         us, vs = [], []
         for i in np.flatnonzero(centre):
             fits = (comps[members] != comps[i]) & (100 * np.minimum(sizes[members], sizes[i]) >= percent * np.maximum(sizes[members], sizes[i]))
             found = members[fits]
-            agree = sig[found] == sig[i]
-            whole = agree.reshape(len(found), BINS // ROWS, ROWS).all(axis=2)
-            # a pair leaves only the bucket of the first band in which it agrees
-            found = found[(agree.sum(axis=1) >= least) & (whole.argmax(axis=1) == band)]
+            found = found[(sig[found] == sig[i]).sum(axis=1) >= least]
+            # a pair leaves only the first bucket in which it meets; bytes of the signature may agree in bands whose keys differ
+            found = found[~(earlier[found] == earlier[i]).any(axis=1)]
             us.append(np.maximum(ids[found], ids[i]))
             vs.append(np.minimum(ids[found], ids[i]))
         return (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, dtype=np.int64),) * 2
@@ -202,7 +205,7 @@ def _agreeing(percent: int):
 
 
 def _mixed_stars(members: DataFrame, sigs: DataFrame, comps: DataFrame, n_comps: int, percent: int) -> DataFrame:
-    """Candidate edges (u, v) of step 3 from the members (key, band, id, n_shingles) of buckets and the signatures (id, sig).
+    """Candidate edges (u, v) of step 3 from the members (key, band, id, n_shingles) of buckets and the signatures (id, sig, bands).
 
     A bucket is dealt to cells of at most about ``BLOCK`` members and ``BLOCK`` centres; only pairs whose signatures agree leave
     a cell.
@@ -212,7 +215,9 @@ def _mixed_stars(members: DataFrame, sigs: DataFrame, comps: DataFrame, n_comps:
     biggest = F.max_by("component", F.struct("n", "component")).alias("main")
     mixed = staged(by_comp.groupBy("key").agg(biggest, F.max("n").alias("most"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
                    .select("key", "main", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("parts")), "mixed")
-    inside = lookup(labelled, mixed, mixed.count(), "key", "inner").join(sigs, "id")
+    keys = F.unhex(F.array_join(F.transform("bands", lambda k: F.lpad(F.hex(k), 16, "0")), ""))
+    inside = lookup(labelled, mixed, mixed.count(), "key", "inner").join(sigs.select("id", F.concat("sig", keys).alias("sig")), "id")
+    inside = inside.withColumn("sig", F.substring("sig", F.lit(1), F.lit(BINS) + 8 * F.col("band")))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["key", "band", "block", "part", "id", "component", "n_shingles", "sig", "centre"]
@@ -252,7 +257,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = staged(base.join(sized(ids, ids.count()), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, set binary"), "sets")
     links = staged(_confirmed(stars, sets, percent), "links")
     comps = components(links)
-    rest = _mixed_stars(members.select("key", "band", "id", "n_shingles"), folded.select("id", "sig"), comps, comps.count(), percent).distinct().join(stars, ["u", "v"], "left_anti")
+    rest = _mixed_stars(members.select("key", "band", "id", "n_shingles"), folded.select("id", "sig", "bands"), comps, comps.count(), percent).distinct().join(stars, ["u", "v"], "left_anti")
     rest = staged(rest, "rest")
     more = staged(_confirmed(rest, sets, percent), "more")
     if more.count():

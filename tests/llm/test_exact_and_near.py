@@ -110,6 +110,16 @@ def test_cells_without_fitting_members():
     assert [b.to_pydict() for b in near_dedup._agreeing(80)(iter([pa.RecordBatch.from_pydict(rows)]))][0] == {"u": [6], "v": [5]}
 
 
+def test_pairs_leave_the_first_bucket_in_which_their_keys_agree(spark):
+    """Signatures that agree by chance in bands before the first common bucket lose no pair, and none leaves twice."""
+    sig, n = bytes(range(near_dedup.BINS)), near_dedup.BINS // near_dedup.ROWS
+    keys = {i: [-i if b < 5 else b << 40 for b in range(n)] for i in (1, 2)}
+    members = spark.createDataFrame([(b << 40, b, i, 10) for b in range(5, n) for i in keys], "key long, band int, id long, n_shingles long")
+    sigs = spark.createDataFrame([(i, bytearray(sig), k) for i, k in keys.items()], "id long, sig binary, bands array<long>")
+    comps = spark.createDataFrame([], "u long, component long")
+    assert [tuple(r) for r in near_dedup._mixed_stars(members, sigs, comps, 0, 80).collect()] == [(2, 1)]
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
