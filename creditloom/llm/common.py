@@ -41,6 +41,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows with a number of their own, ``__row``, stored so that every pass over them sees the same one."""
+    return staged(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only where the counted rows allow it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

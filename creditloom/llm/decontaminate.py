@@ -9,7 +9,8 @@ has no words and no hits; items without words have no window; items that repeat
 id marks words but is not named; an empty item table hits nothing; other columns are ignored.
 
 Items go to the executors in shards of at most ``SHARD_WORDS`` words, so that what is broadcast stays bounded however
-large the item table is; each shard is one pass over the documents and the passes are merged per document.
+large the item table is. Each shard is one pass over the whole texts; the passes are merged per row, by a row number that is
+stored with the texts, and texts are judged and cut once, by the merged spans. So results do not depend on the shards.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import read, small_batches
+from creditloom.llm.common import numbered, read, small_batches, staged
 from creditloom.llm.words import alnum_offsets, alnum_words
 
 WINDOW = 10
 #: Words of items in one automaton; an automaton has at most two states a word (about 100 MB for a full shard).
 SHARD_WORDS = 200_000
-HITS = "doc_id long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
+HITS = "n_words long, spans array<struct<first:int,last:int>>, items array<string>"
 
 
 class Automaton:
@@ -149,87 +150,106 @@ def _automaton(items: tuple[tuple[str | None, str], ...], window: int) -> Automa
     return Automaton(list(items), window)
 
 
-def _shards(items: DataFrame, id_col: str, text_col: str) -> list[tuple]:
-    """The items as tuples of bounded size; rows stream to the driver one partition at a time."""
+def _shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple]:
+    """The items as tuples of bounded size, at least one; rows stream to the driver one partition at a time."""
     rows = items.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).filter("t is not null")
-    shards: list[tuple] = []
     now, size = [], 0
     for r in rows.toLocalIterator():
         n = len(alnum_words(r.t))
         if now and size + n > SHARD_WORDS:
-            shards.append(tuple(now))
+            yield tuple(now)
             now, size = [], 0
         now.append((r.i, r.t))
         size += n
-    return [*shards, tuple(now)]
+    yield tuple(now)
+
+
+def _broadcasts(items: DataFrame, id_col: str, text_col: str) -> list:
+    """A broadcast of each shard; the driver holds one shard at a time, broadcasts are files."""
+    return [items.sparkSession.sparkContext.broadcast(s) for s in _shards(items, id_col, text_col)]
 
 
 def _scanner(shard, window: int):
+    """The last column, the text, gives way to ``HITS``; the columns before it stay."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = _automaton(shard.value, window)
         get = auto.vocab.get
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
-            ids, counts, spans, names = batch.column(0), [], [], []
-            for text in batch.column(1):
+            counts, spans, names = [], [], []
+            for text in batch.columns[-1]:
                 words = alnum_words(text.as_py())
                 hit, items = auto.scan(np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words)))
                 counts.append(len(words))
                 spans.append([{"first": a, "last": b} for a, b in hit])
                 names.append(sorted(x for x in items if x is not None))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))],
-                                             names=["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))],
+                                             names=[*batch.schema.names[:-1], "n_words", "spans", "items"])
 
     return scan
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, spans of hit words (first and last word, from 0), items (sorted ids as text).
-
-    With more than one shard of items, documents are told apart by id: rows that share one are merged.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    parts = [base.mapInArrow(_scanner(spark.sparkContext.broadcast(s), window), HITS) for s in _shards(items, item_col, item_text_col)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-                                         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+def _merged(rows: DataFrame, shards: list, window: int, id_col: str, every: bool) -> DataFrame:
+    """Per row: __row, the id column, n_words, spans and items over all shards; only rows with a hit unless ``every`` is set."""
+    base = rows.select("__row", id_col, "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
+    passes = [base.mapInArrow(_scanner(s, window), f"{kinds}, {HITS}").filter(F.lit(True) if every else F.size("spans") > 0) for s in shards]
+    union = passes[0]
+    for p in passes[1:]:
+        union = union.unionByName(p)
+    merged = union.groupBy("__row", id_col).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+                                                F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     join = ("aggregate(spans, cast(array() as array<struct<first:int,last:int>>), (a, x) -> "
             "CASE WHEN size(a) > 0 AND x.first <= element_at(a, -1).last + 1 THEN concat(slice(a, 1, size(a) - 1), "
             "array(named_struct('first', element_at(a, -1).first, 'last', greatest(x.last, element_at(a, -1).last)))) ELSE concat(a, array(x)) END)")
     return merged.withColumn("spans", F.expr(join))
 
 
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
+                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_words, spans of hit words (first and last word, from 0), items (sorted ids as text)."""
+    small_batches(docs.sparkSession)
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    shards = _broadcasts(items, item_col, item_text_col)
+    if len(shards) == 1:
+        return base.mapInArrow(_scanner(shards[0], window), f"doc_id long, {HITS}")
+    return _merged(numbered(base), shards, window, "doc_id", every=True).drop("__row")
+
+
 def n_hit() -> F.Column:
     return F.expr("aggregate(spans, 0L, (a, x) -> a + x.last - x.first + 1)")
 
 
-def _cutter(shard, window: int, max_coverage: float):
+def _cut(text: str, hit: list[tuple[int, int]]) -> str:
+    """The text without the hit word ranges."""
+    raw, at = alnum_offsets(text)
+    kept, end = [], 0
+    for first, last in hit:
+        kept.append(raw[end:at[first][0]])
+        end = at[last][1]
+    return b"".join([*kept, raw[end:]]).decode("utf-8", "surrogatepass")
+
+
+def _cutter(shard, window: int, max_coverage: float, columns: list[str]):
+    """Cut by the hits of the only shard, or, without one, by the columns __n and __spans that all shards gave."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(shard.value, window)
-        get = auto.vocab.get
+        auto = _automaton(shard.value, window) if shard is not None else None
         for batch in batches:
             texts, keep = [], []
-            for text in batch.column("text"):
+            at = None if auto else list(zip(batch.column("__n").to_pylist(), batch.column("__spans").to_pylist()))
+            for i, text in enumerate(batch.column("text")):
                 text = text.as_py()
-                words = alnum_words(text)
-                hit, _ = auto.scan(np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words)))
-                keep.append(sum(b - a + 1 for a, b in hit) <= max_coverage * len(words))
-                if hit:
-                    raw, at = alnum_offsets(text)
-                    kept, end = [], 0
-                    for first, last in hit:
-                        kept.append(raw[end:at[first][0]])
-                        end = at[last][1]
-                    text = b"".join([*kept, raw[end:]]).decode("utf-8", "surrogatepass")
-                texts.append(text)
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).filter(pa.array(keep, pa.bool_()))
+                if auto:
+                    words = alnum_words(text)
+                    n = len(words)
+                    hit, _ = auto.scan(np.fromiter((auto.vocab.get(w, -1) for w in words), dtype=np.int64, count=n))
+                else:
+                    n, hit = at[i][0] or 0, [(x["first"], x["last"]) for x in at[i][1] or ()]
+                keep.append(sum(b - a + 1 for a, b in hit) <= max_coverage * n)
+                texts.append(_cut(text, hit) if hit else text)
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).select(columns).filter(pa.array(keep, pa.bool_()))
 
     return cut
 
@@ -238,9 +258,12 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW
     """The documents with every hit span cut out of ``text``; a document goes where more than ``max_coverage`` of its words are
     hit. All columns stay; texts without a hit stay as they are, null included."""
     small_batches(docs.sparkSession)
-    for shard in _shards(items, "item_id", "text"):
-        docs = docs.mapInArrow(_cutter(docs.sparkSession.sparkContext.broadcast(shard), window, max_coverage), docs.schema)
-    return docs
+    shards, columns = _broadcasts(items, "item_id", "text"), docs.columns
+    if len(shards) == 1:
+        return docs.mapInArrow(_cutter(shards[0], window, max_coverage, columns), docs.schema)
+    rows = numbered(docs)
+    hits = staged(_merged(rows, shards, window, "doc_id", every=False).select("__row", F.col("n_words").alias("__n"), F.col("spans").alias("__spans")), "hits")
+    return rows.join(hits, "__row", "left").mapInArrow(_cutter(None, window, max_coverage, columns), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,27 @@ def test_hits_on_awkward_rows(spark, monkeypatch):
     assert read(decontaminate.contamination(frame(spark, own), items)) == brute_hits([r[:2] for r in own], items_of())
 
 
+def test_shards_merge_rows_that_share_an_id_one_by_one(spark, monkeypatch):
+    items = spark.createDataFrame(items_of(), "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 20)
+    got = sorted(((r.doc_id, r.n_words, sum(s["last"] - s["first"] + 1 for s in r.spans), tuple(r["items"])) for r in decontaminate.contamination(frame(spark), items).collect()), key=str)
+    assert got == brute_hits([r[:2] for r in awkward()], items_of())
+
+
+def test_shards_cut_what_one_shard_cuts(spark, monkeypatch):
+    """Coverage is judged once, overlapping passages go whole, and words that cutting joins are no hit."""
+    a, b, c = ([f"{k}{i}" for i in range(20)] for k in "abc")
+    texts = [(1, " ".join([*a[:12], *[f"own{i}" for i in range(16)], *b[:12]])), (2, " ".join([*[f"own{i}" for i in range(40)], *a[:15], *b[:12]])),
+             (3, " ".join([*[f"own{i}" for i in range(40)], *c[:5], *a[:12], *c[5:15]])), (3, " ".join([f"own{i}" for i in range(9)])), (4, None)]
+    items = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(a[10:15] + b[:12])), (3, " ".join(b)), (4, " ".join(c[:10]))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, n_words string")
+    read = lambda: sorted(map(tuple, decontaminate.remove_contamination(docs, items).collect()), key=str)
+    want = read()
+    assert [r[0] for r in want] == [2, 3, 3, 4] and want[0][1].split() == [f"own{i}" for i in range(40)]
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 10)
+    assert read() == want
+
+
 def test_spans_are_cut_and_copies_of_items_go(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
