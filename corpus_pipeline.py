@@ -4,7 +4,7 @@ Each stage is a function of (spark, docs, sf_dir); ``run`` writes its result as
 the next stage's input. All stages but the last return the columns of ``docs``, whatever they are.
 
 Defined results: rows with a null text or no letter are rejected by the first stage; an empty table passes through all stages
-and packs to nothing; rows that share an id are one document in near-duplicates.
+and packs to nothing; near-duplicates are told apart by row, so rows that share an id or have none are documents of their own.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing
-from creditloom.llm.common import held, read, sized, staged
+from creditloom.llm.common import held, numbered, read, sized, staged
 
 #: A text that needs more bits a character than this in its best language is in none of the languages (noise needs about 15).
 MOST_BITS = 10.0
@@ -35,10 +35,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one with the smallest id, of each group of near-duplicates."""
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    gone = staged(found.filter("not kept").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(sized(gone, gone.count()), docs["doc_id"] == gone["__gone"], "left_anti")
+    """Keep one row, the one with the smallest id (a null id is the largest), of each group of near-duplicates."""
+    rows = numbered(docs)
+    found = near_dedup.near_duplicates(rows.select("__row", "text"), id_col="__row").select(F.col("doc_id").alias("__row"), "component_id", "kept")
+    found = staged(found, "rows")
+    groups = staged(found.filter("not kept").select("component_id").distinct(), "groups")
+    members = found.join(sized(groups, groups.count()), "component_id", "left_semi").join(rows.select("__row", "doc_id"), "__row")
+    members = staged(members.select("__row", "component_id", F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("at")), "members")
+    first = members.groupBy("component_id").agg(F.min("at").alias("first"))
+    gone = staged(members.join(first, "component_id").filter(F.col("at") != F.col("first")).select("__row"), "gone")
+    return rows.join(sized(gone, gone.count()), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,17 @@ def test_each_stage_against_brute_force(spark, small):
     assert check(stages()["packing"](spark, docs, small).collect(), after.items()) > 0.9
 
 
+def test_one_row_of_each_group_of_near_duplicates_stays(spark):
+    """Rows without an id, repeated rows and different texts that share an id are judged row by row."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(80)) for k in "abcd")
+    rows = [(9, a), (5, f"{a} end"), (None, a), (None, f"{a} end"), (5, b), (3, c), (3, c), (7, f"{c} end"), (7, d), (None, "of its own kind"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string")
+    got = stages()["near_dedup"](spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(5, f"{a} end"), (5, b), (3, c), (7, d), (None, "of its own kind"), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_run_on_awkward_rows(spark, tmp_path):
     rows = awkward() + [(1000 + i, f"{prose(i + 50, 80)} alpha beta gamma delta epsilon zeta eta theta iota kappa", "en", None, None, None, None, None) for i in range(12)]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
