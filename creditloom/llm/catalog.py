@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, sentence_dedup, suffix_dedup, toxicity, url_filter
+from creditloom.llm import (
+    decontaminate, exact_dedup, language_id, line_dedup, merkle, near_dedup, packing, sentence_dedup, suffix_dedup, toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": url_filter.query,
     "op9_line_dedup": line_dedup.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
+    "op11_merkle_manifest": merkle.query,
 }
 SQL: dict[str, str] = {
     "op4_substring_dedup": sentence_dedup.SQL,
@@ -26,4 +28,5 @@ SQL: dict[str, str] = {
     "op6_minhash_near_dedup": near_dedup.SQL,
     "op7_decontamination": decontaminate.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
