@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side with at most so many rows of a few numbers (about 50 bytes each, 25 MB) may be broadcast; above it joins shuffle.
@@ -60,6 +60,24 @@ def lookup(left: DataFrame, right: DataFrame, rows: int, on: str, how: str = "le
     return left.join(sized(right, rows), on, how)
 
 
+def positions(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Add ``pos`` (from 0 inside each group) and ``n`` (rows of the group) by the order of the columns ``group``, ``order``.
+
+    Rows are range-partitioned and counted per group and partition; a row number is the last sort key, so that a group, an
+    id or equal rows of any number spread over the partitions. Nulls come first; a group column must not be null.
+    """
+    keys = [F.col(k).asc_nulls_first() for k in [*group, *order, "__tie"]]
+    dealt = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
+    dealt = dealt.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    dealt = staged(dealt, name)
+    runs = dealt.groupBy(*group, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))  # one row per partition and group
+    before = F.coalesce(F.sum("__rows").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = staged(runs.select(*group, "__part", (before - F.col("__first")).alias("__shift"), F.sum("__rows").over(whole).alias("n")), f"{name}_runs")
+    placed = dealt.join(sized(runs, runs.count()), [*group, "__part"])
+    return placed.withColumn("pos", F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 

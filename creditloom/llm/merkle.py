@@ -12,10 +12,10 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import read, sized, staged
+from creditloom.llm.common import positions, read, staged
 
 #: Children of a node, levels of a block, and the width of a digest in a level's string.
 ARITY, DEPTH, WIDTH = 3, 5, 64
@@ -34,25 +34,6 @@ def group_key(group: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))
 
 
-def positions(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Add ``pos`` (from 0 inside each group ``g``) and ``n`` (rows of the group) by the order of the columns ``g``, ``order``.
-
-    Rows are range-partitioned and counted per group and partition; a row number is the last sort key, so that a group, an
-    id or equal rows of any number spread over the partitions.
-    """
-    keys = ["g", *order, "__tie"]
-    dealt = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys])
-    dealt = dealt.sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys]).drop("__tie")
-    dealt = dealt.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    dealt = staged(dealt, name)
-    runs = dealt.groupBy("g", "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"))
-    group = Window.partitionBy("g")  # one row per partition and group
-    before = F.coalesce(F.sum("__rows").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = staged(runs.select("g", "__part", (before - F.col("__first")).alias("__shift"), F.sum("__rows").over(group).alias("n")), f"{name}_runs")
-    placed = dealt.join(sized(runs, runs.count()), ["g", "__part"])
-    return placed.withColumn("pos", F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
-
-
 def _powers(below: int) -> str:
     return "array(" + ", ".join(f"{ARITY ** j}L" for j in range(64) if ARITY ** j < below) + ")"
 
@@ -133,9 +114,9 @@ def manifest(leaves: DataFrame) -> DataFrame:
 
     ``node`` is the leaf's hash and ``g`` the group's key; leaves of a group ascend by doc_id, then by their hash.
     """
-    per_group = build(positions(leaves, ["doc_id", "node"], "leaves"), "blocks")
+    per_group = build(positions(leaves, ["g"], ["doc_id", "node"], "leaves"), "blocks")
     groups = roots(per_group).select(F.lit("").alias("g"), F.col("g").alias("name"), F.col("root").alias("node"))
-    top = build(positions(groups, ["name"], "groups"), "group_blocks")
+    top = build(positions(groups, ["g"], ["name"], "groups"), "group_blocks")
     above = roots(top).select("g", F.expr(f"cast(array() as {PATH})").alias("rest"), "root")
     above = staged(paths(top, above).select(F.col("name").alias("g"), F.col("path").alias("rest"), F.col("node").alias("subroot"), "root"), "above")
     return paths(per_group, above)

@@ -9,6 +9,11 @@ _ALNUM = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b +
 _WORD = re.compile(rb"[^ ]+")
 
 
+def folded(raw: bytes | None) -> bytes:
+    """Text with A-Z lower-cased and a blank for each byte that is in no word; words are what lies between the blanks."""
+    return raw.translate(_ALNUM) if raw else b""
+
+
 def alnum_words(text: str | None) -> list[bytes]:
     """Words of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased."""
     return text.encode("utf-8", "surrogatepass").translate(_ALNUM).split() if text else []
