@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from creditloom.llm import (
-    decontaminate, exact_dedup, language_id, line_dedup, merkle, near_dedup, packing, resample, sentence_dedup, suffix_dedup, toxicity, url_filter)
+    decontaminate, exact_dedup, language_id, line_dedup, merkle, near_dedup, packing, resample, sentence_dedup, suffix_dedup, token_files, toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": line_dedup.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_token_files": token_files.query,
     "op13_resampling": resample.query,
 }
 SQL: dict[str, str] = {

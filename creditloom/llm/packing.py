@@ -13,8 +13,6 @@ an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
-import os
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,100 +21,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import BROADCAST_ROWS, read, small_batches, staged, text_or_empty
+from creditloom.llm.tokens import loaded
 
 WINDOW, END = 1024, 0
 #: Pieces of one length are ranked in chunks of about so many rows of the whole table.
 CHUNK_ROWS, LEAST_CHUNKS = 100_000, 16
-#: Bounds of a worker's cache of word ids.
-CACHE_WORDS, CACHED_CHARS = 800_000, 64
-#: Words that are tokenised in one call.
-TOGETHER = 64
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
-class WordTokens:
-    """Ids of texts by a byte-level BPE tokenizer, with a bounded cache of words.
-
-    Its pattern starts a new token at any single blank or line feed between two characters that are not white space, so a
-    text may be cut there and the parts tokenised one by one: a distinct word is tokenised once while it stays in the cache.
-    The words of a batch that are not cached are tokenised many at a time; each starts at a token that starts with a blank.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocab = self.tokenizer.get_vocab()
-        self.blank = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.blank[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True  # how a byte-level vocabulary writes a leading blank
-        self.feed = self._encode(["\n"])[0]
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _blank_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a blank before it."""
-        out: list[bytes] = []
-        groups = [words[i:i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        for raw in self._encode(["".join([" " + w for w in g]) for g in groups]):
-            at = [4 * i for i in np.flatnonzero(self.blank[np.frombuffer(raw, dtype="<u4")]).tolist()]
-            out.extend([raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])])
-        if len(out) != len(words):
-            raise ValueError("the tokenizer does not start a token at each blank")
-        return out
-
-    def _learn(self, parts: set[str]) -> set[str]:
-        """Cache parts; returns those that cannot be cut out of their text: empty, long, or with white space at an edge."""
-        if len(self.words) > CACHE_WORDS // 2:
-            self.old, self.words = self.words, {}
-        new = parts - self.words.keys()
-        for w in new & self.old.keys():
-            self.words[w] = self.old[w]
-        new -= self.old.keys()
-        bare = {w: w[1:] if w[:1] == "\n" else w for w in new}
-        odd = {w for w, x in bare.items() if not x or len(x) > CACHED_CHARS or x[0].isspace() or x[-1].isspace() or "\n" in x}
-        after_blank = [w for w in new if w not in odd and w[0] != "\n"]
-        after_feed = [w for w in new if w not in odd and w[0] == "\n"]
-        self.words.update(zip(after_blank, self._blank_words(after_blank)))
-        self.words.update(zip(after_feed, [self.feed + x for x in self._encode([w[1:] for w in after_feed])]))
-        return odd
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, unsigned 32-bit."""
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        odd = self._learn(set().union(*[s[1:] for s in split]))
-        heads = self._encode([s[0] for s in split])
-        get = self.words
-        return [self._encode([t])[0] if s[0][-1:].isspace() or (odd and not odd.isdisjoint(s[1:])) else head + b"".join([get[w] for w in s[1:]])
-                for t, s, head in zip(texts, split, heads)]
-
-
-_LOADED: dict[str, WordTokens] = {}
-
-
 def _cut(tokenizer: str, window: int, end: int):
-    tail = np.array([end], dtype="<u4").tobytes()
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _LOADED:
-            _LOADED[tokenizer] = WordTokens(tokenizer)
+        tokens = loaded(tokenizer)
         for batch in batches:
-            ids, starts, lengths, totals, data = [], [], [], [], []
-            for doc, raw in zip(batch.column(0).to_pylist(), _LOADED[tokenizer].batch(batch.column(1).to_pylist())):
-                raw += tail
-                n = len(raw) // 4
-                for at in range(0, n, window):
-                    ids.append(doc)
-                    starts.append(at)
-                    lengths.append(min(window, n - at))
-                    totals.append(n)
-                    data.append(raw[4 * at:4 * (at + window)])
-            long = pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, long), pa.array(starts, long), pa.array(lengths, long), pa.array(totals, long), pa.array(data, pa.binary())],
+            ids, counts = tokens.batch(batch.column(1))
+            flat, totals = np.insert(ids, np.cumsum(counts), end).astype("<u4"), counts + 1
+            pieces = -(-totals // window)
+            row = np.repeat(np.arange(batch.num_rows), pieces)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+            total = totals[row]
+            first = (np.cumsum(totals) - totals)[row] + start
+            offsets = pa.py_buffer(np.append(4 * first, 4 * len(flat)).astype(np.int64))  # pieces lie one after another
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, offsets, pa.py_buffer(flat)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(start), pa.array(np.minimum(window, total - start)), pa.array(total), data],
                                              names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     return cut

@@ -6,11 +6,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from creditloom.llm import packing
+from creditloom.llm.tokens import TokenBatches
 from tests.llm.cases import awkward, frame
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,10 +26,13 @@ def tokenizer():
 
 def test_words_give_the_tokens_of_whole_texts():
     rnd = random.Random(3)
-    marks = ["a", "b", "word", " ", " ", "\n", "\t", ".", "'s", "é", "日", "1", " ", "\r", "!!", "  ", "\x1c", "\x85", "\u3000", "<|endoftext|>"]
+    marks = ["a", "b", "word", " ", " ", "\n", "\t", ".", "'s", "'", "x'y", "²", "ª", "×", "’", "–", "é", "日", "1", " ", "\r", "!!", "  ", "\x1c", "\x85", "\u3000", "<|endoftext|>"]
     texts = ["".join(rnd.choice(marks) for _ in range(rnd.randint(0, 25))) for _ in range(3000)] + [r[1] or "" for r in awkward()]
-    got = [np.frombuffer(x, dtype="<u4").tolist() for x in packing.WordTokens(PATH).batch(texts)]
-    assert got == [x.ids for x in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    want, tokens = [x.ids for x in tokenizer().encode_batch(texts, add_special_tokens=False)], TokenBatches(PATH)
+    for size in (1, 9, len(texts)):
+        for i in range(0, len(texts) if size > 1 else 200, size):
+            ids, counts = tokens.batch(pa.array(texts[i:i + size], pa.string()))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[i:i + size]
 
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
