@@ -1,9 +1,9 @@
 """Token ids as Arrow files of fixed-size lists: equal-length sequences and masks that can be read in place.
 
 Documents are range-partitioned by id; each partition writes one shard, ``NNNNN.sequences.arrow``: record batches of
-``ROWS`` rows, each row a list of ``LENGTH`` ids and a list of as many mask values (1 for an id, 0 for the padding of a shard's last
-sequence). Ids are as narrow as the vocabulary allows and nothing is compressed, so sequence ``i`` of a shard is a view into
-the mapped file. ``NNNNN.documents.arrow`` names the documents of the shard with their first id and number of ids, and the
+``ROWS`` rows, each row a list of ``LENGTH`` ids and a list of as many mask bits (1 for an id, 0 for the padding of a shard's last
+sequence). Ids are as narrow as the vocabulary allows and nothing is compressed, so sequence ``i`` of a shard and its mask bits
+are views into the mapped file. ``NNNNN.documents.arrow`` names the documents of the shard with their first id and number of ids, and the
 Parquet table ``shards`` holds a row per shard with the ids before it. Ids of a document run on over the ends of sequences.
 
 A file is written under a name of its task attempt and then renamed; a task that is run again writes the same bytes.
@@ -38,7 +38,7 @@ DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens
 def sequence_schema(vocabulary: int, length: int = LENGTH) -> pa.Schema:
     ids = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
     return pa.schema([pa.field("ids", pa.list_(pa.field("item", ids, nullable=False), length), nullable=False),
-                      pa.field("mask", pa.list_(pa.field("item", pa.uint8(), nullable=False), length), nullable=False)])
+                      pa.field("mask", pa.list_(pa.field("item", pa.bool_(), nullable=False), length), nullable=False)])
 
 
 class _Shard:
@@ -66,7 +66,7 @@ class _Shard:
             self.n_held = len(self.held[0])
 
     def _write(self, flat: np.ndarray, real: int) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((flat, (np.arange(len(flat)) < real).astype(np.uint8)), self.schema)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((flat, np.arange(len(flat)) < real), self.schema)]
         self.sequences.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.rows += len(flat) // self.length
 
@@ -120,7 +120,10 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, length: int = LENG
 
 
 class SequenceFile:
-    """Random access to the sequences of a shard; on a local file the arrays are views into the mapped file."""
+    """Random access to the sequences of a shard; on a local file the arrays are views into the mapped file.
+
+    The length of a sequence must be a multiple of eight, so that the mask of each starts with a byte.
+    """
 
     def __init__(self, files: fs.FileSystem, path: str) -> None:
         source = pa.memory_map(path) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(path)
@@ -129,24 +132,27 @@ class SequenceFile:
         self._at, self._batch = -1, None
 
     def block(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and masks of record batch ``k``, a row per sequence."""
+        """Ids of record batch ``k``, a row per sequence, and the bits of their masks, lowest first, eight to a byte."""
         if k != self._at:
             batch = self.reader.get_batch(k)
-            self._at, self._batch = k, tuple(batch.column(i).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length) for i in (0, 1))
+            ids = batch.column(0).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length)
+            bits = np.frombuffer(batch.column(1).flatten().buffers()[1], dtype=np.uint8, count=ids.size // 8).reshape(len(ids), -1)
+            self._at, self._batch = k, (ids, bits)
         return self._batch
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``."""
-        ids, mask = self.block(i // ROWS)
-        return ids[i % ROWS], mask[i % ROWS]
+        """Ids of sequence ``i`` and the bits of its mask; ``np.unpackbits(bits, bitorder="little")`` gives a value per id."""
+        ids, bits = self.block(i // ROWS)
+        return ids[i % ROWS], bits[i % ROWS]
 
     def pieces(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ``n`` ids from position ``start`` of the shard on, block by block."""
         size = ROWS * self.length
         while n > 0:
-            ids, mask = self.block(start // size)
+            ids, bits = self.block(start // size)
             flat = ids.reshape(-1)[start % size:start % size + n]
-            if not len(flat) or not mask.reshape(-1)[start % size + len(flat) - 1]:
+            last = start % size + len(flat) - 1
+            if not len(flat) or not bits.reshape(-1)[last // 8] >> (last % 8) & 1:
                 raise ValueError("a document reaches beyond the ids of its shard")
             yield flat
             start, n = start + len(flat), n - len(flat)
