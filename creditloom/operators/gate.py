@@ -53,7 +53,7 @@ NAMES = ("anita", "arjun", "deepa", "harish", "kavita", "lakshmi", "meena", "moh
 
 #: Characters kept on each side of what opened a window; longer tokens at its edge are kept whole.
 CONTEXT = 160
-INDIC = r"ऀ-෿"
+INDIC = r"\u0900-\u0963\u0966-\u0DFF"
 _PLAIN = (r"\x00-\x7F\u00A1-\u00A9\u00AB\u00AC\u00AE\u00B0\u00B6\u00B7\u00BB\u00BF-\u024F\u2010-\u2015\u2018-\u2026\u20AC\u20B9"
           r"\u3040-\u30FF\u4E00-\u9FFF\uAC00-\uD7A3")
 _LATIN = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
@@ -397,6 +397,13 @@ def findings(docs: DataFrame, key: list[str], names=ALL_DETECTORS, text: str = "
     return found.select(*key, F.expr("inline(array_distinct(transform(found, f -> named_struct('detector', f.detector, 'masked', f.masked, 'start', f.start, 'end', f.end))))"))
 
 
+def masked_findings(docs: DataFrame, key: list[str], names=ALL_DETECTORS, text: str = "text", lexicon: tuple[str, ...] = NAMES) -> DataFrame:
+    """(key, detector, masked), once a text however often the value is in it."""
+    found = scanned(docs.select(*key, text), names, text, lexicon)
+    return found.select(*key, F.expr("inline(array_distinct(transform(found, f -> named_struct('detector', f.detector, 'masked', f.masked))))"))
+
+
 def blocked(docs: DataFrame, key: list[str], text: str = "text", lexicon: tuple[str, ...] = NAMES) -> DataFrame:
     """Texts the gate refuses: those with at least one finding in any view."""
-    return scanned(docs.select(*key, text), ALL_DETECTORS, text, lexicon).filter("size(found) > 0").select(*key)
+    # a generator of at most one row, not a filter: a pushed filter would scan twice
+    return scanned(docs.select(*key, text), ALL_DETECTORS, text, lexicon).select(*key, F.expr("inline(slice(found, 1, 1))")).select(*key)

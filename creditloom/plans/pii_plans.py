@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from creditloom.operators import pii
+from creditloom.operators import gate, leaks, pii
 from creditloom.oracle.views import band, q, view
 from creditloom.plans import base
 from creditloom.plans.registry import query
@@ -45,9 +45,6 @@ def _nohex(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '{rx}', '\\1~\\2', 'g'), '{rx}', '\\1~\\2', 'g')"
 
 
-view("plain_v", "corpus", f"""SELECT doc_id, regexp_replace(regexp_replace(text, {q(_TOK)}, chr(57344), 'g'), {q(_UUID2)}, '\\1' || chr(57344) || '\\2', 'g') AS v FROM corpus""")
-view("view_v", "plain_v", f"SELECT doc_id, v, true AS is_plain FROM plain_v UNION ALL SELECT doc_id, {_join_twice('v')}, false FROM plain_v")
-view("nohex_v", "view_v", f"SELECT doc_id, {_nohex('v')} AS v, is_plain FROM view_v")
 _SQUASH = "regexp_replace(raw, '[ \\t\\n\\-./_]', '', 'g')"
 _MASK = (f"CASE WHEN length({_SQUASH}) <= 4 THEN left({_SQUASH}, 1) || repeat('*', length({_SQUASH}) - 1) ELSE left({_SQUASH}, 2) || repeat('*', length({_SQUASH}) - 4) || right({_SQUASH}, 2) END")
 _LUHN = ("list_sum(list_transform(range(length(raw)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(raw[length(raw) - i] AS BIGINT) WHEN CAST(raw[length(raw) - i] AS BIGINT) > 4"
@@ -61,181 +58,260 @@ def _extract(view_name: str, rx: str, where: str = "true", group: int = 1) -> st
 
 
 _SEPS = "[ .\\-_/]"
-DETECT_SQL = {
-    "pan": " UNION ALL ".join([
-        _extract("view_v", "(?:^|[^A-Za-z])([A-Za-z]{5}[0-9]{4}[A-Za-z])(?:$|[^A-Za-z])", "lower(left(raw, 5)) NOT IN ('march', 'april')"),
-        _extract("view_v", "[A-Za-z]([A-Za-z]{3}[PCHFATBLJGpchfatbljg][A-Za-z][0-9]{4}[A-Za-z])(?:$|[^A-Za-z])"),
-        _extract("view_v", f"{_L}((?:[A-Za-z]{{5}}|(?:[A-Za-z]{_SEPS}){{4}}[A-Za-z]){_SEPS}?(?:[0-9]{{4}}|(?:[0-9]{_SEPS}){{3}}[0-9]){_SEPS}?[A-Za-z]){_R}",
-                 f"lower(left({_SQUASH}, 5)) NOT IN ('march', 'april')")]),
-    "aadhaar": _extract("nohex_v", "[0-9]+", "regexp_full_match(raw, '[2-9][0-9]{11}')", 0),
-    "aadhaar_vid": _extract("nohex_v", "[0-9]+", "length(raw) = 16", 0),
-    "account_number": _extract("nohex_v", "[0-9]+", "length(raw) >= 9", 0),
-    "card_number": _extract("nohex_v", "[0-9]+", f"length(raw) BETWEEN 13 AND 19 AND {_LUHN}", 0),
-    "phone_in": "SELECT doc_id, CASE WHEN regexp_full_match(r0, '\\+91[1-9][0-9]{9}') THEN r0 ELSE ltrim(r0, '+') END AS raw FROM (SELECT doc_id, unnest(regexp_extract_all(v, '\\+?[0-9]+')) AS r0 FROM nohex_v)"
-                " WHERE regexp_full_match(r0, '\\+91[1-9][0-9]{9}') OR regexp_full_match(ltrim(r0, '+'), '(?:(?:0091|91|0)[1-9]|[6-9])[0-9]{9}')"
-                " UNION ALL " + _extract("plain_v", "(\\(\\s*0[0-9]{2,4}\\s*\\)[ \\-.]?[0-9](?:[ \\-.]?[0-9]){5,7})(?:$|[^0-9])"),
-    "ifsc": _extract("view_v", f"{_L}([A-Za-z]{{4}}[ \\-]?0[A-Za-z0-9]{{6}}){_R}", f"regexp_matches(substr({_SQUASH}, 6), '[0-9]')"),
-    "passport": _extract("view_v", f"{_L}([A-Za-z][0-9]{{7}}|[A-Z][ \\-][0-9]{{7}}){_R}"),
-    "voter_id": _extract("view_v", f"{_L}([A-Za-z]{{3}}[0-9]{{7}}|[A-Z]{{3}}[ \\-][0-9]{{7}}){_R}"),
-    "driving_licence": _extract("view_v", f"{_L}([A-Za-z]{{2}}[ \\-]?[0-9]{{2}}[ \\-]?[0-9]{{11}}){_R}"),
-    "pincode_ctx": _extract("view_v", f"(?i)(?:^|[^A-Za-z]){pii.PIN_LABEL}([1-9][0-9]{{2}} ?[0-9]{{3}})(?:$|[^0-9])"),
-    "email": " UNION ALL ".join([
-        _extract("plain_v", f"({_LOC}+\\s?@\\s?[A-Za-z0-9\\-]+(?:\\.[A-Za-z0-9\\-]+)*\\.[A-Za-z]{{2,}})"),
-        _extract("plain_v", f"(?i)(?:^|[^A-Za-z0-9._%+\\-])([A-Za-z0-9]{_LOC}*\\s*[\\[({{<]\\s*at\\s*[\\])}}>]\\s*[A-Za-z0-9\\-]+(?:\\s*(?:\\.|[\\[({{<]\\s*dot\\s*[\\])}}>])\\s*[A-Za-z0-9\\-]+)+)"),
-        _extract("plain_v", f"(?i)(?:^|[^A-Za-z0-9._%+\\-])([A-Za-z0-9]{_LOC}*\\s+at\\s+[A-Za-z0-9\\-]+(?:\\s+dot\\s+[A-Za-z0-9\\-]+)+){_R}")]),
-    "upi_id": _extract("plain_v", "(?:^|[^A-Za-z0-9._%+\\-@])([A-Za-z0-9][A-Za-z0-9._\\-]+@[A-Za-z]{2,})(?:$|[^A-Za-z0-9@.]|\\.(?:$|[^A-Za-z0-9]))"),
-}
-for _name, _body in DETECT_SQL.items():
-    _needs = " ".join(x for x in ("plain_v", "view_v", "nohex_v") if x in _body)
-    view(f"det_{_name}", _needs, f"SELECT DISTINCT doc_id, '{_name}' AS detector, {_MASK} AS masked FROM ({_body})")
-view("found", " ".join(f"det_{n}" for n in DETECT_SQL), " UNION ALL ".join(f"SELECT * FROM det_{n}" for n in DETECT_SQL))
+_PLACES = "|".join(gate.PLACES)
+_NOT_NAMES = "|".join([*gate.NO_NAMES, *[h[:1].upper() + h[1:] for h in gate.HONORIFICS]])
+_LEXICON = "[" + ", ".join(q(w[:1].upper() + w[1:]) for w in gate.NAMES) + "]"
+_INDIC = "\u0900-\u0963\u0966-\u0dff"
+_NAME = "[A-Z][A-Za-z'’\\-]*(?: [A-Z][A-Za-z'’\\-]*)*"
+
+
+def _detect_sql(p: str) -> dict[str, str]:
+    """SQL of each detector over the views ``plain_v``, ``view_v`` and ``nohex_v`` with the prefix ``p``: (doc_id, raw)."""
+    plain, both, nohex = f"{p}plain_v", f"{p}view_v", f"{p}nohex_v"
+    pin = f"{pii.PIN_LABEL}"
+    return {
+        "pan": " UNION ALL ".join([
+            _extract(both, "(?:^|[^A-Za-z])([A-Za-z]{5}[0-9]{4}[A-Za-z])(?:$|[^A-Za-z])", "lower(left(raw, 5)) NOT IN ('march', 'april')"),
+            _extract(both, "[A-Za-z]([A-Za-z]{3}[PCHFATBLJGpchfatbljg][A-Za-z][0-9]{4}[A-Za-z])(?:$|[^A-Za-z])"),
+            _extract(both, f"{_L}((?:[A-Za-z]{{5}}|(?:[A-Za-z]{_SEPS}){{4}}[A-Za-z]){_SEPS}?(?:[0-9]{{4}}|(?:[0-9]{_SEPS}){{3}}[0-9]){_SEPS}?[A-Za-z]){_R}",
+                     f"lower(left({_SQUASH}, 5)) NOT IN ('march', 'april')")]),
+        "aadhaar": _extract(nohex, "[0-9]+", "regexp_full_match(raw, '[2-9][0-9]{11}')", 0),
+        "aadhaar_vid": _extract(nohex, "[0-9]+", "length(raw) = 16", 0),
+        "account_number": _extract(nohex, "[0-9]+", "length(raw) >= 9", 0),
+        "card_number": _extract(nohex, "[0-9]+", f"length(raw) BETWEEN 13 AND 19 AND {_LUHN}", 0),
+        "phone_in": f"SELECT doc_id, CASE WHEN regexp_full_match(r0, '\\+91[1-9][0-9]{{9}}') THEN r0 ELSE ltrim(r0, '+') END AS raw FROM (SELECT doc_id, unnest(regexp_extract_all(v, '\\+?[0-9]+')) AS r0 FROM {nohex})"
+                    " WHERE regexp_full_match(r0, '\\+91[1-9][0-9]{9}') OR regexp_full_match(ltrim(r0, '+'), '(?:(?:0091|91|0)[1-9]|[6-9])[0-9]{9}')"
+                    " UNION ALL " + _extract(plain, "(\\(\\s*0[0-9]{2,4}\\s*\\)[ \\-.]?[0-9](?:[ \\-.]?[0-9]){5,7})(?:$|[^0-9])"),
+        "ifsc": _extract(both, f"{_L}([A-Za-z]{{4}}[ \\-]?0[A-Za-z0-9]{{6}}){_R}", f"regexp_matches(substr({_SQUASH}, 6), '[0-9]')"),
+        "passport": _extract(both, f"{_L}([A-Za-z][0-9]{{7}}|[A-Z][ \\-][0-9]{{7}}){_R}"),
+        "voter_id": _extract(both, f"{_L}([A-Za-z]{{3}}[0-9]{{7}}|[A-Z]{{3}}[ \\-][0-9]{{7}}){_R}"),
+        "driving_licence": _extract(both, f"{_L}([A-Za-z]{{2}}[ \\-]?[0-9]{{2}}[ \\-]?[0-9]{{11}}){_R}"),
+        "pincode_ctx": " UNION ALL ".join(_extract(both, f"{before}([1-9][0-9]{{2}} ?[0-9]{{3}})(?:$|[^0-9])") for before in (
+            f"(?i)(?:^|[^A-Za-z]){pin}", f"(?i)(?:^|[^A-Za-z])(?:{_PLACES})[ \\t]*[,\\-–]?[ \\t]*", ",[ \\t]*[A-Z][A-Za-z]+(?:[ \\t][A-Z][A-Za-z]+){0,2}[ \\t]*[\\-–][ \\t]*")),
+        "email": " UNION ALL ".join([
+            _extract(plain, f"({_LOC}+\\s?@\\s?[A-Za-z0-9\\-]+(?:\\.[A-Za-z0-9\\-]+)*\\.[A-Za-z]{{2,}})"),
+            _extract(plain, f"(?i)(?:^|[^A-Za-z0-9._%+\\-])([A-Za-z0-9]{_LOC}*\\s*[\\[({{<]\\s*at\\s*[\\])}}>]\\s*[A-Za-z0-9\\-]+(?:\\s*(?:\\.|[\\[({{<]\\s*dot\\s*[\\])}}>])\\s*[A-Za-z0-9\\-]+)+)"),
+            _extract(plain, f"(?i)(?:^|[^A-Za-z0-9._%+\\-])([A-Za-z0-9]{_LOC}*\\s+at\\s+[A-Za-z0-9\\-]+(?:\\s+dot\\s+[A-Za-z0-9\\-]+)+){_R}")]),
+        "upi_id": _extract(plain, "(?:^|[^A-Za-z0-9._%+\\-@])([A-Za-z0-9][A-Za-z0-9._\\-]+@[A-Za-z]{2,})(?:$|[^A-Za-z0-9@.]|\\.(?:$|[^A-Za-z0-9]))"),
+        "person_name": " UNION ALL ".join([
+            _extract(plain, f"(?:^|[^A-Za-z0-9_'’])(?i:{'|'.join(gate.HONORIFICS)})\\.? +({_NAME})"),
+            _extract(plain, f"(?:^|[^A-Za-z0-9_'’])(?i:(?:applicant|borrower|customer) (?:full )?name) *[:=] *({_NAME})"),
+            _extract(plain, f"नाम *: *([{_INDIC}]+(?: [{_INDIC}]+)*)"),
+            f"SELECT doc_id, raw FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(v, '\\b(?:{_NOT_NAMES})\\b', '|', 'g'), '(?:^|[^A-Za-z0-9_''’\\-])({_NAME.replace(chr(39), chr(39) * 2)})', 1)) AS raw FROM {plain})"
+            f" WHERE list_has_any(string_split(raw, ' '), {_LEXICON})",
+            f"SELECT doc_id, raw FROM (SELECT doc_id, unnest(regexp_extract_all(v, '[{_INDIC}]+')) AS raw FROM {plain}) WHERE list_contains({_LEXICON}, raw)"]),
+    }
+
+
+def _oracle_scan(corpus_view: str, p: str = "") -> None:
+    """Views with the prefix ``p`` over a view (doc_id, text): det_<detector> and found (doc_id, detector, masked)."""
+    view(f"{p}plain_v", corpus_view, f"""SELECT doc_id, regexp_replace(regexp_replace(text, {q(_TOK)}, chr(57344), 'g'), {q(_UUID2)}, '\\1' || chr(57344) || '\\2', 'g') AS v FROM {corpus_view}""")
+    view(f"{p}view_v", f"{p}plain_v", f"SELECT doc_id, v, true AS is_plain FROM {p}plain_v UNION ALL SELECT doc_id, {_join_twice('v')}, false FROM {p}plain_v")
+    view(f"{p}nohex_v", f"{p}view_v", f"SELECT doc_id, {_nohex('v')} AS v, is_plain FROM {p}view_v")
+    bodies = _detect_sql(p)
+    for name, body in bodies.items():
+        needs = " ".join(f"{p}{x}" for x in ("plain_v", "view_v", "nohex_v") if f"FROM {p}{x}" in body)
+        masked = "left(raw, 1) || '***'" if name == "person_name" else _MASK
+        view(f"{p}det_{name}", needs, f"SELECT DISTINCT doc_id, '{name}' AS detector, {masked} AS masked FROM ({body})")
+    view(f"{p}found", " ".join(f"{p}det_{n}" for n in bodies), " UNION ALL ".join(f"SELECT * FROM {p}det_{n}" for n in bodies))
 
 
 def _detect(query_name: str, names: tuple[str, ...]) -> None:
     @query(query_name, " UNION ALL ".join(f"SELECT doc_id, detector, masked FROM det_{n}" for n in names), " ".join(f"det_{n}" for n in names))
     def run(spark, folder, _n=names):
-        return pii.findings(corpus(spark, folder), ["doc_id"], _n)
+        return gate.masked_findings(corpus(spark, folder), ["doc_id"], _n)
 
 
+_oracle_scan("corpus")
 for _q, _n in {"pii_detect_pan": ("pan",), "pii_detect_aadhaar": ("aadhaar",), "pii_detect_vid": ("aadhaar_vid",), "pii_detect_account": ("account_number",),
                "pii_detect_card": ("card_number",), "pii_detect_phone": ("phone_in",), "pii_detect_email": ("email",), "pii_detect_upi": ("upi_id",),
                "pii_detect_ifsc": ("ifsc",), "pii_detect_passport": ("passport",), "pii_detect_voter_id": ("voter_id",),
-               "pii_detect_driving_licence": ("driving_licence",), "pii_detect_pincode": ("pincode_ctx",), "pii_detector_union": pii.ALL_DETECTORS}.items():
+               "pii_detect_driving_licence": ("driving_licence",), "pii_detect_pincode": ("pincode_ctx",)}.items():
     _detect(_q, _n)
 
 
-# disguised forms of a value and what it reads as, by document number
-_DISGUISES = [("Aadhaar \uff12\uff13\uff14\uff15 \uff16\uff17\uff18\uff19 0123.", "Aadhaar 2345 6789 0123."), ("Phone \u096f\u096e\u096d\u096c\u096b \u096a\u0969\u0968\u0967\u0966.", "Phone 98765 43210."),
-              ("call nine eight seven six five four three two one zero.", "call 9876543210."), ("PAN \u0410\u0412\u0421\u0420\u0415 1234F.", "PAN ABCPE 1234F."),
-              ("Mail a&#64;b.com.", "Mail a@b.com."), ("Account 98765\u200b43210.", "Account 9876543210.")]
-
-
-def disguised(spark, folder):
-    at = lambda i: "CASE CAST(doc_id % 6 AS INT) " + " ".join(f"WHEN {n} THEN {q(x[i])}" for n, x in enumerate(_DISGUISES)) + " END"
-    return table(spark, folder, "documents").select("doc_id", F.expr(f"concat(text, '\n', {at(0)})").alias("text"), F.expr(at(1)).alias("plain"))
-
-
-@query("pii_normalize", f"""SELECT doc_id, {q([x[1] for x in _DISGUISES])}[1 + doc_id % 6] AS plain, true AS reads_plain FROM documents""")
-def pii_normalize(spark, folder):
-    """A disguised value at the end of each text reads as its plain form after normalising the whole text."""
-    done = pii.normalize(disguised(spark, folder))
-    return done.select("doc_id", "plain", F.endswith("text", F.concat(F.lit("\n"), "plain")).alias("reads_plain"))
-
-
-@query("pii_compact_digits", f"SELECT doc_id, sha256({_join_twice('text')}) AS text_hash FROM corpus", "corpus")
-def pii_compact_digits(spark, folder):
-    return corpus(spark, folder).select("doc_id", F.sha2(pii.compact_digits(c("text")), 256).alias("text_hash"))
-
-
-@query("pii_mask", f"SELECT c_custkey, {_MASK.replace('raw', 'c_name')} AS masked, left(c_name, 1) || '***' AS masked_name FROM customer")
-def pii_mask(spark, folder):
-    return table(spark, folder, "customer").select("c_custkey", F.expr(f"{pii.mask_sql('c_name')} AS masked"), F.expr(f"{pii.mask_name_sql('c_name')} AS masked_name"))
-
+# ---- one gate: values of every kind, plain and disguised, planted by document number. Spark reads the disguised texts, the
+# ---- SQL that checks it the plain ones: (category, text before, value as written, plain value, text after), all SQL expressions
+_N4, _N5 = "printf('%04d', doc_id % 10000)", "printf('%05d', doc_id % 100000)"
+_LETTERS = "translate({}, '0123456789', '{}')"
+_GATE = [
+    ("pan", "' PAN '", f"concat('ABCPE', {_N4}, 'F')", None, "'.'"),
+    ("aadhaar", "' Aadhaar '", f"concat('2345 6789 ', {_N4})", None, "'.'"),
+    ("ifsc", "' IFSC '", "concat('SBIN0', printf('%06d', doc_id % 1000000))", None, "'.'"),
+    ("email", "' Write to '", "concat('a.b', doc_id, ' [at] mail [dot] example [dot] com')", None, "'.'"),
+    ("card_number", "' Card '", "'4111 1111 1111 1111'", None, "'.'"),
+    ("driving_licence", "' DL '", "concat('MH12 20110', printf('%06d', doc_id % 1000000))", None, "'.'"),
+    ("clean", "' Nothing to '", "'see'", None, "'.'"),
+    ("pincode_ctx", "' 12 MG Road, Mysuru - '", "concat('560', printf('%03d', doc_id % 1000))", None, "'.'"),
+    ("person_name", "' We met Mr '", "'Ramesh Sharma'", None, "' today.'"),
+    ("person_name", "' नाम: '", "'राजेश शर्मा'", None, "'।'"),
+    ("aadhaar", "' Aadhaar '", _LETTERS.format(f"concat('2345 6789 ', {_N4})", "०१२३४५६७८९"), f"concat('2345 6789 ', {_N4})", "'.'"),
+    ("phone_in", "' Phone '", _LETTERS.format(f"concat('98765 ', {_N5})", "０１２３４５６７８９"), f"concat('98765 ', {_N5})", "'.'"),
+    ("phone_in", "' call '", "'nine eight seven six double five four three two one'", "'9876554321'", "'.'"),
+    ("pan", "' PAN '", f"concat('АВСРЕ', {_N4}, 'F')", f"concat('ABCPE', {_N4}, 'F')", "'.'"),
+    ("email", "' Mail '", "concat('u', doc_id, '&#64;mail.com')", "concat('u', doc_id, '@mail.com')", "'.'"),
+    ("pan", "' PAN '", f"concat('%41%42%43PE', {_N4}, 'F')", f"concat('ABCPE', {_N4}, 'F')", "'.'"),
+    ("phone_in", "' Phone '", f"concat('9876O4', {_N4})", f"concat('987604', {_N4})", "'.'"),
+    ("account_number", "' Account '", f"concat('12345\u200b', {_N5})", f"concat('12345', {_N5})", "'.'"),
+    ("email", "' blob '", "base64(encode(concat('mail me: box', doc_id, '@example.com')))", "concat('mail me: box', doc_id, '@example.com')", "' end.'"),
+    ("clean", "' one or two of seven, oh no; band '", "'50L-1Cr'", None, "' or [PAN_1].'"),
+]
+
+
+def _pick(at: int) -> str:
+    """A CASE over the document number for one column of the table above."""
+    rows = [x[at] if x[at] is not None else x[2] for x in _GATE]
+    return f"CASE CAST(doc_id % {len(_GATE)} AS INT) " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(rows)) + " END"
+
+
+def _spark_sql(x: str) -> str:
+    return x.replace("encode(concat('mail me: box', doc_id, '@example.com'))", "CAST(concat('mail me: box', doc_id, '@example.com') AS BINARY)")
+
+
+def gate_corpus(spark, folder):
+    planted = f"concat({_pick(1)}, {_spark_sql(_pick(2))}, {_pick(4)})"
+    return table(spark, folder, "documents").select("doc_id", F.expr(f"concat(text, '\n', {planted})").alias("text"), F.expr("length(text)").alias("n"))
+
+
+_CATEGORY = "CASE CAST(doc_id % {} AS INT) ".format(len(_GATE)) + " ".join(f"WHEN {i} THEN '{x[0]}'" for i, x in enumerate(_GATE)) + " END"
+view("gcorpus", "", f"SELECT doc_id, text || chr(10) || concat({_pick(1)}, {_pick(3)}, {_pick(4)}) AS text FROM documents")
+_oracle_scan("gcorpus", "g")
+
+
+@query("pii_detector_union", "SELECT doc_id, detector, masked FROM gfound", "gfound")
+def pii_detector_union(spark, folder):
+    """All fourteen detectors in all readings of each text; disguised values are found as their plain forms."""
+    return gate.masked_findings(gate_corpus(spark, folder), ["doc_id"])
+
+
+@query("pii_gate_spans", f"""SELECT DISTINCT doc_id, n + 1 + length({_pick(1)}) AS lo, n + 1 + length({_pick(1)}) + length({_pick(2)}) AS hi
+FROM (SELECT doc_id, length(text) AS n FROM documents) WHERE {_CATEGORY} NOT IN ('clean')""")
+def pii_gate_spans(spark, folder):
+    """Where the planted value lies in the text as written, whatever reading it was found in: the widest span of its detector."""
+    docs = gate_corpus(spark, folder)
+    found = gate.scanned(docs).withColumn("category", F.expr(_CATEGORY))
+    # a generator of at most one row, not a filter, which would be pushed below the scan
+    span = "named_struct('lo', CAST(array_min(f.start) AS BIGINT), 'hi', CAST(array_max(f.end) AS BIGINT))"
+    return found.select("doc_id", F.expr("filter(found, f -> f.detector = category AND f.start > n)").alias("f")).select(
+        "doc_id", F.expr(f"inline(CASE WHEN size(f) > 0 THEN array({span}) END)"))
+
+
+@query("pii_gate_block", "SELECT DISTINCT doc_id FROM gfound", "gfound")
+def pii_gate_block(spark, folder):
+    return gate.blocked(gate_corpus(spark, folder), ["doc_id"])
 
-_VOCAB = ["salaried_personal", "self_employed", "msme_business", "secured_home", "low", "moderate", "high", "clear", "disputed", "pending_mutation", "positive", "adverse",
-          "pending", "corporate", "free", "disposable", "salary_slip", "itr", "gst_and_bank", "informal_declared", "NTC"]
 
+# four documents are a file; each file has an inventory of its own and its documents hold values of it, of another file, or none
+_FILE = "CAST(floor(doc_id / 4) AS BIGINT)"
+_LATIN_NAMES = [w[:1].upper() + w[1:] for w in gate.NAMES if w.isascii()]
+_FIRST = f"element_at(array({', '.join(q(x) for x in _LATIN_NAMES)}), CAST(1 + f % {len(_LATIN_NAMES)} AS INT))"
+_LAST = f"element_at(array({', '.join(q(x) for x in _LATIN_NAMES)}), CAST(1 + (f * 7 + 5) % {len(_LATIN_NAMES)} AS INT))"
+_INVENTORY = {"pan": "concat('ABCPE', printf('%04d', f % 10000), 'F')", "phone": "concat('+91 98765 ', printf('%05d', f % 100000))", "account": "concat('5012345', printf('%05d', f % 100000))",
+              "email": "concat('u', f, '@mail.com')", "person_name": f"concat({_FIRST}, ' ', {_LAST})"}
+_LEAK_PLANTS = [  # as written, and as it reads where that differs
+    ("concat(' pan abcpe ', printf('%04d', f % 10000), ' f.')", None), ("concat(' call 0 98765-', printf('%05d', f % 100000), '.')", None),
+    ("concat(' a/c ', " + _LETTERS.format("concat('5012345', printf('%05d', f % 100000))", "०१२३४५६७८९") + ", '.')", "concat(' a/c 5012345', printf('%05d', f % 100000), '.')"),
+    (f"concat(' met ', {_FIRST}, ' there.')", None), ("concat(' PAN ABCPE', printf('%04d', (f + 1) % 10000), 'F.')", None),
+    (f"concat(' by ', upper({_FIRST}), '  ', upper({_LAST}), '.')", None), (f"concat(' to ', {_FIRST}, 'pur.')", None), ("concat(' MAIL U', f, '@MAIL.COM.')", None)]
 
-@query("pii_allowlist", f"""SELECT s, count(*) AS n FROM (SELECT c_mktsegment AS s FROM customer UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT title_status FROM book WHERE is_home
-UNION ALL SELECT foir_band FROM state UNION ALL SELECT '[PAN_' || CAST(k % 9 AS VARCHAR) || ']' FROM book) WHERE s NOT IN ({', '.join(q(x) for x in _VOCAB)})
-AND NOT (length(s) <= 12 AND regexp_matches(s, {q(pii.BAND_TEXT)})) AND NOT regexp_full_match(s, {q(_TOK)}) GROUP BY s""", "book state")
-def pii_allowlist(spark, folder):
-    st = base.state(spark, folder)
-    strings = table(spark, folder, "customer").select(c("c_mktsegment").alias("s")).unionByName(
-        table(spark, folder, "orders").select(c("o_orderpriority").alias("s"))).unionByName(
-        st.select(F.explode(F.array_compact(F.array("title_status", "foir_band", F.expr("concat('[PAN_', CAST(k % 9 AS STRING), ']')")))).alias("s")))
-    # distinct strings first: a repeated vocabulary word is tested once
-    counted = strings.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    vocab = inline(spark, [(x,) for x in _VOCAB], "s string")
-    left = counted.join(vocab, "s", "left_anti")
-    return left.filter(~((F.length("s") <= 12) & c("s").rlike(pii.BAND_TEXT)) & ~c("s").rlike(f"^(?:{pii.TOKEN})$"))
 
+def _duck(x: str) -> str:
+    return x.replace("element_at(array(", "list_extract(list_value(")
 
-@query("pii_decoded_layers", f"SELECT doc_id, 'email' AS detector, {_MASK} AS masked FROM (SELECT doc_id, 'box' || doc_id || '@example.com' AS raw FROM documents)")
-def pii_decoded_layers(spark, folder):
-    docs = corpus(spark, folder).select("doc_id", F.concat("text", F.lit(" "), F.base64(F.expr("CAST(concat('mail me: box', CAST(doc_id AS STRING), '@example.com') AS BINARY)"))).alias("text"))
-    return pii.findings(pii.decoded_layers(docs, ["doc_id"]), ["doc_id"]).distinct()
 
+def leak_texts(spark, folder):
+    plants = "CASE CAST(doc_id % 8 AS INT) " + " ".join(f"WHEN {i} THEN {x[0]}" for i, x in enumerate(_LEAK_PLANTS)) + " END"
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.expr(_FILE).alias("f"))
+    return docs.select("doc_id", c("f").alias("file_id"), F.expr(f"concat(text, '\n', {plants})").alias("text"))
 
-@query("pii_key_context", """SELECT c_custkey, key, CASE WHEN key = 'applicant_name' THEN 'name' ELSE 'pin' END AS context FROM (SELECT c_custkey, unnest(['applicant_name', 'Pin-Code', 'product_name_code', 'note']) AS key FROM customer)
-WHERE key IN ('applicant_name', 'Pin-Code')""")
-def pii_key_context(spark, folder):
-    entries = table(spark, folder, "customer").select("c_custkey", F.explode(F.expr(
-        "map('applicant_name', c_name, 'Pin-Code', '560034', 'product_name_code', 'x', 'note', c_mktsegment)")).alias("key", "value"))
-    return entries.withColumn("context", F.expr(pii.key_context_sql("key"))).filter("context IS NOT NULL").select("c_custkey", "key", "context")
 
+def inventory(spark, folder):
+    """(file_id, kind, value, item): what is known of each file's applicant."""
+    files = table(spark, folder, "documents").select(F.expr(_FILE).alias("f")).distinct()
+    return files.select(c("f").alias("file_id"), F.expr("stack(" + str(len(_INVENTORY)) + ", " + ", ".join(f"'{k}', {v}" for k, v in _INVENTORY.items()) + ") AS (kind, value)"), F.lit("").alias("item"))
 
-@query("pii_json_walk", f"""SELECT event_id, path, detector, {_MASK} AS masked FROM (
- SELECT event_id, '$.who.mail' AS path, 'email' AS detector, 'u' || user_id || '@example.com' AS raw FROM events
- UNION ALL SELECT event_id, '$.who.ids[1]', unnest(['phone_in', 'account_number']), CAST(event_id + 9876543210 AS VARCHAR) FROM events)""")
-def pii_json_walk(spark, folder):
-    e = table(spark, folder, "events").select("event_id", F.expr(
-        "concat('{\"meta\":', props, ',\"who\":{\"mail\":\"u', CAST(user_id AS STRING), '@example.com\",\"ids\":[\"', event_type, '\",', CAST(event_id + 9876543210 AS STRING), ']}}')").alias("payload"))
-    return pii.json_findings(e, ["event_id"], "payload")
 
+_LEAK_PLAIN = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {x[1] or x[0]}" for i, x in enumerate(_LEAK_PLANTS)) + " END"
+view("ltexts", "", f"SELECT doc_id, f AS file_id, text || chr(10) || {_duck(_LEAK_PLAIN)} AS text FROM (SELECT doc_id, text, {_FILE} AS f FROM documents)")
+_oracle_scan("ltexts", "l")
+_ONE_BLANK = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
+view("lforms", "ltexts", f"SELECT doc_id, file_id, base, {_join_twice('base')} AS joined, replace({_join_twice('base')}, ' ', '') AS digits FROM (SELECT doc_id, file_id, {_ONE_BLANK} AS base FROM ltexts)")
+view("linventory", "", "SELECT f AS file_id, unnest([" + ", ".join(f"{{'kind': '{k}', 'value': {_duck(v)}}}" for k, v in _INVENTORY.items()) + f"], recursive := true) FROM (SELECT DISTINCT {_FILE} AS f FROM documents)")
+_NEEDLE = ("CASE WHEN kind = 'phone' THEN right(regexp_replace(value, '[^0-9]', '', 'g'), 10) WHEN kind IN ('pan', 'account') THEN lower(replace(value, ' ', '')) ELSE lower(value) END")
+view("lneedles", "linventory", f"SELECT file_id, kind, {_NEEDLE} AS raw FROM linventory UNION ALL SELECT file_id, 'person_name_part', unnest(string_split(lower(value), ' ')) FROM linventory WHERE kind = 'person_name'")
+view("own_leaks", "lforms lneedles", f"""SELECT DISTINCT doc_id, kind, CASE WHEN kind LIKE 'person%' THEN left(raw, 1) || '***' ELSE {_MASK} END AS masked FROM lforms JOIN lneedles USING (file_id)
+WHERE CASE WHEN kind = 'person_name_part' THEN regexp_matches(base, '(^|[^\pL\pN_])' || raw || '($|[^\pL\pN_])') WHEN kind IN ('pan', 'phone', 'account') THEN contains(digits, raw) ELSE contains(joined, raw) END""")
 
-@query("pii_gate_block", "SELECT DISTINCT doc_id FROM found", "found")
-def pii_gate_block(spark, folder):
-    return pii.blocked(corpus(spark, folder), "doc_id")
 
-
-def inventory(spark, folder):
-    return table(spark, folder, "benchmark").select("item_id", c("text").alias("value"))
+@query("pii_leak_scan", "SELECT doc_id, kind, masked FROM own_leaks", "own_leaks")
+def pii_leak_scan(spark, folder):
+    """Values of a file's own inventory in the texts of that file, however they are written."""
+    return leaks.leak_scan(leak_texts(spark, folder), inventory(spark, folder), "doc_id").select("doc_id", "kind", "masked")
 
 
 def _fold(x: str) -> str:
     return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
 
-view("leaks", "", f"""SELECT d.doc_id, b.item_id, left(needle, 1) || '***' AS masked FROM (SELECT doc_id, ' ' || {_fold('text')} || ' ' AS folded FROM documents) d
+view("passages", "", f"""SELECT d.doc_id, b.item_id FROM (SELECT doc_id, ' ' || {_fold('text')} || ' ' AS folded FROM documents) d
 JOIN (SELECT item_id, {_fold('text')} AS needle FROM benchmark) b ON contains(folded, ' ' || needle || ' ') WHERE needle <> ''""")
 
 
-@query("pii_leak_scan", "SELECT doc_id, item_id, masked FROM leaks", "leaks")
-def pii_leak_scan(spark, folder):
-    return pii.leak_scan(table(spark, folder, "documents").select("doc_id", "text"), inventory(spark, folder), "doc_id")
-
-
-@query("pii_outbound_inventory", """SELECT l.doc_id, l.item_id FROM leaks l JOIN documents d ON d.doc_id = l.doc_id WHERE sha256(trim(d.text)) NOT IN (SELECT sha256(trim(text)) FROM benchmark)
-AND sha256(trim(d.text)) NOT IN (SELECT sha256(trim(text)) FROM documents GROUP BY 1 HAVING count(*) > 1)""", "leaks")
+@query("pii_outbound_inventory", """SELECT l.doc_id, l.item_id FROM passages l JOIN documents d ON d.doc_id = l.doc_id WHERE sha256(trim(d.text)) NOT IN (SELECT sha256(trim(text)) FROM benchmark)
+AND sha256(trim(d.text)) NOT IN (SELECT sha256(trim(text)) FROM documents GROUP BY 1 HAVING count(*) > 1)""", "passages")
 def pii_outbound_inventory(spark, folder):
-    """Static texts (catalogue entries and boilerplate sent more than once) carry no applicant data; the rest is searched."""
+    """Static texts (catalogue entries and boilerplate sent more than once) carry no applicant data; the rest is searched for whole passages."""
     docs = table(spark, folder, "documents").select("doc_id", "text", F.sha2(F.trim("text"), 256).alias("h"))
     boilerplate = docs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    static = table(spark, folder, "benchmark").select(F.sha2(F.trim("text"), 256).alias("h")).unionByName(boilerplate)
-    outbound = docs.join(static, "h", "left_anti").select("doc_id", "text")
-    return pii.leak_scan(outbound, inventory(spark, folder), "doc_id").select("doc_id", "item_id")
+    known = table(spark, folder, "benchmark")
+    static = known.select(F.sha2(F.trim("text"), 256).alias("h")).unionByName(boilerplate)
+    outbound = docs.join(static, "h", "left_anti").select("doc_id", "text", F.lit(0).alias("file_id"))
+    passages = known.select(F.lit(0).alias("file_id"), F.lit(leaks.PASSAGE).alias("kind"), c("text").alias("value"), c("item_id").cast("string").alias("item"))
+    return leaks.leak_scan(outbound, passages, "doc_id").select("doc_id", c("item").cast("bigint").alias("item_id")).distinct()
 
 
-@query("leak_scan_summary", """SELECT item_id, count(*) AS hits, array_to_string(list(CAST(doc_id AS VARCHAR) ORDER BY doc_id)[:20], ',') AS examples FROM leaks GROUP BY item_id""", "leaks")
+@query("leak_scan_summary", """SELECT part, name, count(*) AS hits, array_to_string(list(CAST(doc_id AS VARCHAR) ORDER BY doc_id)[:20], ',') AS examples
+FROM (SELECT 'inventory' AS part, kind AS name, doc_id FROM own_leaks UNION ALL SELECT 'gate', detector, doc_id FROM lfound) GROUP BY part, name""", "own_leaks lfound")
 def leak_scan_summary(spark, folder):
+    """Hits by kind of the inventory and by detector of the gate, with the first twenty documents of each."""
     from pyspark.sql import Window
 
-    hits = pii_leak_scan(spark, folder)
-    counts = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"))
+    texts = leak_texts(spark, folder)
+    own = leaks.leak_scan(texts, inventory(spark, folder), "doc_id").select(F.lit("inventory").alias("part"), c("kind").alias("name"), "doc_id")
+    seen = gate.masked_findings(texts, ["doc_id"]).select(F.lit("gate").alias("part"), c("detector").alias("name"), "doc_id")
+    hits = own.unionByName(seen)
+    counts = hits.groupBy("part", "name").agg(F.count(F.lit(1)).alias("hits"))
     # row_number under a limit becomes a per-task top-n before the shuffle
-    top = hits.withColumn("rn", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))).filter("rn <= 20")
-    shown = top.groupBy("item_id").agg(F.expr("array_join(transform(array_sort(collect_list(doc_id)), d -> CAST(d AS STRING)), ',')").alias("examples"))
-    return counts.join(shown, "item_id")
+    top = hits.withColumn("rn", F.row_number().over(Window.partitionBy("part", "name").orderBy("doc_id"))).filter("rn <= 20")
+    shown = top.groupBy("part", "name").agg(F.expr("array_join(transform(array_sort(collect_list(doc_id)), d -> CAST(d AS STRING)), ',')").alias("examples"))
+    return counts.join(shown, ["part", "name"])
 
 
-@query("pii_catch_rate", f"""SELECT category, count(*) AS total, count(*) FILTER (WHERE hit) AS caught FROM (SELECT c.doc_id, {q(_CATEGORIES)}[1 + c.doc_id % 12] AS category,
-CASE WHEN c.doc_id % 12 = 11 THEN count(f.detector) > 0 ELSE coalesce(bool_or(f.detector = {q(_CATEGORIES)}[1 + c.doc_id % 12]), false) END AS hit FROM corpus c LEFT JOIN found f ON f.doc_id = c.doc_id GROUP BY c.doc_id) GROUP BY category""", "corpus found")
+_HIT = f"CASE WHEN {_CATEGORY} = 'clean' THEN count(f.detector) > 0 ELSE coalesce(bool_or(f.detector = {_CATEGORY}), false) END"
+
+
+@query("pii_catch_rate", f"""SELECT category, form, count(*) AS total, count(*) FILTER (WHERE hit) AS caught FROM (SELECT c.doc_id, any_value({_CATEGORY.replace('doc_id', 'c.doc_id')}) AS category,
+any_value(CASE WHEN c.doc_id % {len(_GATE)} BETWEEN 10 AND 18 THEN 'disguised' ELSE 'plain' END) AS form, {_HIT.replace('doc_id', 'c.doc_id')} AS hit
+FROM gcorpus c LEFT JOIN gfound f ON f.doc_id = c.doc_id GROUP BY c.doc_id) GROUP BY category, form""", "gcorpus gfound")
 def pii_catch_rate(spark, folder):
-    """Fixtures caught per category by the expected detector; for clean texts any finding counts (false positives)."""
-    docs = corpus(spark, folder)
-    v = pii.views(docs)
-    cat = F.get(F.array(*[F.lit(x) for x in _CATEGORIES]), (c("doc_id") % 12).cast("int"))
-    got = v.select(cat.alias("category"), F.expr(f"transform({pii.detector_sql(pii.ALL_DETECTORS)}, f -> f.detector)").alias("detectors"))
-    hit = F.when(c("category") == "clean", F.size("detectors") > 0).otherwise(F.array_contains("detectors", c("category")))
-    return got.groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("caught"))
+    """Fixtures caught per category and form by the expected detector; for clean texts any finding counts (false positives)."""
+    found = gate.scanned(gate_corpus(spark, folder))
+    form = f"CASE WHEN doc_id % {len(_GATE)} BETWEEN 10 AND 18 THEN 'disguised' ELSE 'plain' END"
+    got = found.select(F.expr(_CATEGORY).alias("category"), F.expr(form).alias("form"), F.expr("transform(found, f -> f.detector)").alias("detectors"))
+    hit = F.when(c("category") == "clean", F.size("detectors") > 0).otherwise(F.expr("array_contains(detectors, category)"))
+    return got.groupBy("category", "form").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("caught"))
+
+
+view("notes", "", "SELECT conv_id || '/' || turn AS doc_id, text || CASE turn % 3 WHEN 1 THEN ' write u1@example.com' WHEN 2 THEN ' call 98765 43210 for Mr Ramesh Sharma' ELSE '' END AS text FROM conversations")
+_oracle_scan("notes", "n")
 
 
-@query("review_notes_pii", "SELECT conv_id, CAST(turn AS BIGINT) AS turn FROM (SELECT conv_id, turn, text || CASE WHEN turn % 3 = 1 THEN ' write u1@example.com' ELSE '' END AS text FROM conversations) WHERE regexp_matches(text, '[A-Za-z0-9._%+\\-]+\\s?@\\s?[A-Za-z0-9\\-]+(?:\\.[A-Za-z0-9\\-]+)*\\.[A-Za-z]{2,}')")
+@query("review_notes_pii", "SELECT split_part(doc_id, '/', 1)::BIGINT AS conv_id, split_part(doc_id, '/', 2)::BIGINT AS turn, detector, masked FROM nfound", "nfound")
 def review_notes_pii(spark, folder):
-    notes = table(spark, folder, "conversations").select("conv_id", c("turn").cast("int").alias("turn"),
-        F.expr("concat(text, CASE WHEN turn % 3 = 1 THEN ' write u1@example.com' ELSE '' END)").alias("text"))
-    return pii.findings(notes, ["conv_id", "turn"], ("email",)).select("conv_id", c("turn")).distinct()
+    """What any detector finds in the free text of a reviewer's note."""
+    notes = table(spark, folder, "conversations").select("conv_id", c("turn").cast("int").alias("turn"), F.expr(
+        "concat(text, CASE turn % 3 WHEN 1 THEN ' write u1@example.com' WHEN 2 THEN ' call 98765 43210 for Mr Ramesh Sharma' ELSE '' END)").alias("text"))
+    return gate.masked_findings(notes, ["conv_id", "turn"])
 
 
 _LEX = ["anita", "arjun", "deepa", "harish", "kavita", "lakshmi", "meena", "mohan", "priya", "rahul", "ramesh", "sanjay", "sharma", "sunita", "suresh", "vijay", "verma", "gupta"]
