@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,20 @@ def positions(rows: DataFrame, group: list[str], order: list[str], name: str) ->
     return placed.withColumn("pos", F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
 
 
+_MODEL: dict[tuple, object] = {}
+
+
+def model(key: tuple, build):
+    """The Python worker's model of ``key``. A worker holds one at a time: Spark reuses workers, and a stage needs no model of
+    the stages before it."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _MODEL[key] = build()
+    return _MODEL[key]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 

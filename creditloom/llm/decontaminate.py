@@ -16,14 +16,13 @@ stored with the texts, and texts are judged and cut once, by the merged spans. S
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import numbered, read, small_batches, staged
+from creditloom.llm.common import model, numbered, read, small_batches, staged
 from creditloom.llm.words import alnum_offsets, alnum_words
 
 WINDOW = 10
@@ -145,9 +144,8 @@ class Automaton:
                     spans.append((i - k + 1, i))
 
 
-@lru_cache(maxsize=2)
 def _automaton(items: tuple[tuple[str | None, str], ...], window: int) -> Automaton:
-    return Automaton(list(items), window)
+    return model(("automaton", items, window), lambda: Automaton(list(items), window))
 
 
 def _shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple]:

@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.llm.common import held, read, sized, small_batches
+from creditloom.llm.common import held, model, read, sized, small_batches
 
 #: Characters of labelled text in a language's automaton, and documents per language that are looked at for them.
 TRAIN_CHARS, TRAIN_DOCS = 40_000, 200
@@ -136,9 +135,8 @@ class Parser:
         return out
 
 
-@lru_cache(maxsize=2)
 def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(samples)
+    return model(("parser", samples), lambda: Parser(samples))
 
 
 def training_samples(labelled: DataFrame, chars: int = TRAIN_CHARS, docs: int = TRAIN_DOCS) -> tuple[tuple[str, str], ...]:

@@ -15,6 +15,8 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
+from creditloom.llm.common import model
+
 #: Bounds of a worker's cache, about 60 MB: distinct runs in two generations, and the longest cached run in bytes.
 CACHE_RUNS, CACHED_BYTES = 300_000, 64
 #: Runs that are tokenised in one call.
@@ -63,7 +65,7 @@ def run_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     before = np.append(False, solid[:-1]) & ~is_text
     unsure = np.flatnonzero(kind == _UNSURE)
     if len(unsure):
-        word = np.cumsum(solid & ~before)
+        word = np.cumsum(solid & ~before, dtype=np.int32)
         bad = np.zeros(int(word[-1]) + 1, dtype=bool)
         bad[word[unsure]] = True
         kind[solid & bad[word]] = _UNSURE
@@ -131,19 +133,16 @@ class TokenBatches:
         for i in lacks:
             found[i] = new[distinct[i]]
         self.runs.update((r, x) for r, x in zip(distinct, found) if len(r) <= CACHED_BYTES)
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(found), dtype="<u4")
+        # a batch is less than 2 GB, so that places and numbers of ids fit 32 bits
+        size = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4
+        first, flat = np.cumsum(size, dtype=np.int32) - size, np.frombuffer(b"".join(found), dtype="<u4")
         sizes = size[unit]
-        ends = np.append(0, np.cumsum(sizes))
-        ids = flat[np.repeat(first[unit] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return ids, np.diff(ends[np.searchsorted(starts, edges)])
-
-
-_LOADED: dict[str, TokenBatches] = {}
+        ends = np.append(np.int32(0), np.cumsum(sizes, dtype=np.int32))
+        at = np.repeat(first[unit] - ends[:-1], sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return flat[at], np.diff(ends[np.searchsorted(starts, edges)]).astype(np.int64)
 
 
 def loaded(path: str) -> TokenBatches:
     """The worker's tokenizer of a file."""
-    if path not in _LOADED:
-        _LOADED[path] = TokenBatches(path)
-    return _LOADED[path]
+    return model(("tokenizer", path), lambda: TokenBatches(path))
