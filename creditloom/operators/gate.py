@@ -73,8 +73,9 @@ def _by_first(words: list[str]) -> str:
 #: read twice, and cut at some hundred words, since Java matches a repeated group by recursion.
 _QUIET_WORD = rf"(?!(?i:{_by_first(_TRIGGERS)})(?![A-Za-z]))[{_LATIN}]++"
 _QUIET_MARK = rf"[^{_LATIN}0-9@%&\[({{<\x80-\uFFFF]++|[\[({{<](?!\s{{0,9}}(?i:at)\s{{0,9}}[\])}}>])|[{_PLAIN}&&[^\x00-\x7F]&&[^{_LATIN}]]"
+_OPENS = rf"[0-9@%&]|(?=[^\x00-\x7F])[^{_PLAIN}]|[\[({{<]\s{{0,9}}(?i:at)\s{{0,9}}[\])}}>]|(?<![A-Za-z])(?i:{_by_first(_TRIGGERS)})(?![A-Za-z])"
 _QUIET = rf"()((?:{_QUIET_WORD}|{_QUIET_MARK}){{1,600}}+)"
-_DISGUISED = rf"[^{_PLAIN}]|%[0-9A-Fa-f]{{2}}|&[#A-Za-z]|[0-9][OolI][0-9]|(?<![A-Za-z])(?i:{'|'.join(DIGIT_WORDS)})(?![a-z])"
+DISGUISED = rf"[^{_PLAIN}]|%[0-9A-Fa-f]{{2}}|&[#A-Za-z]|[0-9][OolI][0-9]|(?<![A-Za-z])(?i:{'|'.join(DIGIT_WORDS)})(?![a-z])"
 
 
 def _sql(pattern: str) -> str:
@@ -194,7 +195,7 @@ def _windows(docs: DataFrame, text: str) -> DataFrame:
     after = f"element_at(transform(array(coalesce(get(__parts, i + 1), '')), g -> {head}), 1)"
     one = f"element_at(transform(array({before}), b -> named_struct('at', CAST(acc.pos - length(b) AS INT), 's', concat(b, x, {after}))), 1)"
     step = (f"named_struct('pos', CAST(acc.pos + length(x) AS INT), 'i', acc.i + 1, "
-            f"'out', CASE WHEN acc.i % 2 = 1 OR x = '' THEN acc.out ELSE element_at(transform(array(acc.i), i -> array_append(acc.out, {one})), 1) END)")
+            f"'out', CASE WHEN acc.i % 2 = 1 OR NOT rlike(x, {_sql(_OPENS)}) THEN acc.out ELSE element_at(transform(array(acc.i), i -> array_append(acc.out, {one})), 1) END)")
     zero = "named_struct('pos', 0, 'i', 0, 'out', CAST(array() AS array<struct<at:int,s:string>>))"
     fold = f"aggregate(__parts, {zero}, (acc, x) -> {step}, acc -> acc.out)"
     return out.withColumn("windows", F.expr(f"CASE WHEN {text} <> '' THEN {fold} END")).drop("__parts")
@@ -203,7 +204,7 @@ def _windows(docs: DataFrame, text: str) -> DataFrame:
 _TOKENS = rf"()(\[(?:(?:{'|'.join(TOKEN_NAMES)})(?:_[A-Z0-9]{{1,3}})?|[<>]?[0-9]{{1,3}}(?:k|L|Cr)?(?:-[0-9]{{1,3}}(?:k|L|Cr)?)?\+?)\])"
 _UUIDS = r"()((?<![0-9A-Fa-f])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f]))"
 #: One separator between two digits, but for the point after a lone leading zero.
-_JOINT = r"(?<=[0-9])(?:[ \t\n\-/_]|(?<!(?<![0-9.])0)\.)(?=[0-9])"
+JOINT = r"(?<=[0-9])(?:[ \t\n\-/_]|(?<!(?<![0-9.])0)\.)(?=[0-9])"
 _LONG_TOKEN = r"()((?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2})"
 
 
@@ -227,7 +228,7 @@ def _views(docs: DataFrame, text: str) -> DataFrame:
     """
     normalize = F.pandas_udf(_normalize_windows, "array<struct<s:string,ms:array<int>,me:array<int>>>")
     out = _windows(docs, text)
-    todo = F.expr(f"CASE WHEN exists(windows, w -> rlike(w.s, {_sql(_DISGUISED)})) THEN transform(windows, w -> CASE WHEN rlike(w.s, {_sql(_DISGUISED)}) THEN w.s END) END")
+    todo = F.expr(f"CASE WHEN exists(windows, w -> rlike(w.s, {_sql(DISGUISED)})) THEN transform(windows, w -> CASE WHEN rlike(w.s, {_sql(DISGUISED)}) THEN w.s END) END")
     out = out.withColumn("__read", normalize(todo))
     kind = "CAST(NULL AS array<int>)"
     plain = f"transform(windows, w -> named_struct('s', w.s, 'at', w.at, 'ms', {kind}, 'me', {kind}, 'joins', {kind}, 'whole', CAST(NULL AS INT)))"
@@ -252,7 +253,7 @@ def _views(docs: DataFrame, text: str) -> DataFrame:
     ready = blank("v.s", _UUIDS, f"rlike(v.s, {_sql(_UUIDS)})")
     every = every.withColumn("__all", F.expr(f"transform(__all, v -> named_struct('s', {ready}, 'at', v.at, 'ms', v.ms, 'me', v.me, 'joins', v.joins, 'whole', v.whole))"))
     ends = "aggregate(slice(parts, 1, size(parts) - 1), named_struct('n', 0, 'e', CAST(array() AS array<int>)), (a, x) -> named_struct('n', CAST(a.n + length(x) AS INT), 'e', array_append(a.e, CAST(a.n + length(x) AS INT))), a -> a.e)"
-    joined = (f"transform(filter(__all, v -> rlike(v.s, {_sql(_JOINT)})), v -> element_at(transform(array(split(v.s, {_sql(_JOINT)}, -1)), parts -> "
+    joined = (f"transform(filter(__all, v -> rlike(v.s, {_sql(JOINT)})), v -> element_at(transform(array(split(v.s, {_sql(JOINT)}, -1)), parts -> "
               f"named_struct('s', array_join(parts, ''), 'at', v.at, 'ms', v.ms, 'me', v.me, 'joins', {ends}, 'whole', v.whole)), 1))")
     every = every.withColumn("__joined", F.expr(joined))
     run = "coalesce(array_max(transform(regexp_extract_all(v.s, '([0-9]+)', 1), x -> length(x))), 0)"
@@ -335,8 +336,8 @@ def _hits(pattern: str, body: str, keep: str = "true") -> str:
 
 
 #: A long token of hexadecimal digits is a digest or an id; runs of digits inside it are no numbers.
-_IN_HEX = ("element_at(transform(array(concat(regexp_extract(left(v.s, m.p), '([A-Za-z0-9]*)$', 1), '+', ltrim('+', m.x), '+', "
-           "regexp_extract(substring(v.s, m.p + length(m.x) + 1), '^([A-Za-z0-9]*)', 1))), t -> length(t) >= 26 AND rlike(t, '^[0-9a-fA-F+]+$')), 1)")
+_IN_HEX = ("element_at(transform(array(concat(regexp_extract(left(v.s, m.p), '((?<![A-Za-z0-9])[A-Za-z0-9]*+)$', 1), '+', ltrim('+', m.x), '+', "
+           "regexp_extract(substring(v.s, m.p + length(m.x) + 1), '^([A-Za-z0-9]*+)', 1))), t -> length(t) >= 26 AND rlike(t, '^[0-9a-fA-F+]+$')), 1)")
 
 
 def _numbers(names) -> str:

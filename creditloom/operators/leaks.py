@@ -28,7 +28,7 @@ LEAST, LEAST_PART, CHUNK = 4, 3, 1000
 #: An inventory with at most so many rows (about 100 bytes each) is broadcast.
 BROADCAST_VALUES = 100_000
 
-_DISGUISED, _JOINT, _WORD = re.compile(gate._DISGUISED), re.compile(gate._JOINT), re.compile(r"\w+")
+_DISGUISED, _JOINT, _WORD = re.compile(gate.DISGUISED), re.compile(gate.JOINT), re.compile(r"\w+")
 
 
 def folded(text: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from creditloom.operators import gate, leaks, pii
+from creditloom.operators import gate, leaks, pii, redaction
 from creditloom.oracle.views import band, q, view
 from creditloom.plans import base
 from creditloom.plans.registry import query
@@ -58,6 +58,7 @@ def _extract(view_name: str, rx: str, where: str = "true", group: int = 1) -> st
 
 
 _SEPS = "[ .\\-_/]"
+_PIN_LABEL = "(?:(?:pin|postal|post|zip)[\\s\\-]?code|pin|zip)[ \\t]*(?:no\\.?|number|#)?[ \\t]*[:=\\-]?[ \\t]*"
 _PLACES = "|".join(gate.PLACES)
 _NOT_NAMES = "|".join([*gate.NO_NAMES, *[h[:1].upper() + h[1:] for h in gate.HONORIFICS]])
 _LEXICON = "[" + ", ".join(q(w[:1].upper() + w[1:]) for w in gate.NAMES) + "]"
@@ -68,7 +69,6 @@ _NAME = "[A-Z][A-Za-z'’\\-]*(?: [A-Z][A-Za-z'’\\-]*)*"
 def _detect_sql(p: str) -> dict[str, str]:
     """SQL of each detector over the views ``plain_v``, ``view_v`` and ``nohex_v`` with the prefix ``p``: (doc_id, raw)."""
     plain, both, nohex = f"{p}plain_v", f"{p}view_v", f"{p}nohex_v"
-    pin = f"{pii.PIN_LABEL}"
     return {
         "pan": " UNION ALL ".join([
             _extract(both, "(?:^|[^A-Za-z])([A-Za-z]{5}[0-9]{4}[A-Za-z])(?:$|[^A-Za-z])", "lower(left(raw, 5)) NOT IN ('march', 'april')"),
@@ -87,7 +87,7 @@ def _detect_sql(p: str) -> dict[str, str]:
         "voter_id": _extract(both, f"{_L}([A-Za-z]{{3}}[0-9]{{7}}|[A-Z]{{3}}[ \\-][0-9]{{7}}){_R}"),
         "driving_licence": _extract(both, f"{_L}([A-Za-z]{{2}}[ \\-]?[0-9]{{2}}[ \\-]?[0-9]{{11}}){_R}"),
         "pincode_ctx": " UNION ALL ".join(_extract(both, f"{before}([1-9][0-9]{{2}} ?[0-9]{{3}})(?:$|[^0-9])") for before in (
-            f"(?i)(?:^|[^A-Za-z]){pin}", f"(?i)(?:^|[^A-Za-z])(?:{_PLACES})[ \\t]*[,\\-–]?[ \\t]*", ",[ \\t]*[A-Z][A-Za-z]+(?:[ \\t][A-Z][A-Za-z]+){0,2}[ \\t]*[\\-–][ \\t]*")),
+            f"(?i)(?:^|[^A-Za-z]){_PIN_LABEL}", f"(?i)(?:^|[^A-Za-z])(?:{_PLACES})[ \\t]*[,\\-–]?[ \\t]*", ",[ \\t]*[A-Z][A-Za-z]+(?:[ \\t][A-Z][A-Za-z]+){0,2}[ \\t]*[\\-–][ \\t]*")),
         "email": " UNION ALL ".join([
             _extract(plain, f"({_LOC}+\\s?@\\s?[A-Za-z0-9\\-]+(?:\\.[A-Za-z0-9\\-]+)*\\.[A-Za-z]{{2,}})"),
             _extract(plain, f"(?i)(?:^|[^A-Za-z0-9._%+\\-])([A-Za-z0-9]{_LOC}*\\s*[\\[({{<]\\s*at\\s*[\\])}}>]\\s*[A-Za-z0-9\\-]+(?:\\s*(?:\\.|[\\[({{<]\\s*dot\\s*[\\])}}>])\\s*[A-Za-z0-9\\-]+)+)"),
@@ -196,6 +196,83 @@ def pii_gate_spans(spark, folder):
         "doc_id", F.expr(f"inline(CASE WHEN size(f) > 0 THEN array({span}) END)"))
 
 
+# disguised forms of a value and what it reads as, by document number
+_DISGUISES = [("Aadhaar \uff12\uff13\uff14\uff15 \uff16\uff17\uff18\uff19 0123.", "Aadhaar 2345 6789 0123."), ("Phone \u096f\u096e\u096d\u096c\u096b \u096a\u0969\u0968\u0967\u0966.", "Phone 98765 43210."),
+              ("call nine eight seven six five four three two one zero.", "call 9876543210."), ("PAN \u0410\u0412\u0421\u0420\u0415 1234F.", "PAN ABCPE 1234F."),
+              ("Mail a&#64;b.com.", "Mail a@b.com."), ("Account 98765\u200b43210.", "Account 9876543210.")]
+
+
+def disguised(spark, folder):
+    at = lambda i: "CASE CAST(doc_id % 6 AS INT) " + " ".join(f"WHEN {n} THEN {q(x[i])}" for n, x in enumerate(_DISGUISES)) + " END"
+    return table(spark, folder, "documents").select("doc_id", F.expr(f"concat(text, '\n', {at(0)})").alias("text"), F.expr(at(1)).alias("plain"))
+
+
+@query("pii_normalize", f"SELECT doc_id, sha256(text || chr(10) || {q([x[1] for x in _DISGUISES])}[1 + doc_id % 6]) AS text_hash FROM documents")
+def pii_normalize(spark, folder):
+    """Whole texts with a disguised value at their end read as the texts with its plain form."""
+    return pii.normalize(disguised(spark, folder)).select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("pii_compact_digits", f"SELECT doc_id, sha256({_join_twice('text')}) AS text_hash FROM corpus", "corpus")
+def pii_compact_digits(spark, folder):
+    return corpus(spark, folder).select("doc_id", F.sha2(pii.compact_digits(c("text")), 256).alias("text_hash"))
+
+
+@query("pii_mask", f"SELECT c_custkey, {_MASK.replace('raw', 'c_name')} AS masked, left(c_name, 1) || '***' AS masked_name FROM customer")
+def pii_mask(spark, folder):
+    return table(spark, folder, "customer").select("c_custkey", F.expr(f"{pii.mask_sql('c_name')} AS masked"), F.expr(f"{pii.mask_name_sql('c_name')} AS masked_name"))
+
+
+_VOCAB = ["salaried_personal", "self_employed", "msme_business", "secured_home", "low", "moderate", "high", "clear", "disputed", "pending_mutation", "positive", "adverse",
+          "pending", "corporate", "free", "disposable", "salary_slip", "itr", "gst_and_bank", "informal_declared", "NTC"]
+
+
+@query("pii_allowlist", f"""SELECT s, count(*) AS n FROM (SELECT c_mktsegment AS s FROM customer UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT title_status FROM book WHERE is_home
+UNION ALL SELECT foir_band FROM state UNION ALL SELECT '[PAN_' || CAST(k % 9 AS VARCHAR) || ']' FROM book) WHERE s NOT IN ({', '.join(q(x) for x in _VOCAB)})
+AND NOT (length(s) <= 12 AND regexp_matches(s, {q(pii.BAND_TEXT)})) AND NOT regexp_full_match(s, {q(_TOK)}) GROUP BY s""", "book state")
+def pii_allowlist(spark, folder):
+    st = base.state(spark, folder)
+    strings = table(spark, folder, "customer").select(c("c_mktsegment").alias("s")).unionByName(
+        table(spark, folder, "orders").select(c("o_orderpriority").alias("s"))).unionByName(
+        st.select(F.explode(F.array_compact(F.array("title_status", "foir_band", F.expr("concat('[PAN_', CAST(k % 9 AS STRING), ']')")))).alias("s")))
+    # distinct strings first: a repeated vocabulary word is tested once
+    counted = strings.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    vocab = inline(spark, [(x,) for x in _VOCAB], "s string")
+    left = counted.join(vocab, "s", "left_anti")
+    return left.filter(~((F.length("s") <= 12) & c("s").rlike(pii.BAND_TEXT)) & ~c("s").rlike(f"^(?:{pii.TOKEN})$"))
+
+
+@query("pii_decoded_layers", f"SELECT doc_id, 'email' AS detector, {_MASK} AS masked FROM (SELECT doc_id, 'box' || doc_id || '@example.com' AS raw FROM documents)")
+def pii_decoded_layers(spark, folder):
+    """What the gate finds inside a base64 token at the end of each text, by its place."""
+    token = "base64(CAST(concat('mail me: box', CAST(doc_id AS STRING), '@example.com') AS BINARY))"
+    docs = corpus(spark, folder).select("doc_id", F.length("text").alias("n"), F.expr(f"concat(text, ' ', {token})").alias("text"))
+    inside = "filter(found, f -> f.start = n + 1 AND f.end = length(text))"
+    return gate.scanned(docs).select("doc_id", F.expr(f"inline(array_distinct(transform({inside}, f -> named_struct('detector', f.detector, 'masked', f.masked))))"))
+
+
+@query("pii_key_context", """SELECT c_custkey, path, detector, masked FROM (SELECT c_custkey, unnest([
+ {'path': '$.applicant_name', 'detector': 'person_name', 'masked': left(c_name, 1) || '***'}, {'path': '$.Pin-Code', 'detector': 'pincode_ctx', 'masked': '56**' || printf('%02d', c_custkey % 100)}], recursive := true)
+FROM (SELECT c_custkey, 'zoravar' AS c_name FROM customer))""")
+def pii_key_context(spark, folder):
+    """Bare values that only the key they stand under makes a name or a PIN code, as text or number; like values under other keys are left."""
+    payload = "concat('{\"applicant_name\":\"zoravar\",\"Pin-Code\":5600', printf('%02d', c_custkey % 100), ',\"note\":\"zoravar\",\"count\":5600', printf('%02d', c_custkey % 100), ',\"applicant\":\"[APPLICANT]\"}')"
+    return pii.json_findings(table(spark, folder, "customer").select("c_custkey", F.expr(payload).alias("payload")), ["c_custkey"], "payload")
+
+
+@query("pii_json_walk", f"""SELECT event_id, path, detector, {_MASK} AS masked FROM (
+ SELECT event_id, '$.who.mail' AS path, 'email' AS detector, 'u' || user_id || '@example.com' AS raw FROM events
+ UNION ALL SELECT event_id, '$.who.ids[1]', unnest(['phone_in', 'account_number']), CAST(event_id + 9876543210 AS VARCHAR) FROM events
+ UNION ALL SELECT event_id, '$.by.<key>', 'pan', 'ABCPE' || printf('%04d', event_id % 10000) || 'F' FROM events
+ UNION ALL SELECT event_id, '$.raw.pan', 'pan', 'ZZZPE' || printf('%04d', event_id % 10000) || 'G' FROM events)""")
+def pii_json_walk(spark, folder):
+    """Identifiers as values, inside lists, as keys and inside JSON that is held in a string."""
+    e = table(spark, folder, "events").select("event_id", F.expr(
+        "concat('{\"meta\":', props, ',\"who\":{\"mail\":\"u', CAST(user_id AS STRING), '@example.com\",\"ids\":[\"', event_type, '\",', CAST(event_id + 9876543210 AS STRING), ']},"
+        "\"by\":{\"ABCPE', printf('%04d', event_id % 10000), 'F\":1},\"raw\":\"{\\\\\"pan\\\\\":\\\\\"ZZZPE', printf('%04d', event_id % 10000), 'G\\\\\"}\"}')").alias("payload"))
+    return pii.json_findings(e, ["event_id"], "payload")
+
+
 @query("pii_gate_block", "SELECT DISTINCT doc_id FROM gfound", "gfound")
 def pii_gate_block(spark, folder):
     return gate.blocked(gate_corpus(spark, folder), ["doc_id"])
@@ -240,7 +317,7 @@ view("linventory", "", "SELECT f AS file_id, unnest([" + ", ".join(f"{{'kind': '
 _NEEDLE = ("CASE WHEN kind = 'phone' THEN right(regexp_replace(value, '[^0-9]', '', 'g'), 10) WHEN kind IN ('pan', 'account') THEN lower(replace(value, ' ', '')) ELSE lower(value) END")
 view("lneedles", "linventory", f"SELECT file_id, kind, {_NEEDLE} AS raw FROM linventory UNION ALL SELECT file_id, 'person_name_part', unnest(string_split(lower(value), ' ')) FROM linventory WHERE kind = 'person_name'")
 view("own_leaks", "lforms lneedles", f"""SELECT DISTINCT doc_id, kind, CASE WHEN kind LIKE 'person%' THEN left(raw, 1) || '***' ELSE {_MASK} END AS masked FROM lforms JOIN lneedles USING (file_id)
-WHERE CASE WHEN kind = 'person_name_part' THEN regexp_matches(base, '(^|[^\pL\pN_])' || raw || '($|[^\pL\pN_])') WHEN kind IN ('pan', 'phone', 'account') THEN contains(digits, raw) ELSE contains(joined, raw) END""")
+WHERE CASE WHEN kind = 'person_name_part' THEN regexp_matches(base, '(^|[^\\pL\\pN_])' || raw || '($|[^\\pL\\pN_])') WHEN kind IN ('pan', 'phone', 'account') THEN contains(digits, raw) ELSE contains(joined, raw) END""")
 
 
 @query("pii_leak_scan", "SELECT doc_id, kind, masked FROM own_leaks", "own_leaks")
@@ -335,29 +412,67 @@ def pii_detect_name(spark, folder):
 # ------------------------------------------------------------------------------------------------ redaction
 
 
-_PLANTED_KIND = ["PAN", "UID", "IFSC", "ID", "ID", "ID", "PIN", "EMAIL", "PHONE", "ACCT", "EMAIL"]
-
-
-@query("redact_tokens", f"""SELECT doc_id, {q(_PLANTED_KIND)}[1 + doc_id % 12] AS kind, true AS found FROM corpus WHERE doc_id % 12 < 11""", "corpus")
-def redact_tokens(spark, folder):
-    """Whether the planted value of each document has a token of its kind, whatever separators it is written with."""
-    docs = corpus(spark, folder)
-    plain = F.expr("CASE CAST(doc_id % 12 AS INT) " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_PLANTS)) + " END")
-    squashed = lambda x: F.regexp_replace(x, r"[ \t\n\-./_]", "")
-    kind = F.get(F.array(*[F.lit(x) for x in _PLANTED_KIND]), (c("doc_id") % 12).cast("int"))
-    found = F.max((c("kind") == kind) & F.contains(squashed(plain), c("raw")))
-    return pii.tokens(docs, "doc_id").filter("doc_id % 12 < 11").groupBy("doc_id").agg(F.max(kind).alias("kind"), found.alias("found"))
+_KIND_OF = "CASE category " + " ".join(f"WHEN '{d}' THEN '{k}'" for d, k in redaction.KINDS.items()) + " END"
+view("ddocs", "", "SELECT doc_id, text FROM documents")
+_oracle_scan("ddocs", "d")
 
 
-@query("redact_apply", "SELECT doc_id, CAST(0 AS BIGINT) AS n_left, false AS leaks FROM corpus", "corpus")
+@query("redact_apply", f"""SELECT doc_id, sha256(text || chr(10) || {_pick(1)} || CASE WHEN category = 'clean' THEN {_pick(2)} ELSE '[' || {_KIND_OF} || '_1]' END || {_pick(4)}) AS text_hash
+FROM (SELECT doc_id, text, {_CATEGORY} AS category FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM dfound)""", "dfound")
 def redact_apply(spark, folder):
-    """After redaction nothing is found, and the planted value is not in the text in any separation."""
-    done = pii.redact(corpus(spark, folder))
-    plain = F.expr("CASE CAST(doc_id % 12 AS INT) " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_PLANTS)) + " END")
-    digits = F.regexp_replace(plain, "[^0-9]", "")
-    leaks = (F.length(digits) >= 6) & F.regexp_replace("text", "[^0-9]", "").contains(digits)
-    left = F.expr(f"coalesce(size({pii.detector_sql(pii.ALL_DETECTORS)}), 0)")
-    return pii.views(done).select("doc_id", left.cast("bigint").alias("n_left"), leaks.alias("leaks"))
+    """Texts with the planted value replaced in place, each document a file; documents with values of their own are left out of the result."""
+    docs = gate_corpus(spark, folder).withColumn("file_id", c("doc_id"))
+    found = redaction.spans(docs, "doc_id")
+    done = redaction.redacted(docs, found, redaction.tokens(found, known_values(spark, folder).limit(0), "doc_id"), "doc_id")
+    own = found.join(docs.select("doc_id", "n"), "doc_id").filter("start <= n").select("doc_id").distinct()
+    return done.join(own, "doc_id", "left_anti").select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
+# three texts of each customer's file, the values declared for it, and what they read after redaction
+_K4, _K5 = "printf('%04d', k % 10000)", "printf('%05d', k % 100000)"
+_NAME_LIST = "[" + ", ".join(q(x) for x in _LATIN_NAMES) + "]"
+_N1, _N2 = (f"concat({{}}[{a}], ' ', {{}}[{b}])" for a, b in ((f"CAST(k % {len(_LATIN_NAMES)} AS INT)", f"CAST((k * 5 + 3) % {len(_LATIN_NAMES)} AS INT)"),
+                                                              (f"CAST((k + 1) % {len(_LATIN_NAMES)} AS INT)", f"CAST((k * 5 + 4) % {len(_LATIN_NAMES)} AS INT)")))
+_FILE_TEXTS = [f"concat('Mr ', n1, ' has PAN zzzpe ', {_K4}, ' g and phone +91 98765 ', {_K5}, '.')",
+               f"concat('Smt ', n2, ' called 91234 ', {_K5}, ' or 98765-', {_K5}, '; PAN ABCPE', {_K4}, 'F, mail U', k, '@Mail.com.')",
+               f"concat('u', k, ' [at] mail [dot] com, card 4111 1111 1111 1111, Aadhaar ', {_LETTERS.format(f'concat({chr(39)}2345 6789 {chr(39)}, {_K4})', '०१२३४५६७८९')}, ', PAN QQQPE', {_K4}, 'H.')"]
+_READS = ["Mr [APPLICANT] has PAN [PAN_2] and phone [PHONE_1].", "Smt [PERSON_2] called [PHONE_2] or [PHONE_1]; PAN [PAN_1], mail [EMAIL_1].",
+          "[EMAIL_1], card [CARD_1], Aadhaar [UID_1], PAN [PAN_1]."]
+
+
+def file_texts(spark, folder):
+    names = f"array({_NAME_LIST[1:-1]})"
+    base = table(spark, folder, "customer").select(c("c_custkey").alias("k")).withColumns({"n1": F.expr(_N1.format(names, names)), "n2": F.expr(_N2.format(names, names))})
+    return base.select(c("k").alias("file_id"), F.expr("posexplode(array(" + ", ".join(_FILE_TEXTS) + ")) AS (place, text)")).select(
+        "file_id", (c("file_id") * 3 + c("place")).alias("text_id"), "text")
+
+
+def known_values(spark, folder):
+    """(file_id, kind, value, pos, canonical): a declared PAN, another PAN as its alias, and the applicant's name."""
+    names = f"array({_NAME_LIST[1:-1]})"
+    base = table(spark, folder, "customer").select(c("c_custkey").alias("k")).withColumn("n1", F.expr(_N1.format(names, names)))
+    return base.select(c("k").alias("file_id"), F.expr(f"stack(3, 'PAN', concat('ABCPE', {_K4}, 'F'), 0, NULL, 'PAN', concat('qqqpe-', {_K4}, '-h'), 1, concat('abcpe', {_K4}, 'f'), 'PERSON', n1, 0, NULL)"
+                                                       " AS (kind, value, pos, canonical)"))
+
+
+@query("redact_files", "SELECT c_custkey * 3 + i AS text_id, [" + ", ".join(q(x) for x in _READS) + "][i + 1] AS text FROM customer, (SELECT unnest([0, 1, 2]) AS i)")
+def redact_files(spark, folder):
+    """Three texts of a file share the tokens of its values, whatever case, script, separators or alias they are written with."""
+    return redaction.redact(file_texts(spark, folder), known_values(spark, folder), "text_id").select("text_id", "text")
+
+
+@query("redact_tokens", f"""SELECT k AS file_id, kind, sha256(form) AS form_hash, CAST(n AS BIGINT) AS n, token FROM (SELECT *, unnest([
+ {{'kind': 'PAN', 'form': concat('ABCPE', {_K4}, 'F'), 'n': 1, 'token': '[PAN_1]'}}, {{'kind': 'PAN', 'form': concat('QQQPE', {_K4}, 'H'), 'n': 1, 'token': '[PAN_1]'}},
+ {{'kind': 'PAN', 'form': concat('ZZZPE', {_K4}, 'G'), 'n': 2, 'token': '[PAN_2]'}}, {{'kind': 'PHONE', 'form': concat('98765', {_K5}), 'n': 1, 'token': '[PHONE_1]'}},
+ {{'kind': 'PHONE', 'form': concat('91234', {_K5}), 'n': 2, 'token': '[PHONE_2]'}}, {{'kind': 'EMAIL', 'form': concat('u', k, '@mail.com'), 'n': 1, 'token': '[EMAIL_1]'}},
+ {{'kind': 'CARD', 'form': '4111111111111111', 'n': 1, 'token': '[CARD_1]'}}, {{'kind': 'UID', 'form': concat('23456789', {_K4}), 'n': 1, 'token': '[UID_1]'}},
+ {{'kind': 'PERSON', 'form': lower(n1), 'n': 1, 'token': '[APPLICANT]'}}, {{'kind': 'PERSON', 'form': lower(n2), 'n': 2, 'token': '[PERSON_2]'}}], recursive := true)
+FROM (SELECT *, {_N1.format(_NAME_LIST, _NAME_LIST).replace(' AS INT)', ' AS INT) + 1')} AS n1, {_N2.format(_NAME_LIST, _NAME_LIST).replace(' AS INT)', ' AS INT) + 1')} AS n2 FROM (SELECT c_custkey AS k FROM customer)))""")
+def redact_tokens(spark, folder):
+    """Every value of every file with its number and token; the value itself only as a hash of its canonical form."""
+    found = redaction.spans(file_texts(spark, folder), "text_id")
+    named = redaction.tokens(found, known_values(spark, folder), "text_id")
+    return named.select("file_id", "kind", F.sha2("form", 256).alias("form_hash"), "n", "token")
 
 
 _WHEN = ["date_format(o_orderdate, 'yyyy-MM-dd')", "date_format(o_orderdate, 'd MMM yyyy')", "date_format(o_orderdate, 'MMMM d, yyyy')", "date_format(o_orderdate, 'dd/MM/yyyy')"]
