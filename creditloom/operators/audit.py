@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom import reference as R
+from creditloom.functions import ranks
 from creditloom.functions.bands import _text
 
 BLOCK = 256  # entries per chain; bounds the array one task folds, however long a file's log grows
@@ -96,29 +97,61 @@ def trail(events: DataFrame, file_ids: DataFrame) -> DataFrame:
     return events.join(file_ids.select("file_id").distinct(), "file_id", "left_semi").orderBy("file_id", "seq")
 
 
-def trail_problems(events: DataFrame) -> DataFrame:
-    """Per file and stage: gateway result, outcome, queue and pricing events present exactly once and in order."""
-    def n(kind: str) -> str:
-        return f"count_if({kind})"
-
-    kinds = {"calls": "event_type IN ('MODEL_CALL', 'MODEL_FAILURE', 'PII_BLOCK')", "outcomes": "event_type = 'POLICY_OUTCOME'",
-             "queued": "event_type = 'QUEUED'", "priced": "event_type = 'PRICING'"}
-    aggs = [F.expr(n(x)).alias(f"n_{k}") for k, x in kinds.items()]
-    aggs += [F.expr(f"max(CASE WHEN {x} THEN seq END)").alias(f"at_{k}") for k, x in kinds.items()]
-    aggs += [F.expr("coalesce(bool_or(event_type = 'POLICY_OUTCOME' AND queue IS NOT NULL), false)").alias("needs_queue"),
-             F.expr("coalesce(bool_or(event_type = 'POLICY_OUTCOME' AND policy_outcome = 'PROCEED_TO_SANCTIONING_AUTHORITY'), false)").alias("needs_price")]
-    g = events.groupBy("file_id", "stage").agg(*aggs)
-    tests = {
-        "gateway_results": "n_calls <> 1", "policy_outcomes": "n_outcomes <> 1", "outcome_before_result": "at_outcomes <= at_calls",
-        "queued_events": "n_queued <> CAST(needs_queue AS INT)", "queued_before_outcome": "at_queued <= at_outcomes",
-        "pricing_events": "n_priced <> CAST(needs_price AS INT)", "pricing_before_outcome": "at_priced <= at_outcomes"}
-    problems = ", ".join(f"CASE WHEN {x} THEN '{k}' END" for k, x in tests.items())
-    return g.select("file_id", "stage", F.expr(f"array_join(array_compact(array({problems})), ',')").alias("problems"))
+#: Events that end a call to the model, whatever its result.
+CALLS = ("MODEL_CALL", "MODEL_FAILURE", "PII_BLOCK")
+PROCEED = "PROCEED_TO_SANCTIONING_AUTHORITY"
+#: Events of one file and stage are numbered in runs of so many sequence numbers, so that a log of any length spreads.
+RUN_EVENTS = 1024
+
+
+def _numbered(events: DataFrame, out: str, order: str = "seq") -> DataFrame:
+    return ranks.row_numbers(events, ["file_id", "stage"], F.floor(c(order) / RUN_EVENTS).cast("bigint"), {"fine": c(order)}, [c("fine")], [c(order)], out)
 
 
-def completeness(problems: DataFrame, stages: int = len(R.STAGES)) -> DataFrame:
-    per = problems.groupBy("file_id").agg(F.count_if(c("problems") == "").alias("good"))
-    return per.agg(F.count(F.lit(1)).alias("files"), F.avg((c("good") == stages).cast("double")).alias("complete_share"))
+def trail_problems(events: DataFrame, required: DataFrame) -> DataFrame:
+    """(file_id, stage, attempt, problem): where the events of a stage break the protocol of its attempts.
+
+    ``required`` holds (file_id, stage, needed): how often the stage was to run. Attempt i is the i-th model result with the i-th
+    outcome; the outcomes that need a queue or a price claim the QUEUED and PRICING events of the stage in order. Attempt 0 stands
+    for the stage as a whole. Every pairing is an equality join on the number of an event among those of its kind.
+    """
+    on = ["file_id", "stage"]
+    known = events.filter(c("seq").isNotNull())
+    calls = _numbered(known.filter(c("event_type").isin(*CALLS)).select(*on, "seq"), "i").select(*on, "i", c("seq").alias("call"))
+    outcomes = _numbered(known.filter("event_type = 'POLICY_OUTCOME'").select(*on, "seq", "queue", "policy_outcome"), "i").withColumnRenamed("seq", "outcome")
+    queued, priced = (_numbered(known.filter(c("event_type") == t).select(*on, "seq", "queue"), "j").select(*on, "j", c("seq").alias("at"), c("queue").alias("got")) for t in ("QUEUED", "PRICING"))
+    later = calls.select(*on, (c("i") - 1).alias("i"), c("call").alias("next_call"))
+    following = outcomes.select(*on, (c("i") - 1).alias("i"), c("outcome").alias("next_outcome"))
+    # an outcome without a result of its number is no attempt
+    pairs = outcomes.join(calls, [*on, "i"]).join(later, [*on, "i"], "left").join(following, [*on, "i"], "left")
+    tests = [pairs.select(*on, c("i").alias("attempt"), F.explode(F.expr("array_compact(array(CASE WHEN call >= outcome THEN 'outcome_before_result' END,"
+                                                                         " CASE WHEN outcome >= next_call THEN 'next_call_before_outcome' END))")).alias("problem"))]
+    counts = [calls.groupBy(*on).agg(F.count(F.lit(1)).alias("n_calls")), outcomes.groupBy(*on).agg(F.count(F.lit(1)).alias("n_outcomes"))]
+    for name, found, wanted in (("queued", queued, pairs.filter("queue IS NOT NULL")), ("pricing", priced, pairs.filter(c("policy_outcome") == PROCEED))):
+        claims = _numbered(wanted.select(*on, "i", "outcome", "next_outcome", "queue"), "j", "i")
+        met = claims.join(found, [*on, "j"])
+        wrong = f"'{name}_before_outcome'", f"'{name}_after_next_outcome'"
+        checks = [f"CASE WHEN at <= outcome THEN {wrong[0]} END", f"CASE WHEN at >= next_outcome THEN {wrong[1]} END"]
+        checks += ["CASE WHEN NOT got <=> queue THEN 'wrong_queue' END"] if name == "queued" else []
+        tests.append(met.select(*on, c("i").alias("attempt"), F.explode(F.expr(f"array_compact(array({', '.join(checks)}))")).alias("problem")))
+        counts += [found.groupBy(*on).agg(F.count(F.lit(1)).alias(f"n_{name}")), claims.groupBy(*on).agg(F.count(F.lit(1)).alias(f"want_{name}"))]
+    whole = required
+    for n in counts:
+        whole = whole.join(n, on, "left")
+    whole = whole.na.fill(0)
+    off = {"gateway_results": "n_calls <> needed", "policy_outcomes": "n_outcomes <> needed", "queued_events": "n_queued <> want_queued", "pricing_events": "n_pricing <> want_pricing"}
+    missing = ", ".join(f"CASE WHEN {x} THEN '{k}' END" for k, x in off.items())
+    out = whole.select(*on, F.lit(0).cast("bigint").alias("attempt"), F.explode(F.expr(f"array_compact(array({missing}))")).alias("problem"))
+    for t in tests:
+        out = out.unionByName(t.withColumn("attempt", c("attempt").cast("bigint")).join(required.select(*on), on, "left_semi"))
+    return out
+
+
+def completeness(problems: DataFrame, required: DataFrame) -> DataFrame:
+    """Files and the share of them without a problem in any required stage."""
+    bad = problems.select("file_id").distinct().withColumn("bad", F.lit(True))
+    per = required.select("file_id").distinct().join(bad, "file_id", "left")
+    return per.agg(F.count(F.lit(1)).alias("files"), F.avg(F.when(c("bad"), 0.0).otherwise(1.0)).alias("complete_share"))
 
 
 def field_problems(events: DataFrame, known_types) -> DataFrame:

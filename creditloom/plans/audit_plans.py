@@ -118,33 +118,64 @@ def audit_verify_long(spark, folder):
     return audit.verify(audit.seal(forged, BODY), high, audit.block_heads(sealed))
 
 
-def trail_events(spark, folder):
-    """The audit events a replay writes for each decision, with some lost, doubled or out of order."""
-    d = all_decisions(spark, folder).selectExpr(
-        "k", "file_id", "stage", "outcome", "queue", "failure_kind", "CASE stage WHEN 'appraisal' THEN 0 WHEN 'sanction_docs' THEN 10 ELSE 20 END AS s")
-    e = ("array_compact(array(named_struct('event_type', CASE WHEN failure_kind = 'pii_blocked' THEN 'PII_BLOCK' WHEN failure_kind IS NOT NULL THEN 'MODEL_FAILURE' ELSE 'MODEL_CALL' END,"
-         " 'seq', s + CASE WHEN k % 103 = 4 THEN 3 ELSE 1 END), named_struct('event_type', 'POLICY_OUTCOME', 'seq', s + 2),"
-         " CASE WHEN queue IS NOT NULL AND k % 101 <> 3 THEN named_struct('event_type', 'QUEUED', 'seq', s + CASE WHEN k % 107 = 9 THEN 0 ELSE 4 END) END,"
-         " CASE WHEN outcome = 'PROCEED_TO_SANCTIONING_AUTHORITY' AND k % 109 <> 7 THEN named_struct('event_type', 'PRICING', 'seq', s + 5) END,"
-         " CASE WHEN k % 113 = 8 THEN named_struct('event_type', 'POLICY_OUTCOME', 'seq', s + 6) END))")
-    return d.select("file_id", "stage", "queue", c("outcome").alias("policy_outcome"), F.expr(f"inline({e})"))
-
+# the events of each decision, in one or two attempts, with some lost, doubled, out of order, late or of another queue
+_BASE = "CASE stage WHEN 'appraisal' THEN 0 WHEN 'sanction_docs' THEN 100 ELSE 200 END + 20 * a"
+_TRAIL = [("'CALL'", "b + CASE WHEN k % 103 = 4 THEN 3 ELSE 1 END", "true"), ("'POLICY_OUTCOME'", "b + 2", "true"),
+          ("'QUEUED'", "b + CASE WHEN k % 107 = 9 THEN 0 WHEN k % 89 = 6 AND k % 7 = 0 AND a = 0 THEN 30 ELSE 4 END", "queue IS NOT NULL AND k % 101 <> 3"),
+          ("'PRICING'", "b + 5", "outcome = 'PROCEED_TO_SANCTIONING_AUTHORITY' AND k % 109 <> 7"), ("'POLICY_OUTCOME'", "b + 6", "k % 113 = 8 AND a = 0"),
+          ("'CALL'", "b + 7", "k % 61 = 2 AND a = 0")]
+_WRITTEN = "CASE WHEN k % 97 = 5 THEN 'elsewhere' ELSE queue END"
 
-view("trailv", "decisions", """SELECT file_id, stage, concat_ws(',', CASE WHEN k % 113 = 8 THEN 'policy_outcomes' END,
- CASE WHEN o <= cl THEN 'outcome_before_result' END, CASE WHEN queue IS NOT NULL AND k % 101 = 3 THEN 'queued_events' END,
- CASE WHEN queue IS NOT NULL AND k % 101 <> 3 AND qs <= o THEN 'queued_before_outcome' END, CASE WHEN proceed AND k % 109 = 7 THEN 'pricing_events' END,
- CASE WHEN proceed AND k % 109 <> 7 AND 5 <= o THEN 'pricing_before_outcome' END) AS problems FROM (SELECT *, CASE WHEN k % 113 = 8 THEN 6 ELSE 2 END AS o, CASE WHEN k % 103 = 4 THEN 3 ELSE 1 END AS cl,
- CASE WHEN k % 107 = 9 THEN 0 ELSE 4 END AS qs, outcome = 'PROCEED_TO_SANCTIONING_AUTHORITY' AS proceed FROM decisions)""")
 
-
-@query("audit_trail_complete", "SELECT file_id, stage, problems FROM trailv WHERE problems <> ''", "trailv")
+def trail_events(spark, folder):
+    """The events, written once a run: the check reads them once for each of its rules."""
+    return run_table(spark, folder, "trail_events", lambda: _trail_events(spark, folder))
+
+
+def _trail_events(spark, folder):
+    d = all_decisions(spark, folder).selectExpr("k", "file_id", "stage", "outcome", "queue", "failure_kind", "explode(CASE WHEN k % 7 = 0 THEN array(0, 1) ELSE array(0) END) AS a")
+    call = "CASE WHEN failure_kind = 'pii_blocked' THEN 'PII_BLOCK' WHEN failure_kind IS NOT NULL THEN 'MODEL_FAILURE' ELSE 'MODEL_CALL' END"
+    e = "array_compact(array(" + ", ".join(f"CASE WHEN {when} THEN named_struct('event_type', {call if t == chr(39) + 'CALL' + chr(39) else t}, 'seq', CAST({at} AS BIGINT), 'queue', "
+                                           f"{_WRITTEN if 'QUEUED' in t else 'queue'}) END" for t, at, when in _TRAIL) + "))"
+    return d.withColumn("b", F.expr(_BASE)).select("file_id", "stage", c("outcome").alias("policy_outcome"), F.expr(f"inline({e})"))
+
+
+def trail_required(spark, folder):
+    return run_table(spark, folder, "trail_required", lambda: all_decisions(spark, folder).selectExpr("file_id", "stage", "CASE WHEN k % 7 = 0 THEN 2 ELSE 1 END AS needed"))
+
+
+view("trail_log", "decisions", "SELECT file_id, stage, outcome, unnest([" + ", ".join(
+    f"CASE WHEN {when} THEN {{'kind': {t}, 'seq': {at}, 'q': {_WRITTEN if 'QUEUED' in t else 'queue'}}} END" for t, at, when in _TRAIL)
+    + f"]) AS e FROM (SELECT *, {_BASE} AS b FROM (SELECT *, unnest(CASE WHEN k % 7 = 0 THEN [0, 1] ELSE [0] END) AS a FROM decisions))")
+view("trail_nth", "trail_log", "SELECT file_id, stage, outcome, e.kind AS kind, e.seq AS seq, e.q AS q, row_number() OVER (PARTITION BY file_id, stage, e.kind ORDER BY e.seq) AS i FROM trail_log WHERE e IS NOT NULL")
+view("trail_pairs", "trail_nth", """SELECT o.file_id, o.stage, o.i, o.outcome, o.q, c.seq AS call, o.seq AS at_outcome, n.seq AS next_call, f.seq AS next_outcome FROM trail_nth o
+JOIN trail_nth c ON c.kind = 'CALL' AND c.file_id = o.file_id AND c.stage = o.stage AND c.i = o.i LEFT JOIN trail_nth n ON n.kind = 'CALL' AND n.file_id = o.file_id AND n.stage = o.stage AND n.i = o.i + 1
+LEFT JOIN trail_nth f ON f.kind = 'POLICY_OUTCOME' AND f.file_id = o.file_id AND f.stage = o.stage AND f.i = o.i + 1 WHERE o.kind = 'POLICY_OUTCOME'""")
+view("trail_claims", "trail_pairs", """SELECT *, row_number() OVER (PARTITION BY file_id, stage, kind ORDER BY i) AS j FROM (
+SELECT *, 'QUEUED' AS kind FROM trail_pairs WHERE q IS NOT NULL UNION ALL SELECT *, 'PRICING' FROM trail_pairs WHERE outcome = 'PROCEED_TO_SANCTIONING_AUTHORITY')""")
+view("trail_met", "trail_claims trail_nth", """SELECT p.*, m.seq AS at_met, m.q AS got FROM trail_claims p JOIN trail_nth m ON m.kind = p.kind AND m.file_id = p.file_id AND m.stage = p.stage AND m.i = p.j""")
+_COUNT = "(SELECT count(*) FROM {} x WHERE x.file_id = d.file_id AND x.stage = d.stage AND x.kind = '{}')"
+view("trailv", "trail_pairs trail_met trail_claims trail_nth decisions", f"""SELECT file_id, stage, i AS attempt, 'outcome_before_result' AS problem FROM trail_pairs WHERE call >= at_outcome
+UNION ALL SELECT file_id, stage, i, 'next_call_before_outcome' FROM trail_pairs WHERE at_outcome >= next_call
+UNION ALL SELECT file_id, stage, i, lower(kind) || '_before_outcome' FROM trail_met WHERE at_met <= at_outcome UNION ALL SELECT file_id, stage, i, lower(kind) || '_after_next_outcome' FROM trail_met WHERE at_met >= next_outcome
+UNION ALL SELECT file_id, stage, i, 'wrong_queue' FROM trail_met WHERE kind = 'QUEUED' AND got IS DISTINCT FROM q
+UNION ALL SELECT d.file_id, d.stage, 0, 'gateway_results' FROM decisions d WHERE {_COUNT.format('trail_nth', 'CALL')} <> CASE WHEN k % 7 = 0 THEN 2 ELSE 1 END
+UNION ALL SELECT d.file_id, d.stage, 0, 'policy_outcomes' FROM decisions d WHERE {_COUNT.format('trail_nth', 'POLICY_OUTCOME')} <> CASE WHEN k % 7 = 0 THEN 2 ELSE 1 END
+UNION ALL SELECT d.file_id, d.stage, 0, 'queued_events' FROM decisions d WHERE {_COUNT.format('trail_nth', 'QUEUED')} <> {_COUNT.format('trail_claims', 'QUEUED')}
+UNION ALL SELECT d.file_id, d.stage, 0, 'pricing_events' FROM decisions d WHERE {_COUNT.format('trail_nth', 'PRICING')} <> {_COUNT.format('trail_claims', 'PRICING')}""")
+
+
+@query("audit_trail_complete", "SELECT file_id, stage, CAST(attempt AS BIGINT) AS attempt, problem FROM trailv", "trailv")
 def audit_trail_complete(spark, folder):
-    return audit.trail_problems(trail_events(spark, folder)).filter("problems <> ''")
+    """Each broken rule with the attempt that breaks it; a lawful second attempt is none."""
+    return audit.trail_problems(trail_events(spark, folder), trail_required(spark, folder))
 
 
-@query("audit_completeness_rate", "SELECT count(*) AS files, round(avg(CASE WHEN g = 3 THEN 1.0 ELSE 0.0 END), 6) AS complete_share FROM (SELECT file_id, count(*) FILTER (WHERE problems = '') AS g FROM trailv GROUP BY file_id)", "trailv")
+@query("audit_completeness_rate", """SELECT count(*) AS files, round(avg(CASE WHEN b.file_id IS NULL THEN 1.0 ELSE 0.0 END), 6) AS complete_share
+FROM (SELECT DISTINCT file_id FROM decisions) d LEFT JOIN (SELECT DISTINCT file_id FROM trailv) b ON b.file_id = d.file_id""", "decisions trailv")
 def audit_completeness_rate(spark, folder):
-    return audit.completeness(audit.trail_problems(trail_events(spark, folder))).select("files", F.round("complete_share", 6).alias("complete_share"))
+    required = trail_required(spark, folder)
+    return audit.completeness(audit.trail_problems(trail_events(spark, folder), required), required).select("files", F.round("complete_share", 6).alias("complete_share"))
 
 
 @query("audit_dump", "SELECT printf('F%06d', user_id + 1) AS file_id, event_id AS seq, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS detail_k FROM events")

@@ -72,3 +72,26 @@ def test_first_decision_wins(spark):
     assert refused == {1: "invalid_verdict", 2: "unknown_reason_code", 3: "blank_reviewer", 5: "already_decided", 6: "unknown_item"}
     order = {r.item_id: r.position for r in queue.review_order(items).collect()}
     assert (order[4], order[1], order[2], order[3]) == (1, 2, 3, 1)
+
+
+def test_trails_are_checked_attempt_by_attempt(spark):
+    from creditloom.operators import audit
+
+    lawful = [("MODEL_CALL", 1, None), ("POLICY_OUTCOME", 2, "q"), ("QUEUED", 3, "q"), ("MODEL_FAILURE", 5, None), ("POLICY_OUTCOME", 6, "r"), ("QUEUED", 7, "r")]
+    cases = {
+        "lawful": (lawful, 2, set()), "once too often": (lawful, 1, {(0, "gateway_results"), (0, "policy_outcomes")}),
+        "late queue": ([*lawful[:2], *lawful[3:], ("QUEUED", 8, "q")], 2, {(1, "queued_after_next_outcome"), (1, "wrong_queue"), (2, "wrong_queue")}),
+        "early outcome": ([("MODEL_CALL", 3, None), ("POLICY_OUTCOME", 2, None)], 1, {(1, "outcome_before_result")}),
+        "no outcome between calls": ([("MODEL_CALL", 1, None), ("MODEL_CALL", 2, None), ("POLICY_OUTCOME", 3, None), ("POLICY_OUTCOME", 4, None)], 2, {(1, "next_call_before_outcome")}),
+        "price": ([("PII_BLOCK", 1, None), ("PRICING", 2, None), ("POLICY_OUTCOME", 3, "proceed")], 1, {(1, "pricing_before_outcome")}),
+        "nothing": ([], 1, {(0, "gateway_results"), (0, "policy_outcomes")}), "lost queue": (lawful[:2], 1, {(0, "queued_events")}),
+    }
+    rows = [(name, "appraisal", t, seq, None if q == "proceed" else q, audit.PROCEED if q == "proceed" else None) for name, (events, *_) in cases.items() for t, seq, q in events]
+    events = spark.createDataFrame([*rows, ("other", "appraisal", "QUEUED", 1, "q", None)], "file_id string, stage string, event_type string, seq bigint, queue string, policy_outcome string")
+    required = spark.createDataFrame([(name, "appraisal", n) for name, (_, n, _) in cases.items()], "file_id string, stage string, needed int")
+    got = {}
+    found = audit.trail_problems(events, required)
+    for r in found.collect():
+        got.setdefault(r.file_id, set()).add((r.attempt, r.problem))
+    assert got == {name: want for name, (*_, want) in cases.items() if want}
+    assert audit.completeness(found, required).first().complete_share == 1 / len(cases)
