@@ -93,3 +93,12 @@ def test_blocking_and_tables_without_rows(spark):
 @pytest.mark.parametrize("lexicon, hit", [(("zorba",), True), (("nobody",), False)])
 def test_the_lexicon_is_a_parameter(spark, lexicon, hit):
     assert bool(scan(spark, ["Signed by Priya Zorba today"], lexicon=lexicon)) is hit
+
+
+def test_card_numbers_are_not_read_as_hexadecimal_handles(spark):
+    number = b"Aqq@dFAD".hex()
+    assert number.isdigit() and len(number) == 16
+    rows = [(0, f"card {number} here"), (1, "hex " + b"ramesh@okbank".hex()), (2, "hex " + b"A1234567".hex()), (3, "hex " + b"ABCPE1234F".hex())]
+    found = gate.masked_findings(spark.createDataFrame(rows, "i bigint, text string"), ["i"]).collect()
+    got = {(r.i, r.detector) for r in found}
+    assert (0, "upi_id") not in got and (0, "account_number") in got and {(1, "upi_id"), (2, "passport"), (3, "pan")} <= got
