@@ -8,12 +8,15 @@ block that was rewritten from its first entry to its last is found as well.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom import reference as R
 from creditloom.functions import ranks
 from creditloom.functions.bands import _text
+from creditloom.session import ensure_checkpoint_dir
 
 BLOCK = 256  # entries per chain; bounds the array one task folds, however long a file's log grows
 c = F.col
@@ -104,8 +107,12 @@ PROCEED = "PROCEED_TO_SANCTIONING_AUTHORITY"
 RUN_EVENTS = 1024
 
 
-def _numbered(events: DataFrame, out: str, order: str = "seq") -> DataFrame:
-    return ranks.row_numbers(events, ["file_id", "stage"], F.floor(c(order) / RUN_EVENTS).cast("bigint"), {"fine": c(order)}, [c("fine")], [c(order)], out)
+def _numbered(events: DataFrame, kind: str, out: str, order: str = "seq") -> DataFrame:
+    """Number of each event among those of its kind in its file and stage, stored: what reads it starts from a scan."""
+    numbered = ranks.row_numbers(events, ["file_id", "stage", kind], F.floor(c(order) / RUN_EVENTS).cast("bigint"), {"fine": c(order)}, [c("fine")], [c(order)], out)
+    path = f"{ensure_checkpoint_dir(events.sparkSession).rstrip('/')}/trail-{uuid.uuid4().hex}/{out}"
+    numbered.write.parquet(path)
+    return events.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
 def trail_problems(events: DataFrame, required: DataFrame) -> DataFrame:
@@ -113,38 +120,48 @@ def trail_problems(events: DataFrame, required: DataFrame) -> DataFrame:
 
     ``required`` holds (file_id, stage, needed): how often the stage was to run. Attempt i is the i-th model result with the i-th
     outcome; the outcomes that need a queue or a price claim the QUEUED and PRICING events of the stage in order. Attempt 0 stands
-    for the stage as a whole. Every pairing is an equality join on the number of an event among those of its kind.
+    for the stage as a whole. Events are numbered once and claims once; what has the same number meets in one grouping, not in
+    a join for each pairing.
     """
     on = ["file_id", "stage"]
-    known = events.filter(c("seq").isNotNull())
-    calls = _numbered(known.filter(c("event_type").isin(*CALLS)).select(*on, "seq"), "i").select(*on, "i", c("seq").alias("call"))
-    outcomes = _numbered(known.filter("event_type = 'POLICY_OUTCOME'").select(*on, "seq", "queue", "policy_outcome"), "i").withColumnRenamed("seq", "outcome")
-    queued, priced = (_numbered(known.filter(c("event_type") == t).select(*on, "seq", "queue"), "j").select(*on, "j", c("seq").alias("at"), c("queue").alias("got")) for t in ("QUEUED", "PRICING"))
-    later = calls.select(*on, (c("i") - 1).alias("i"), c("call").alias("next_call"))
-    following = outcomes.select(*on, (c("i") - 1).alias("i"), c("outcome").alias("next_outcome"))
-    # an outcome without a result of its number is no attempt
-    pairs = outcomes.join(calls, [*on, "i"]).join(later, [*on, "i"], "left").join(following, [*on, "i"], "left")
-    tests = [pairs.select(*on, c("i").alias("attempt"), F.explode(F.expr("array_compact(array(CASE WHEN call >= outcome THEN 'outcome_before_result' END,"
-                                                                         " CASE WHEN outcome >= next_call THEN 'next_call_before_outcome' END))")).alias("problem"))]
-    counts = [calls.groupBy(*on).agg(F.count(F.lit(1)).alias("n_calls")), outcomes.groupBy(*on).agg(F.count(F.lit(1)).alias("n_outcomes"))]
-    for name, found, wanted in (("queued", queued, pairs.filter("queue IS NOT NULL")), ("pricing", priced, pairs.filter(c("policy_outcome") == PROCEED))):
-        claims = _numbered(wanted.select(*on, "i", "outcome", "next_outcome", "queue"), "j", "i")
-        met = claims.join(found, [*on, "j"])
-        wrong = f"'{name}_before_outcome'", f"'{name}_after_next_outcome'"
-        checks = [f"CASE WHEN at <= outcome THEN {wrong[0]} END", f"CASE WHEN at >= next_outcome THEN {wrong[1]} END"]
-        checks += ["CASE WHEN NOT got <=> queue THEN 'wrong_queue' END"] if name == "queued" else []
-        tests.append(met.select(*on, c("i").alias("attempt"), F.explode(F.expr(f"array_compact(array({', '.join(checks)}))")).alias("problem")))
-        counts += [found.groupBy(*on).agg(F.count(F.lit(1)).alias(f"n_{name}")), claims.groupBy(*on).agg(F.count(F.lit(1)).alias(f"want_{name}"))]
-    whole = required
-    for n in counts:
-        whole = whole.join(n, on, "left")
-    whole = whole.na.fill(0)
+    kind = F.when(c("event_type").isin(*CALLS), "CALL").when(c("event_type").isin("POLICY_OUTCOME", "QUEUED", "PRICING"), c("event_type"))
+    known = events.filter(c("seq").isNotNull()).select(*on, kind.alias("kind"), "seq", "queue", "policy_outcome").filter("kind IS NOT NULL")
+    numbered = _numbered(known, "kind", "i")
+    # an event stands at its own number and, as the next one, at the number before; a number without result and outcome is no attempt
+    at = numbered.filter("kind IN ('CALL', 'POLICY_OUTCOME')").select(*on, "kind", "seq", "queue", "policy_outcome", F.expr("inline(array(struct(i AS i, true AS own), struct(i - 1 AS i, false AS own)))"))
+    call, outcome = c("kind") == "CALL", c("kind") == "POLICY_OUTCOME"
+    pairs = at.groupBy(*on, "i").agg(
+        F.max(F.when(call & c("own"), c("seq"))).alias("call"), F.max(F.when(outcome & c("own"), c("seq"))).alias("outcome"),
+        F.max(F.when(call & ~c("own"), c("seq"))).alias("next_call"), F.max(F.when(outcome & ~c("own"), c("seq"))).alias("next_outcome"),
+        F.max(F.when(outcome & c("own"), c("queue"))).alias("queue"), F.max(F.when(outcome & c("own"), c("policy_outcome"))).alias("policy_outcome"),
+    ).filter("call IS NOT NULL AND outcome IS NOT NULL")
+    # (attempt, problem) of each pair and (kind, attempt) of each claim in one pass: a row with a kind is a claim
+    pairs = pairs.select(*on, "i", "call", "outcome", "next_call", "next_outcome", "queue", F.explode(F.expr(
+        "array_compact(array(CASE WHEN call >= outcome THEN struct(CAST(NULL AS STRING) AS kind, 'outcome_before_result' AS problem) END,"
+        " CASE WHEN outcome >= next_call THEN struct(CAST(NULL AS STRING) AS kind, 'next_call_before_outcome' AS problem) END,"
+        " CASE WHEN queue IS NOT NULL THEN struct('QUEUED' AS kind, CAST(NULL AS STRING) AS problem) END,"
+        f" CASE WHEN policy_outcome = '{PROCEED}' THEN struct('PRICING' AS kind, CAST(NULL AS STRING) AS problem) END))")).alias("x"))
+    pairs = pairs.select(*on, "i", "outcome", "next_outcome", "queue", "x.kind", "x.problem")
+    claims = _numbered(pairs, "kind", "j", "i")
+    tests = [claims.filter("problem IS NOT NULL").select(*on, c("i").alias("attempt"), "problem")]
+    claims = claims.filter("kind IS NOT NULL")
+    none = lambda t: F.lit(None).cast(t)
+    found = numbered.filter("kind IN ('QUEUED', 'PRICING')").select(*on, "kind", c("i").alias("j"), none("bigint").alias("i"), none("bigint").alias("outcome"), none("bigint").alias("next_outcome"),
+                                                                    none("string").alias("queue"), c("seq").alias("at"), c("queue").alias("got"))
+    wanted = claims.select(*on, "kind", "j", "i", "outcome", "next_outcome", "queue", none("bigint").alias("at"), none("string").alias("got"))
+    met = found.unionByName(wanted).groupBy(*on, "kind", "j").agg(*[F.max(x).alias(x) for x in ("i", "outcome", "next_outcome", "queue", "at", "got")]).filter("i IS NOT NULL AND at IS NOT NULL")
+    checks = ("CASE WHEN at <= outcome THEN concat(name, '_before_outcome') END, CASE WHEN at >= next_outcome THEN concat(name, '_after_next_outcome') END,"
+              " CASE WHEN kind = 'QUEUED' AND NOT got <=> queue THEN 'wrong_queue' END")
+    tests.append(met.withColumn("name", F.lower("kind")).select(*on, c("i").alias("attempt"), F.explode(F.expr(f"array_compact(array({checks}))")).alias("problem")))
+    n = lambda k: F.count_if(c("kind") == k)
+    seen = numbered.groupBy(*on).agg(n("CALL").alias("n_calls"), n("POLICY_OUTCOME").alias("n_outcomes"), n("QUEUED").alias("n_queued"), n("PRICING").alias("n_pricing"))
+    want = claims.groupBy(*on).agg(n("QUEUED").alias("want_queued"), n("PRICING").alias("want_pricing"))
+    whole = required.join(seen, on, "left").join(want, on, "left").na.fill(0)
     off = {"gateway_results": "n_calls <> needed", "policy_outcomes": "n_outcomes <> needed", "queued_events": "n_queued <> want_queued", "pricing_events": "n_pricing <> want_pricing"}
     missing = ", ".join(f"CASE WHEN {x} THEN '{k}' END" for k, x in off.items())
     out = whole.select(*on, F.lit(0).cast("bigint").alias("attempt"), F.explode(F.expr(f"array_compact(array({missing}))")).alias("problem"))
-    for t in tests:
-        out = out.unionByName(t.withColumn("attempt", c("attempt").cast("bigint")).join(required.select(*on), on, "left_semi"))
-    return out
+    tests = tests[0].unionByName(tests[1]).withColumn("attempt", c("attempt").cast("bigint"))
+    return out.unionByName(tests.join(required.select(*on), on, "left_semi"))
 
 
 def completeness(problems: DataFrame, required: DataFrame) -> DataFrame:

@@ -95,3 +95,11 @@ def test_trails_are_checked_attempt_by_attempt(spark):
         got.setdefault(r.file_id, set()).add((r.attempt, r.problem))
     assert got == {name: want for name, (*_, want) in cases.items() if want}
     assert audit.completeness(found, required).first().complete_share == 1 / len(cases)
+
+
+def test_the_plan_of_the_trail_check_stays_small(spark):
+    events = spark.createDataFrame([("A", "appraisal", "MODEL_CALL", 1, None, None), ("A", "appraisal", "POLICY_OUTCOME", 2, None, None)],
+                                   "file_id string, stage string, event_type string, seq bigint, queue string, policy_outcome string")
+    found = audit.trail_problems(events, spark.createDataFrame([("A", "appraisal", 1)], "file_id string, stage string, needed int"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 0 and plan.count("Join ") <= 6
