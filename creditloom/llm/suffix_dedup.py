@@ -6,12 +6,13 @@ smallest ``GRAM``-byte gram (by hash, the leftmost of equal ones): equal windows
 and neighbouring windows share one, so that one row, an anchor, stands for about eighty windows.
 
 1. digit one, the gram: anchors whose gram occurs once leave;
-2. digit two, everything that any window over the gram can reach to its left and right: where it is equal for all
-   anchors of a gram, all their windows are repeated;
+2. digit two, everything that any window over the gram can reach to its left and right: anchors that are equal in it are
+   copies, all their windows are repeated, and one of them goes on for them all;
 3. the rest: up to ``SMALL`` anchors of a gram are compared byte by byte to the left and right, but for those that sorting
    shows to agree with none far enough. The windows of more
    frequent anchors fall into cells of windows that start at most ``GRAM`` bytes apart: digit three is what all windows of a
-   cell share, digit four all that they reach; what is left are single windows, counted by two 64-bit hashes.
+   cell share, digit four all that they reach; cells that are equal in it are copies again, and of different cells that
+   share digit three one of each goes on as single windows, counted by two 64-bit hashes.
 
 Digits of stages 1 and 2 are 64-bit hashes of different bases. Nothing is grouped in one task but the at most ``SMALL``
 anchors of a rare gram and the ranges of one document; counts are partly summed before they are shuffled.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import read, sized, small_batches, staged, text_or_empty
@@ -41,6 +42,7 @@ REACH = LENGTH - GRAM
 SEGMENT = 1 << 20
 _POS = np.uint64((1 << 22) - 1)
 ANCHORS = "g long, c long, row long, a int, lo int, hi int"
+PLACE = ["row", "a", "lo", "hi"]
 
 
 class _Base:
@@ -291,25 +293,34 @@ def _marked(texts: DataFrame, marks: DataFrame, columns: list[str]) -> DataFrame
     return texts.join(sized(rows, rows.count()), "row", "left_semi").join(by_row, "row")
 
 
+def _one(columns: list[str]) -> list[Column]:
+    """One row of a group of equals stands for them all."""
+    return [F.first(x).alias(x) for x in columns]
+
+
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """(row, lo, hi): ranges of window starts whose ``LENGTH`` bytes also start anywhere else. ``texts`` has row (unique) and text."""
     found = texts.mapInArrow(_anchor_rows, ANCHORS)
     digits = (found.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1")
-              .select("g", F.when(F.col("low") == F.col("high"), 0).when(F.col("n") <= SMALL, 1).otherwise(2).alias("kind")))
+              .select("g", (F.col("low") != F.col("high")).alias("mixed")))
     digits = staged(digits, "digits")
     # tables of grams grow with the corpus: never broadcast; adaptive execution splits the partition of a hot gram
-    held = staged(found.select("g", "row", "a", "lo", "hi").join(digits, "g"), "anchors")
-    third = staged(_marked(texts, held.filter("kind > 0"), ["kind", "g", "a", "lo", "hi"]).mapInArrow(_third_digits, STAGE3), "third")
+    held = staged(found.join(digits, "g"), "anchors")
+    mixed = held.filter("mixed")
+    classes = staged(mixed.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), *_one(PLACE)), "classes")
+    copied = mixed.join(classes.filter("n > 1").select("g", "c"), ["g", "c"], "left_semi")
+    variants = classes.groupBy("g").agg(F.when(F.count(F.lit(1)) <= SMALL, 1).otherwise(2).alias("kind"))
+    third = staged(_marked(texts, classes.join(variants, "g"), ["kind", "g", "a", "lo", "hi"]).mapInArrow(_third_digits, STAGE3), "third")
     near = third.filter("kind = 1").drop("kind", "f").repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "row long, lo int, hi int")
-    cells = third.filter("kind = 2").select("key", "f", "row", "a", "lo", "hi")
-    shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("low"), F.max("f").alias("high")).filter("n > 1")
-    shared = staged(shared.select("key", (F.col("low") == F.col("high")).alias("whole")), "shared")
-    cells = staged(cells.join(shared, "key").select("whole", "row", "a", "lo", "hi"), "cells")
-    windows = staged(_marked(texts, cells.filter("not whole"), ["a", "lo", "hi"]).mapInArrow(_window_rows, "h1 long, h2 long, row long, p long"), "windows")
-    often = staged(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.struct("h1", "h2").alias("h")), "often")
-    wide = windows.select(F.struct("h1", "h2").alias("h"), "row", "p").join(often, "h")
-    wide = wide.select("row", F.col("p").cast("int").alias("lo"), F.col("p").cast("int").alias("hi"))
-    return held.filter("kind = 0").select("row", "lo", "hi").union(near).union(cells.filter("whole").select("row", "lo", "hi")).union(wide)
+    cells = third.filter("kind = 2").select("key", "f", *PLACE)
+    shapes = staged(cells.groupBy("key", "f").agg(F.count(F.lit(1)).alias("n"), *_one(PLACE)), "shapes")
+    whole = cells.join(shapes.filter("n > 1").select("key", "f"), ["key", "f"], "left_semi")
+    shared = shapes.groupBy("key").agg(F.count(F.lit(1)).alias("shapes")).filter("shapes > 1").select("key")
+    windows = staged(_marked(texts, shapes.join(shared, "key", "left_semi"), ["a", "lo", "hi"]).mapInArrow(_window_rows, "h1 long, h2 long, row long, p long"), "windows")
+    often = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+    wide = windows.join(often, ["h1", "h2"], "left_semi").select("row", F.col("p").cast("int").alias("lo"), F.col("p").cast("int").alias("hi"))
+    settled = held.filter("not mixed").unionByName(copied).unionByName(whole, allowMissingColumns=True).select("row", "lo", "hi")
+    return settled.union(near).union(wide)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
