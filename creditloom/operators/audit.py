@@ -105,14 +105,36 @@ CALLS = ("MODEL_CALL", "MODEL_FAILURE", "PII_BLOCK")
 PROCEED = "PROCEED_TO_SANCTIONING_AUTHORITY"
 #: Events of one file and stage are numbered in runs of so many sequence numbers, so that a log of any length spreads.
 RUN_EVENTS = 1024
+#: A file's stage of more events than this (and twice the usual bucket of the count) is numbered in runs, any other in its own row.
+LONG, BUCKETS = 10_000, 65_536
+ON = ["file_id", "stage"]
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: what reads it starts from a scan."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/trail-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _numbered(events: DataFrame, kind: str, out: str, order: str = "seq") -> DataFrame:
-    """Number of each event among those of its kind in its file and stage, stored: what reads it starts from a scan."""
-    numbered = ranks.row_numbers(events, ["file_id", "stage", kind], F.floor(c(order) / RUN_EVENTS).cast("bigint"), {"fine": c(order)}, [c("fine")], [c(order)], out)
-    path = f"{ensure_checkpoint_dir(events.sparkSession).rstrip('/')}/trail-{uuid.uuid4().hex}/{out}"
-    numbered.write.parquet(path)
-    return events.sparkSession.read.schema(numbered.schema).parquet(path)
+    """Number of each event among those of its kind in its file and stage, stored."""
+    return _stored(ranks.row_numbers(events, [*ON, kind], F.floor(c(order) / RUN_EVENTS).cast("bigint"), {"fine": c(order)}, [c("fine")], [c(order)], out), out)
+
+
+def _long(known: DataFrame) -> DataFrame | None:
+    """The files and stages of more events than a row should hold, if any.
+
+    Events are counted by a hash of their file and stage first, which shuffles next to nothing; only those of a bucket that
+    stands out are counted by file and stage.
+    """
+    known = known.select(*ON, F.pmod(F.xxhash64(*ON), F.lit(BUCKETS)).alias("bucket"))
+    counts = _stored(known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
+    usual = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
+    full = counts.filter(c("n") > LONG + 2 * usual).select("bucket")
+    if full.isEmpty():
+        return None
+    return _stored(known.join(full, "bucket", "left_semi").groupBy(*ON).agg(F.count(F.lit(1)).alias("n")).filter(c("n") > LONG).select(*ON), "long")
 
 
 def trail_problems(events: DataFrame, required: DataFrame) -> DataFrame:
@@ -120,12 +142,51 @@ def trail_problems(events: DataFrame, required: DataFrame) -> DataFrame:
 
     ``required`` holds (file_id, stage, needed): how often the stage was to run. Attempt i is the i-th model result with the i-th
     outcome; the outcomes that need a queue or a price claim the QUEUED and PRICING events of the stage in order. Attempt 0 stands
-    for the stage as a whole. Events are numbered once and claims once; what has the same number meets in one grouping, not in
-    a join for each pairing.
+    for the stage as a whole. The events of a file's stage and what is required of it meet in one row by one grouping; a stage
+    of more events than a row should hold is numbered in runs instead.
     """
-    on = ["file_id", "stage"]
     kind = F.when(c("event_type").isin(*CALLS), "CALL").when(c("event_type").isin("POLICY_OUTCOME", "QUEUED", "PRICING"), c("event_type"))
-    known = events.filter(c("seq").isNotNull()).select(*on, kind.alias("kind"), "seq", "queue", "policy_outcome").filter("kind IS NOT NULL")
+    known = events.filter("seq IS NOT NULL AND file_id IS NOT NULL AND stage IS NOT NULL").select(
+        *ON, kind.alias("kind"), c("seq").cast("bigint").alias("seq"), "queue", "policy_outcome").filter("kind IS NOT NULL")
+    required = required.select(*ON, F.coalesce("needed", F.lit(0)).cast("bigint").alias("needed"))
+    long = _long(known)
+    if long is None:
+        return _row_problems(known, required)
+    short = _row_problems(known.join(long, ON, "left_anti"), required.join(long, ON, "left_anti"))
+    return short.unionByName(_run_problems(known.join(long, ON, "left_semi"), required.join(long, ON, "left_semi")))
+
+
+def _row_problems(known: DataFrame, required: DataFrame) -> DataFrame:
+    """``trail_problems`` of stages whose events fit a row."""
+    rows = known.select(*ON, F.struct("kind", "seq", "queue", "policy_outcome").alias("e"), F.lit(None).cast("bigint").alias("needed"))
+    asked = required.select(*ON, F.lit(None).cast(rows.schema["e"].dataType).alias("e"), "needed")
+    df = rows.unionByName(asked).groupBy(*ON).agg(F.sort_array(F.collect_list("e")).alias("e"), F.collect_list("needed").alias("needed")).filter("size(needed) > 0")
+    of = "filter(e, x -> x.kind = '{}')"
+    df = df.selectExpr(*ON, "needed", f"transform({of.format('CALL')}, x -> x.seq) AS calls", f"{of.format('POLICY_OUTCOME')} AS outcomes",
+                       f"{of.format('QUEUED')} AS queued", f"{of.format('PRICING')} AS pricing")
+    df = df.selectExpr("*", "slice(transform(outcomes, (o, i) -> named_struct('i', CAST(i + 1 AS BIGINT), 'call', get(calls, i), 'outcome', o.seq, 'next_call', get(calls, i + 1),"
+                            " 'next_outcome', get(outcomes, i + 1).seq, 'queue', o.queue, 'policy_outcome', o.policy_outcome)), 1, least(size(calls), size(outcomes))) AS pairs")
+    df = df.selectExpr("*", "filter(pairs, p -> p.queue IS NOT NULL) AS want_queued", f"filter(pairs, p -> p.policy_outcome = '{PROCEED}') AS want_pricing")
+
+    def found(over: str, names: str, attempt: str, tests: dict[str, str]) -> str:
+        each = ", ".join(f"CASE WHEN {x} THEN named_struct('attempt', {attempt}, 'problem', '{n}') END" for n, x in tests.items())
+        return f"flatten(transform({over}, {names} -> array_compact(array({each}))))"
+
+    at = {k: {f"{k}_before_outcome": f"get({k}, j).seq <= p.outcome", f"{k}_after_next_outcome": f"get({k}, j).seq >= p.next_outcome"} for k in ("queued", "pricing")}
+    at["queued"]["wrong_queue"] = "get(queued, j) IS NOT NULL AND NOT get(queued, j).queue <=> p.queue"
+    counts = {"gateway_results": "size(calls) <> n", "policy_outcomes": "size(outcomes) <> n", "queued_events": "size(queued) <> size(want_queued)",
+              "pricing_events": "size(pricing) <> size(want_pricing)"}
+    parts = [found("pairs", "p", "p.i", {"outcome_before_result": "p.call >= p.outcome", "next_call_before_outcome": "p.outcome >= p.next_call"}),
+             *[found(f"want_{k}", "(p, j)", "p.i", tests) for k, tests in at.items()], found("needed", "n", "0L", counts)]
+    # a filter on the found problems would be pushed down and find them twice; the parts of an array are found once
+    return df.selectExpr(*ON, f"explode(array({', '.join(parts)})) AS problems").selectExpr(*ON, "inline(problems)")
+
+
+def _run_problems(known: DataFrame, required: DataFrame) -> DataFrame:
+    """``trail_problems`` of stages of any length: events are numbered once and claims once; what has the same number meets in one
+    grouping, not in a join for each pairing.
+    """
+    on = ON
     numbered = _numbered(known, "kind", "i")
     # an event stands at its own number and, as the next one, at the number before; a number without result and outcome is no attempt
     at = numbered.filter("kind IN ('CALL', 'POLICY_OUTCOME')").select(*on, "kind", "seq", "queue", "policy_outcome", F.expr("inline(array(struct(i AS i, true AS own), struct(i - 1 AS i, false AS own)))"))
