@@ -227,8 +227,9 @@ def _run_problems(known: DataFrame, required: DataFrame) -> DataFrame:
 
 def completeness(problems: DataFrame, required: DataFrame) -> DataFrame:
     """Files and the share of them without a problem in any required stage."""
-    bad = problems.select("file_id").distinct().withColumn("bad", F.lit(True))
-    per = required.select("file_id").distinct().join(bad, "file_id", "left")
+    flag = lambda required, bad: [F.lit(required).alias("required"), F.lit(bad).alias("bad")]
+    both = required.select("file_id", *flag(True, False)).unionByName(problems.filter("file_id IS NOT NULL").select("file_id", *flag(False, True)))
+    per = both.groupBy("file_id").agg(F.max("required").alias("required"), F.max("bad").alias("bad")).filter("required")
     return per.agg(F.count(F.lit(1)).alias("files"), F.avg(F.when(c("bad"), 0.0).otherwise(1.0)).alias("complete_share"))
 
 

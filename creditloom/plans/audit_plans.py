@@ -135,9 +135,10 @@ def trail_events(spark, folder):
 def _trail_events(spark, folder):
     d = all_decisions(spark, folder).selectExpr("k", "file_id", "stage", "outcome", "queue", "failure_kind", "explode(CASE WHEN k % 7 = 0 THEN array(0, 1) ELSE array(0) END) AS a")
     call = "CASE WHEN failure_kind = 'pii_blocked' THEN 'PII_BLOCK' WHEN failure_kind IS NOT NULL THEN 'MODEL_FAILURE' ELSE 'MODEL_CALL' END"
-    e = "array_compact(array(" + ", ".join(f"CASE WHEN {when} THEN named_struct('event_type', {call if t == chr(39) + 'CALL' + chr(39) else t}, 'seq', CAST({at} AS BIGINT), 'queue', "
-                                           f"{_WRITTEN if 'QUEUED' in t else 'queue'}) END" for t, at, when in _TRAIL) + "))"
-    return d.withColumn("b", F.expr(_BASE)).select("file_id", "stage", c("outcome").alias("policy_outcome"), F.expr(f"inline({e})"))
+    e = "array(" + ", ".join(f"CASE WHEN {when} THEN named_struct('event_type', {call if t == chr(39) + 'CALL' + chr(39) else t}, 'seq', CAST({at} AS BIGINT), 'queue', "
+                                           f"{_WRITTEN if 'QUEUED' in t else 'queue'}) END" for t, at, when in _TRAIL) + ")"
+    # an event that was not written is a null struct, which inline turns into a row of nulls
+    return d.withColumn("b", F.expr(_BASE)).select("file_id", "stage", c("outcome").alias("policy_outcome"), F.expr(f"inline({e})")).filter("event_type IS NOT NULL")
 
 
 def trail_required(spark, folder):
